@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.codes import APPRAISE_GOOD
@@ -81,16 +83,13 @@ def product_behaviours(*parts: DataFrame) -> DataFrame:
     """All behaviours in one shape: measures they do not have are 0, ids they do not have null."""
     shaped = []
     for part in parts:
-        cols = [F.col("sku_id"), F.col("ts")]
-        cols += [(F.coalesce(F.col(c).cast(t), F.lit(0).cast(t)) if c in part.columns
-                  else F.lit(0).cast(t)).alias(c) for c, t in PRODUCT_MEASURES.items()]
-        cols += [(F.col(c) if c in part.columns else F.lit(None).cast("bigint")).alias(c)
-                 for c in PRODUCT_IDS]
-        shaped.append(part.filter(F.col("sku_id").isNotNull() & F.col("ts").isNotNull()).select(*cols))
-    out = shaped[0]
-    for s in shaped[1:]:
-        out = out.unionByName(s)
-    return out
+        has = set(part.columns)
+        measures = [f"cast({f'coalesce({c}, 0)' if c in has else 0} as {t}) as {c}"
+                    for c, t in PRODUCT_MEASURES.items()]
+        ids = [c if c in has else f"cast(null as bigint) as {c}" for c in PRODUCT_IDS]
+        shaped.append(part.filter("sku_id is not null and ts is not null")
+                      .selectExpr("sku_id", "ts", *measures, *ids))
+    return reduce(DataFrame.unionAll, shaped)
 
 
 def _visitor(rows: DataFrame, **measures: Column) -> DataFrame:

@@ -17,6 +17,20 @@ from millrace.operators import facts
 from millrace.operators.joins import enrich_product
 
 WINDOW = "10 seconds"
+AMOUNT_SUM = "decimal(28,4)"
+
+
+def _units(column: str) -> Column:
+    """Money as whole ten-thousandths: exact, and summed as a long instead of a wide decimal.
+
+    One window and key would need 9e14 in money to overflow, which raises an error.
+    """
+    return (F.col(column) * 10000).cast("bigint")
+
+
+def _amount(units: str) -> Column:
+    return (F.col(units).cast("decimal(20,0)") * F.expr("cast(0.0001 as decimal(5,4))")
+            ).cast(AMOUNT_SUM).alias(units)
 
 
 def _first_ms() -> Column:
@@ -61,19 +75,17 @@ def visitor_stats(events: DataFrame, *, size: str = WINDOW, delay: str | None =
 def product_sums(behaviours: DataFrame, *, size: str = WINDOW, delay: str | None = "3 seconds"
                  ) -> DataFrame:
     """Product measures per sku, before the product attributes are looked up."""
-    measures = list(facts.PRODUCT_MEASURES)
+    measures = facts.PRODUCT_MEASURES
+    money = {m for m, t in measures.items() if t == facts.AMOUNT}
     per_id = (watermarked(behaviours, "ts", delay)
               .groupBy(tumble("ts", size), "sku_id", *facts.PRODUCT_IDS)
-              .agg(*[F.sum(m).alias(m) for m in measures], F.min("ts").alias("_first")))
+              .agg(*[F.sum(_units(m) if m in money else F.col(m)).alias(m) for m in measures],
+                   F.min("ts").alias("_first")))
     out = per_id.groupBy("window", "sku_id").agg(
         *[F.sum(m).alias(m) for m in measures],
         *[F.count(i).alias(n) for i, n in facts.PRODUCT_IDS.items()], _first_ms())
     return out.select(*window_bounds(), "sku_id", *[
-        F.col(m).cast(AMOUNT_SUM).alias(m) if t.startswith("decimal") else F.col(m)
-        for m, t in facts.PRODUCT_MEASURES.items()], *facts.PRODUCT_IDS.values(), "ts")
-
-
-AMOUNT_SUM = "decimal(28,4)"
+        _amount(m) if m in money else F.col(m) for m in measures], *facts.PRODUCT_IDS.values(), "ts")
 
 
 def product_stats(behaviours: DataFrame, products: DataFrame, **options) -> DataFrame:
@@ -87,17 +99,17 @@ def province_stats(wide: DataFrame, *, time: str = "create_time", size: str = WI
     """Distinct orders and sales per province."""
     keys = ["province_id", "province_name", "province_area_code", "province_iso_code",
             "province_3166_2_code"]
-    amount = F.sum(F.col("split_total_amount").cast(facts.AMOUNT))
-    per_order = (watermarked(wide, time, delay)
-                 .groupBy(tumble(time, size), *keys, "order_id").agg(amount.alias("_amount")))
+    rows = watermarked(wide, time, delay).withColumn(
+        "order_amount", F.coalesce(F.col("split_total_amount").cast(facts.AMOUNT), F.lit(0)))
+    per_order = rows.groupBy(tumble(time, size), *keys, "order_id").agg(
+        F.sum(_units("order_amount")).alias("order_amount"))
     out = per_order.groupBy("window", *keys).agg(
-        F.sum("_amount").cast(AMOUNT_SUM).alias("order_amount"),
-        F.count("order_id").alias("order_count"))
+        F.sum("order_amount").alias("order_amount"), F.count("order_id").alias("order_count"))
     return out.select(*window_bounds(), "province_id", "province_name",
                       F.col("province_area_code").alias("area_code"),
                       F.col("province_iso_code").alias("iso_code"),
                       F.col("province_3166_2_code").alias("iso_3166_2"),
-                      "order_amount", "order_count",
+                      _amount("order_amount"), "order_count",
                       (processing_millis() if now is None else now).alias("ts"))
 
 

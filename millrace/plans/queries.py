@@ -39,8 +39,8 @@ def in_millis(df: DataFrame) -> DataFrame:
 # ---- stages several queries share ----------------------------------------------------------
 
 
-def order_lines(t: ShopTables) -> DataFrame:
-    return joins.merge_order(t.order_info(), t.order_detail())
+def order_lines(t: ShopTables, located: bool = False) -> DataFrame:
+    return joins.merge_order(t.order_info(located), t.order_detail())
 
 
 def wide(t: ShopTables) -> DataFrame:
@@ -75,7 +75,7 @@ def products_sold(t: ShopTables) -> DataFrame:
 
 
 def provinces(t: ShopTables) -> DataFrame:
-    located = joins.enrich_province(order_lines(t), t.dim_province())
+    located = joins.enrich_province(order_lines(t, True), t.dim_province())
     return stats.province_stats(located)
 
 
@@ -184,7 +184,7 @@ def order_wide(t):
 
 @query
 def payment_wide(t):
-    return paid_shown(paid_lines(t))
+    return paid_shown(joins.merge_payment(t.payment_info(), order_lines(t, True)))
 
 
 @query

@@ -40,21 +40,28 @@ def _money(column: str) -> Column:
 class ShopTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     # ---- event log -------------------------------------------------------------------------
 
-    def _events(self) -> DataFrame:
-        kind, page = F.col("event_type"), F.lit("")
-        for event, page_id in PAGES.items():
-            page = F.when(kind == event, page_id).otherwise(page)
-        item = F.get_json_object("props", "$.k")
-        return self.table("events").select(
-            "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"),
-            page.alias("page_id"), item.alias("item"),
-            (F.round(F.col("value") * 100).cast("bigint") * 10).alias("during_time"))
+    def _events(self, page_id: str | None = None) -> DataFrame:
+        """Every event as a page view, or only those of one page (filtered in the scan)."""
+        events = self.table("events")
+        if page_id:
+            kind = next(k for k, p in PAGES.items() if p == page_id)
+            events, page = events.filter(F.col("event_type") == kind), f"'{page_id}'"
+        else:
+            cases = " ".join(f"when '{k}' then '{p}'" for k, p in PAGES.items())
+            page = f"case event_type {cases} else '' end"
+        return events.selectExpr(
+            "event_id", "user_id", "cast(ts as timestamp) as ts", f"{page} as page_id",
+            "get_json_object(props, '$.k') as item",
+            "cast(round(value * 100) as bigint) * 10 as during_time")
 
     def page_views(self) -> DataFrame:
         """Page views without their previous page."""
@@ -73,7 +80,7 @@ class ShopTables:
             F.when(F.col("event_id") % 2 == 0, "1").otherwise("0").alias("is_new"))
 
     def display_log(self) -> DataFrame:
-        return self._exposed(self._events().filter("page_id = 'good_list'")).select(
+        return self._exposed(self._events("good_list")).select(
             "event_id", "ts", F.inline("displays"))
 
     @staticmethod
@@ -98,14 +105,14 @@ class ShopTables:
 
     def search_log(self) -> DataFrame:
         names = self.table("part").select("p_partkey", F.col("p_name").alias("fullword"))
-        asked = self._events().filter("page_id = 'good_list'").select(
+        asked = self._events("good_list").select(
             "event_id", "ts", F.col("item").cast("bigint").alias("_item"))
         return asked.join(names, F.col("_item") == F.col("p_partkey")).select(
             "event_id", "ts", "fullword")
 
     def _sku_events(self, page_id: str) -> DataFrame:
-        return self._events().filter(F.col("page_id") == page_id).select(
-            F.col("item").cast("bigint").alias("sku_id"), F.col("ts").alias("create_time"))
+        return self._events(page_id).selectExpr("cast(item as bigint) as sku_id",
+                                                "ts as create_time")
 
     def favor_info(self) -> DataFrame:
         return self._sku_events("home")
@@ -123,12 +130,20 @@ class ShopTables:
             _later(F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 86400
                    ).alias("create_time"))
 
-    def order_info(self) -> DataFrame:
+    def order_info(self, located: bool = True) -> DataFrame:
+        """Orders; without `located` the province is left null and the buyers are not read."""
+        heads = self._order_times()
+        if not located:
+            return self._order(heads.withColumn("province_id", F.lit(None).cast("bigint")))
         homes = self.table("customer").select(
             "c_custkey", F.col("c_nationkey").cast("bigint").alias("province_id"))
+        return self._order(heads.join(homes, F.col("user_id") == F.col("c_custkey"), "left"))
+
+    @staticmethod
+    def _order(heads: DataFrame) -> DataFrame:
         zero = F.lit(0).cast("decimal(16,2)")
         none = F.lit(None).cast("string")
-        return self._order_times().join(homes, F.col("user_id") == F.col("c_custkey"), "left").select(
+        return heads.select(
             "id", "province_id", "order_status", "user_id", "total_amount",
             zero.alias("activity_reduce_amount"), zero.alias("coupon_reduce_amount"),
             F.col("total_amount").alias("original_total_amount"), zero.alias("feight_fee"),

@@ -50,7 +50,7 @@ def main() -> int:
     from millrace.session import build
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+    spark = build(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
                                         "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, bad = duck(folder), entry.oracle_sql(), 0
