@@ -413,6 +413,9 @@ for _batch in ("unique_visits", "user_jumps", "repair_is_new", "order_wide", "pa
                "visitor_stats", "province_stats", "keyword_search_stats", "product_stats"):
     QUERIES[f"stream_{_batch}"] = QUERIES[_batch]
 QUERIES["stream_unique_visits"] = "select mid, strftime(ts,'%Y%m%d') visit_day from first_opening"
+QUERIES["stream_dim_table"] = """
+    select cast(c_custkey as varchar) id, concat(c_name, case when c_custkey%5=0 then 'x' else '' end) as name
+    from customer"""
 QUERIES["stream_route_changes"] = QUERIES["route_changes"]
 
 

@@ -10,10 +10,13 @@ from millrace.functions import text
 from millrace.functions.times import SECOND_FORMAT
 from millrace.operators import changes, facts, joins, logs, serving, stats, visits
 from millrace.plans.expected_sql import ASOF
-from millrace.session import tune
+from millrace.session import scratch_dir, tune
+from millrace.sinks import dims, tables
 from millrace.sources.changes import load_routes, normalize_change
 from millrace.sources.shop_tables import ShopTables
 from millrace.sources.topics import to_json_rows
+from millrace.streaming import jobs, stateful
+from millrace.streaming.replay import Feed, replay
 
 TIE = ("event_id",)
 QUERIES: dict[str, Callable[[ShopTables], DataFrame]] = {}
@@ -476,6 +479,120 @@ def upsert_by_key(t):
     return changes.upsert_by_key(users, "id", "seq").select("id", field("name"), field("level"))
 
 
+# ---- the same work on streams --------------------------------------------------------------
+# Each run stores its input, streams it in two steps with a restart in between, and returns the
+# written result, which has to equal the batch operator's.
+
+
+def _written(t: ShopTables, path: str) -> DataFrame:
+    return t.spark.read.parquet(path)
+
+
+@query
+def stream_unique_visits(t):
+    feed = Feed(t.page_log().select("mid", "ts", "page_id", "last_page_id"), "ts")
+    out = replay(t.spark, "unique_visits", {"pages": feed},
+                 lambda s: stateful.unique_visits_stream(s["pages"]))
+    return _written(t, out).select("mid", F.date_format("ts", "yyyyMMdd").alias("visit_day"))
+
+
+@query
+def stream_user_jumps(t):
+    feed = Feed(t.page_log().select("event_id", "mid", "ts", "page_id", "last_page_id"), "ts",
+                {"mid": "~"})
+    out = replay(t.spark, "user_jumps", {"pages": feed},
+                 lambda s: stateful.user_jumps_stream(s["pages"], tie=TIE))
+    return _written(t, out).select("event_id", "mid", "page_id")
+
+
+@query
+def stream_repair_is_new(t):
+    feed = Feed(t.page_log().select("event_id", "mid", "ts", "is_new"), "ts")
+    out = replay(t.spark, "repair_is_new", {"logs": feed},
+                 lambda s: stateful.repair_is_new_stream(s["logs"]))
+    return _written(t, out).select("event_id", "mid", "is_new")
+
+
+@query
+def stream_order_wide(t):
+    feeds = {"order": Feed(t.order_info(), "create_time"),
+             "line": Feed(t.order_detail(), "create_time")}
+    out = replay(t.spark, "order_wide", feeds, lambda s: jobs.merged_orders(s["order"], s["line"]))
+    wide_rows = joins.enrich_province(
+        joins.enrich_user(_written(t, out), t.dim_user(), asof()), t.dim_province())
+    return wide_shown(joins.enrich_product(wide_rows, t.products()))
+
+
+@query
+def stream_payment_wide(t):
+    feeds = {"pay": Feed(t.payment_info(), "callback_time"),
+             "wide": Feed(order_lines(t, True), "create_time")}
+    out = replay(t.spark, "payment_wide", feeds,
+                 lambda s: jobs.merged_payments(s["pay"], s["wide"], salts=2))
+    return paid_shown(_written(t, out))
+
+
+@query
+def stream_visitor_stats(t):
+    feed = Feed(visitor_rows(t), "ts", {"vc": "~"})
+    return _written(t, replay(t.spark, "visitor_stats", {"rows": feed},
+                              lambda s: stats.visitor_stats(s["rows"])))
+
+
+@query
+def stream_product_stats(t):
+    feed = Feed(behaviours(t), "ts", {"sku_id": -1})
+    out = replay(t.spark, "product_stats", {"rows": feed}, lambda s: stats.product_sums(s["rows"]))
+    return joins.enrich_product(_written(t, out), t.products(), price=True)
+
+
+@query
+def stream_province_stats(t):
+    located = joins.enrich_province(order_lines(t, True), t.dim_province())
+    out = replay(t.spark, "province_stats", {"wide": Feed(located, "create_time", {"order_id": -1})},
+                 lambda s: stats.province_stats(s["wide"]))
+    return _written(t, out).drop("ts")
+
+
+@query
+def stream_keyword_search_stats(t):
+    feed = Feed(t.search_log().select("ts", "fullword"), "ts", {"fullword": "~"})
+    out = replay(t.spark, "keyword_search", {"rows": feed},
+                 lambda s: stats.keyword_search_stats(s["rows"]))
+    return _written(t, out).drop("ts")
+
+
+def _change_feed(t: ShopTables) -> Feed:
+    return Feed(captured(t).withColumn("at", F.timestamp_seconds("seq")), "at")
+
+
+@query
+def stream_route_changes(t):
+    folder = scratch_dir(t.spark, "routed")
+
+    def each(df: DataFrame, batch_id: int) -> None:
+        routes = load_routes(t.routes())
+        rows = changes.route_changes(changes.valid_changes(df), routes)
+        tables.write_batch(routed_shown(rows), folder, batch_id)
+
+    replay(t.spark, "route_changes", {"changes": _change_feed(t)}, lambda s: s["changes"], each=each)
+    return tables.read_table(t.spark, folder)
+
+
+@query
+def stream_dim_table(t):
+    folder = scratch_dir(t.spark, "dims")
+
+    def each(df: DataFrame, batch_id: int) -> None:
+        rows = changes.route_changes(changes.valid_changes(df), load_routes(t.routes()))
+        dims.append_changes(changes.split_routes(rows)[0], folder, batch_id)
+
+    replay(t.spark, "dim_table", {"changes": _change_feed(t)}, lambda s: s["changes"], each=each)
+    dims.compact(t.spark, folder)
+    _, columns = dims.dim_columns("id,name", "id")
+    return dims.current_dim(t.spark, folder, "dim_user_info", columns)
+
+
 def _bind(fn: Callable[[ShopTables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return fn(ShopTables(tune(spark), folder))
