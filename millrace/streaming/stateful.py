@@ -6,9 +6,7 @@ lives in the RocksDB store, on disk and in the checkpoint, and not in Python mem
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from datetime import timedelta
 
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -19,16 +17,16 @@ from millrace.operators.logs import blank
 from millrace.operators.neighbours import with_slices
 
 
-def _millis(t, extra: float = 0.0) -> int:
-    """Epoch millis of a naive session-zone time, rounded up."""
-    return math.ceil((t + timedelta(seconds=extra)).timestamp() * 1000)
+def _millis(micros: int) -> int:
+    """Epoch millis, rounded up."""
+    return -(-micros // 1000)
 
 
 class _Bounces(StatefulProcessor):
     """Holds rows for `within` seconds and then judges each opening row by the row after it."""
 
-    def __init__(self, row_type: StructType, time: str, order: list[str], within: float):
-        self.row_type, self.time, self.order, self.within = row_type, time, order, within
+    def __init__(self, row_type: StructType, order: list[str], within: float):
+        self.row_type, self.order, self.within = row_type, order, int(within * 1_000_000)
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -39,40 +37,36 @@ class _Bounces(StatefulProcessor):
         for row in rows:
             buffer.append(tuple(row[f] for f in self.row_type.names))
             if row["_opens"] and not row["_copy"]:
-                self.handle.registerTimer(_millis(row[self.time], self.within))
-            last = row[self.time] if last is None or row[self.time] > last else last
+                self.handle.registerTimer(_millis(row["_at"] + self.within))
+            last = row["_at"] if last is None else max(last, row["_at"])
             if len(buffer) >= 1000:
                 self.rows.appendList(buffer)
                 buffer = []
         if buffer:
             self.rows.appendList(buffer)
         if last is not None:
-            self.handle.registerTimer(_millis(last, self.within))
+            self.handle.registerTimer(_millis(last + self.within))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         due = expiredTimerInfo.getExpiryTimeInMs()
-        at = self.row_type.names.index(self.time)
-        order = [self.row_type.names.index(c) for c in self.order]
+        names = self.row_type.names
+        at, opens, copy = (names.index(c) for c in ("_at", "_opens", "_copy"))
+        order = [names.index(c) for c in self.order]
         rows = sorted(self.rows.get(), key=lambda r: tuple(r[i] for i in order))
-        limit = timedelta(seconds=self.within)
-        opens, copy = (self.row_type.names.index(c) for c in ("_opens", "_copy"))
         bounced, kept = [], []
         for i, row in enumerate(rows):
-            if _millis(row[at], self.within) > due:
+            if _millis(row[at] + self.within) > due:
                 kept.append(tuple(row))
                 continue
-            follower = rows[i + 1] if i + 1 < len(rows) else None
-            alone = follower is None or follower[at] - row[at] >= limit
+            alone = i + 1 == len(rows) or rows[i + 1][at] - row[at] >= self.within
             if row[opens] and not row[copy] and alone:
-                bounced.append(row)
+                bounced.append(Row(**{n: v for n, v in zip(names, row) if not n.startswith("_")}))
         if kept:
             self.rows.put(kept)
         else:
             self.rows.clear()
-        names = self.row_type.names
-        return iter([Row(**{n: v for n, v in zip(names, r) if not n.startswith("_")})
-                     for r in bounced])
+        return iter(bounced)
 
     def close(self) -> None:
         pass
@@ -88,12 +82,12 @@ def user_jumps_stream(pages: DataFrame, within: float = 10.0, *, key: str = "mid
     """
     slice_seconds = max(slice_seconds, int(within) + 1)
     rows = pages.filter(F.col(key).isNotNull()).withWatermark(time, delay)
-    rows = with_slices(rows, time, within, slice_seconds, "next").withColumn(
-        "_opens", blank("last_page_id"))
+    rows = with_slices(rows, time, within, slice_seconds, "next").withColumns(
+        {"_opens": blank("last_page_id"), "_at": F.unix_micros(time)})
     held = StructType([f for f in rows.schema.fields if f.name != "_slice"])
     out = StructType([StructField(f.name, f.dataType, True) for f in pages.schema.fields])
     return rows.groupBy(key, "_slice").transformWithState(
-        _Bounces(held, time, [time, *tie], within), out, "append", "eventTime")
+        _Bounces(held, ["_at", *tie], within), out, "append", "eventTime")
 
 
 class _FirstDay(StatefulProcessor):
