@@ -408,6 +408,16 @@ QUERIES = {
                cast(c_custkey%7 as varchar) as level from customer""",
 }
 
+QUERIES |= {
+    "sql_keyword_search_stats": QUERIES["keyword_search_stats"],
+    "sql_keyword_product_stats": QUERIES["keyword_product_stats"],
+    "sql_province_stats": QUERIES["province_stats"],
+    "with_event_time": f"select event_id, strftime(date_trunc('second', ts),{SECOND}) rowtime from shop_event",
+    "payment_type_labels": """
+        select payment_type, case payment_type when '1101' then 'alipay' when '1102' then 'wechat'
+                             else 'unionpay' end as label, count(*) ct from payment_info group by all""",
+}
+
 # The stream runs must end with the rows of the batch operators.
 for _batch in ("unique_visits", "user_jumps", "repair_is_new", "order_wide", "payment_wide",
                "visitor_stats", "province_stats", "keyword_search_stats", "product_stats"):

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.functions import text
+from millrace.codes import code_labels
+from millrace.functions import text, times
 from millrace.functions.times import SECOND_FORMAT
 from millrace.operators import changes, facts, joins, logs, serving, stats, visits
+from millrace.plans import sql_jobs
 from millrace.plans.expected_sql import ASOF
 from millrace.session import scratch_dir, tune
 from millrace.sinks import dims, tables
@@ -479,6 +481,47 @@ def upsert_by_key(t):
     return changes.upsert_by_key(users, "id", "seq").select("id", field("name"), field("level"))
 
 
+# ---- SQL text over views -------------------------------------------------------------------
+
+
+def _page_maps(t: ShopTables) -> DataFrame:
+    """Log rows with the page as a map, searching for part names."""
+    page = F.create_map(F.lit("page_id"), F.lit("good_list"), F.lit("item"), F.col("fullword"))
+    return t.search_log().select(page.alias("page"), F.unix_millis("ts").alias("ts"))
+
+
+@query
+def sql_keyword_search_stats(t):
+    sql_jobs.page_view(_page_maps(t))
+    return sql_jobs.run(t.spark, sql_jobs.KEYWORD_SEARCH).drop("ts")
+
+
+@query
+def sql_keyword_product_stats(t):
+    products_sold(t).createOrReplaceTempView("product_stats")
+    return sql_jobs.run(t.spark, sql_jobs.KEYWORD_PRODUCT).drop("ts")
+
+
+@query
+def sql_province_stats(t):
+    sql_jobs.order_wide(joins.enrich_province(order_lines(t, True), t.dim_province()))
+    return sql_jobs.run(t.spark, sql_jobs.PROVINCE).drop("ts")
+
+
+@query
+def with_event_time(t):
+    lines = t.page_views().select("event_id", F.unix_millis("ts").alias("ts"))
+    timed = times.with_event_time(lines, "ts", "rowtime", "seconds")
+    return timed.select("event_id", shown("rowtime"))
+
+
+@query
+def payment_type_labels(t):
+    labels = code_labels(t.spark).filter("code_group = 'payment_type'")
+    return t.payment_info().join(labels, F.col("payment_type") == F.col("code")).groupBy(
+        "payment_type", "label").agg(F.count("*").alias("ct"))
+
+
 # ---- the same work on streams --------------------------------------------------------------
 # Each run stores its input, streams it in two steps with a restart in between, and returns the
 # written result, which has to equal the batch operator's.

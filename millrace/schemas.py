@@ -4,11 +4,11 @@ from __future__ import annotations
 
 MONEY = "DECIMAL(16,2)"
 
-# One line of the raw event log. `start` is only tested for presence.
+# One line of the raw event log. `start` is only tested for presence and kept as its JSON text.
 RAW_LOG = """
     common STRUCT<mid: STRING, vc: STRING, ch: STRING, ar: STRING, is_new: STRING>,
     page STRUCT<page_id: STRING, last_page_id: STRING, item: STRING, during_time: BIGINT>,
-    start MAP<STRING, STRING>,
+    start STRING,
     displays ARRAY<STRUCT<item: STRING, item_type: STRING>>,
     ts BIGINT
 """
