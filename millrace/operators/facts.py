@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from millrace.codes import APPRAISE_GOOD
-from millrace.functions.numbers import zero
-from millrace.operators.logs import blank
 
 AMOUNT = "decimal(18,4)"
 
@@ -24,59 +22,61 @@ VISITOR_DIMS = ["vc", "ch", "ar", "is_new"]
 VISITOR_MEASURES = ["uv_ct", "pv_ct", "sv_ct", "uj_ct", "dur_sum"]
 
 
-def _one(name: str) -> Column:
-    return F.lit(1).cast("bigint").alias(name)
+SKU = "try_cast(sku_id as bigint) as sku_id"
 
 
-def _sku(column: str = "sku_id") -> Column:
-    return F.col(column).try_cast("bigint").alias("sku_id")
+def _ts(column: str = "create_time") -> str:
+    return f"cast({column} as timestamp) as ts"
 
 
-def _ts(column: str) -> Column:
-    return F.col(column).cast("timestamp").alias("ts")
+def _one(name: str) -> str:
+    return f"cast(1 as bigint) as {name}"
+
+
+def _money(column: str, name: str) -> str:
+    return f"cast(coalesce({column}, 0) as {AMOUNT}) as {name}"
 
 
 def product_clicks(pages: DataFrame) -> DataFrame:
     """A view of a product's own page is a click on it."""
-    return pages.filter("page_id = 'good_detail'").select(_sku("item"), _one("click_ct"), _ts("ts"))
+    return pages.filter("page_id = 'good_detail'").selectExpr(
+        "try_cast(item as bigint) as sku_id", _one("click_ct"), _ts("ts"))
 
 
 def product_displays(displays: DataFrame) -> DataFrame:
     """An exposed object that is a product. Expects exposure rows that carry their log's `ts`."""
-    return displays.filter("item_type = 'sku_id'").select(_sku("item"), _one("display_ct"), _ts("ts"))
+    return displays.filter("item_type = 'sku_id'").selectExpr(
+        "try_cast(item as bigint) as sku_id", _one("display_ct"), _ts("ts"))
 
 
 def product_favors(favors: DataFrame) -> DataFrame:
-    return favors.select(_sku(), _one("favor_ct"), _ts("create_time"))
+    return favors.selectExpr(SKU, _one("favor_ct"), _ts())
 
 
 def product_carts(carts: DataFrame, *, literal: bool = False) -> DataFrame:
     """Cart additions; ``literal`` counts them as clicks, as the original job does."""
-    return carts.select(_sku(), _one("click_ct" if literal else "cart_ct"), _ts("create_time"))
+    return carts.selectExpr(SKU, _one("click_ct" if literal else "cart_ct"), _ts())
 
 
 def product_orders(wide: DataFrame) -> DataFrame:
-    return wide.select(_sku(), F.col("sku_num").cast("bigint").alias("order_sku_num"),
-                       zero("split_total_amount").cast(AMOUNT).alias("order_amount"),
-                       F.col("order_id").cast("bigint").alias("order_id"), _ts("create_time"))
+    return wide.selectExpr(SKU, "cast(sku_num as bigint) as order_sku_num",
+                           _money("split_total_amount", "order_amount"),
+                           "cast(order_id as bigint) as order_id", _ts())
 
 
 def product_payments(paid: DataFrame) -> DataFrame:
-    return paid.select(_sku(), zero("split_total_amount").cast(AMOUNT).alias("payment_amount"),
-                       F.col("order_id").cast("bigint").alias("paid_order_id"),
-                       _ts("payment_create_time"))
+    return paid.selectExpr(SKU, _money("split_total_amount", "payment_amount"),
+                           "cast(order_id as bigint) as paid_order_id", _ts("payment_create_time"))
 
 
 def product_refunds(refunds: DataFrame) -> DataFrame:
-    return refunds.select(_sku(), zero("refund_amount").cast(AMOUNT).alias("refund_amount"),
-                          F.col("order_id").cast("bigint").alias("refund_order_id"),
-                          _ts("create_time"))
+    return refunds.selectExpr(SKU, _money("refund_amount", "refund_amount"),
+                              "cast(order_id as bigint) as refund_order_id", _ts())
 
 
 def product_comments(comments: DataFrame) -> DataFrame:
-    good = F.when(F.col("appraise") == APPRAISE_GOOD, 1).otherwise(0)
-    return comments.select(_sku(), _one("comment_ct"), good.cast("bigint").alias("good_comment_ct"),
-                           _ts("create_time"))
+    good = f"cast(if(appraise = '{APPRAISE_GOOD}', 1, 0) as bigint) as good_comment_ct"
+    return comments.selectExpr(SKU, _one("comment_ct"), good, _ts())
 
 
 def product_behaviours(*parts: DataFrame) -> DataFrame:
@@ -92,23 +92,23 @@ def product_behaviours(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, shaped)
 
 
-def _visitor(rows: DataFrame, **measures: Column) -> DataFrame:
-    return rows.select(*VISITOR_DIMS, *[
-        measures.get(m, F.lit(0)).cast("bigint").alias(m) for m in VISITOR_MEASURES], _ts("ts"))
+def _visitor(rows: DataFrame, **measures: str) -> DataFrame:
+    return rows.selectExpr(*VISITOR_DIMS, *[
+        f"cast({measures.get(m, 0)} as bigint) as {m}" for m in VISITOR_MEASURES], _ts("ts"))
 
 
 def visitor_pages(pages: DataFrame) -> DataFrame:
     """A page view; one without a previous page also opens a visit."""
-    return _visitor(pages, pv_ct=F.lit(1), dur_sum=zero("during_time"),
-                    sv_ct=F.when(blank("last_page_id"), 1).otherwise(0))
+    return _visitor(pages, pv_ct="1", dur_sum="coalesce(during_time, 0)",
+                    sv_ct="if(coalesce(last_page_id, '') = '', 1, 0)")
 
 
 def visitor_uniques(uniques: DataFrame) -> DataFrame:
-    return _visitor(uniques, uv_ct=F.lit(1))
+    return _visitor(uniques, uv_ct="1")
 
 
 def visitor_jumps(jumps: DataFrame) -> DataFrame:
-    return _visitor(jumps, uj_ct=F.lit(1))
+    return _visitor(jumps, uj_ct="1")
 
 
 def visitor_events(pages: DataFrame, uniques: DataFrame, jumps: DataFrame, *,

@@ -95,15 +95,15 @@ def enrich_product(df: DataFrame, products: DataFrame, *, price: bool = False, *
 def merge_order(order_info: DataFrame, order_detail: DataFrame, *, slack: float = 5.0,
                 salts: int = 1) -> DataFrame:
     """Order lines with their order, both written within `slack` seconds of each other."""
-    head = order_info.select(
-        F.col("id").alias("order_id"), "province_id", "order_status", "user_id", "total_amount",
+    head = order_info.selectExpr(
+        "id as order_id", "province_id", "order_status", "user_id", "total_amount",
         "activity_reduce_amount", "coupon_reduce_amount", "original_total_amount", "feight_fee",
-        "create_time", F.date_format("create_time", "yyyy-MM-dd").alias("create_date"),
-        F.date_format("create_time", "HH").alias("create_hour"))
-    line = order_detail.select(
-        F.col("id").alias("detail_id"), F.col("order_id").alias("_order"), "sku_id", "order_price",
-        "sku_num", "sku_name", "split_total_amount", "split_activity_amount", "split_coupon_amount",
-        F.col("create_time").alias("_line_time"))
+        "create_time", "date_format(create_time, 'yyyy-MM-dd') as create_date",
+        "date_format(create_time, 'HH') as create_hour")
+    line = order_detail.selectExpr(
+        "id as detail_id", "order_id as _order", "sku_id", "order_price", "sku_num", "sku_name",
+        "split_total_amount", "split_activity_amount", "split_coupon_amount",
+        "create_time as _line_time")
     return interval_join(head, line, ("order_id", "_order"), ("create_time", "_line_time"),
                          -slack, slack, salts=salts, spread_by="detail_id"
                          ).drop("_order", "_line_time")
@@ -124,10 +124,10 @@ def merge_payment(payment_info: DataFrame, wide: DataFrame, *, horizon: float =
 
     Fields both sides have come from the payment; the order's time is ``order_create_time``.
     """
-    pay = payment_info.select(
-        F.col("id").alias("payment_id"), F.col("order_id").alias("_paid_order"), "subject",
-        "payment_type", F.col("create_time").alias("payment_create_time"), "callback_time",
-        F.col("user_id").alias("_pay_user"), F.col("total_amount").alias("_pay_total"))
+    pay = payment_info.selectExpr(
+        "id as payment_id", "order_id as _paid_order", "subject", "payment_type",
+        "create_time as payment_create_time", "callback_time", "user_id as _pay_user",
+        "total_amount as _pay_total")
     lines = wide.withColumnRenamed("create_time", "order_create_time").drop("create_date",
                                                                             "create_hour")
     joined = interval_join(pay, lines, ("_paid_order", "order_id"),

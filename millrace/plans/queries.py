@@ -15,7 +15,7 @@ from millrace.plans.expected_sql import ASOF
 from millrace.session import scratch_dir, tune
 from millrace.sinks import dims, tables
 from millrace.sources.changes import load_routes, normalize_change
-from millrace.sources.shop_tables import ShopTables
+from millrace.sources.shop_tables import ShopTables, once
 from millrace.sources.topics import to_json_rows
 from millrace.streaming import jobs, stateful
 from millrace.streaming.replay import Feed, replay
@@ -44,6 +44,7 @@ def in_millis(df: DataFrame) -> DataFrame:
 # ---- stages several queries share ----------------------------------------------------------
 
 
+@once
 def order_lines(t: ShopTables, located: bool = False) -> DataFrame:
     return joins.merge_order(t.order_info(located), t.order_detail())
 
@@ -53,6 +54,7 @@ def wide(t: ShopTables) -> DataFrame:
                             t.products(), asof())
 
 
+@once
 def paid_lines(t: ShopTables) -> DataFrame:
     return joins.merge_payment(t.payment_info(), order_lines(t))
 

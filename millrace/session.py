@@ -25,7 +25,10 @@ def build(app: str = "millrace", master: str | None = None, **conf: str) -> Spar
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for name, value in {**RUNTIME, **conf}.items():
+    # Plans here are built from many expressions; recording a Python call site for each of them
+    # would take longer than planning.
+    fixed = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+    for name, value in {**fixed, **RUNTIME, **conf}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 

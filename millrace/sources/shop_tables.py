@@ -6,6 +6,8 @@ session-zone timestamps.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.operators.joins import product_dim
@@ -25,27 +27,34 @@ ROUTES = [
 ]
 
 
-def _text(prefix: str, number: Column) -> Column:
-    return F.concat(F.lit(prefix), number.cast("string"))
+MONEY = "decimal(16,2)"
+NO_MONEY = f"cast(0 as {MONEY})"
+NO_TEXT = "cast(null as string)"
 
 
-def _later(time: Column, secs: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(time) + secs.cast("bigint") * 1_000_000)
+def _later(time: str, secs: str) -> str:
+    return f"timestamp_micros(unix_micros({time}) + cast({secs} as bigint) * 1000000)"
 
 
-def _money(column: str) -> Column:
-    return F.col(column).cast("decimal(16,2)")
+def once(method):
+    """Build a frame only once per object (or per first argument); frames are lazy plans."""
+    @wraps(method)
+    def get(self, *args):
+        key = (method.__name__, *args)
+        if key not in self.frames:
+            self.frames[key] = method(self, *args)
+        return self.frames[key]
+    return get
 
 
 class ShopTables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._tables: dict[str, DataFrame] = {}
+        self.frames: dict[tuple, DataFrame] = {}
 
+    @once
     def table(self, name: str) -> DataFrame:
-        if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return self._tables[name]
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     # ---- event log -------------------------------------------------------------------------
 
@@ -63,22 +72,23 @@ class ShopTables:
             "get_json_object(props, '$.k') as item",
             "cast(round(value * 100) as bigint) * 10 as during_time")
 
+    @once
     def page_views(self) -> DataFrame:
         """Page views without their previous page."""
         return self._events()
 
+    @once
     def page_log(self) -> DataFrame:
         """Page views; the previous page is known when it was opened less than 6 hours before."""
         linked = with_neighbour(self._events(), "user_id", "ts", {"last_page_id": "page_id"},
                                 reach=6 * HOUR, slice_seconds=24 * HOUR, direction="prev",
                                 tie=("event_id",))
-        user = F.col("user_id")
-        return linked.select(
-            "event_id", _text("m", user).alias("mid"), "ts", "page_id", "last_page_id", "item",
-            "during_time", _text("v", user % 3).alias("vc"), _text("c", user % 5).alias("ch"),
-            _text("a", user % 7).alias("ar"),
-            F.when(F.col("event_id") % 2 == 0, "1").otherwise("0").alias("is_new"))
+        return linked.selectExpr(
+            "event_id", "concat('m', user_id) as mid", "ts", "page_id", "last_page_id", "item",
+            "during_time", "concat('v', user_id % 3) as vc", "concat('c', user_id % 5) as ch",
+            "concat('a', user_id % 7) as ar", "if(event_id % 2 = 0, '1', '0') as is_new")
 
+    @once
     def display_log(self) -> DataFrame:
         return self._exposed(self._events("good_list")).select(
             "event_id", "ts", F.inline("displays"))
@@ -103,6 +113,7 @@ class ShopTables:
             common, F.struct(F.lit("icon").alias("entry")).alias("start"), ms)).alias("value"))
         return page.unionByName(start)
 
+    @once
     def search_log(self) -> DataFrame:
         names = self.table("part").select("p_partkey", F.col("p_name").alias("fullword"))
         asked = self._events("good_list").select(
@@ -122,107 +133,91 @@ class ShopTables:
 
     # ---- orders ----------------------------------------------------------------------------
 
+    @once
     def _order_times(self) -> DataFrame:
-        return self.table("orders").select(
-            F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"),
-            F.col("o_orderstatus").alias("order_status"),
-            _money("o_totalprice").alias("total_amount"),
-            _later(F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 86400
-                   ).alias("create_time"))
+        ordered = _later("cast(o_orderdate as timestamp)", "o_orderkey % 86400")
+        return self.table("orders").selectExpr(
+            "o_orderkey as id", "o_custkey as user_id", "o_orderstatus as order_status",
+            f"cast(o_totalprice as {MONEY}) as total_amount", f"{ordered} as create_time")
 
+    @once
     def order_info(self, located: bool = True) -> DataFrame:
         """Orders; without `located` the province is left null and the buyers are not read."""
-        heads = self._order_times()
-        if not located:
-            return self._order(heads.withColumn("province_id", F.lit(None).cast("bigint")))
-        homes = self.table("customer").select(
-            "c_custkey", F.col("c_nationkey").cast("bigint").alias("province_id"))
-        return self._order(heads.join(homes, F.col("user_id") == F.col("c_custkey"), "left"))
-
-    @staticmethod
-    def _order(heads: DataFrame) -> DataFrame:
-        zero = F.lit(0).cast("decimal(16,2)")
-        none = F.lit(None).cast("string")
-        return heads.select(
-            "id", "province_id", "order_status", "user_id", "total_amount",
-            zero.alias("activity_reduce_amount"), zero.alias("coupon_reduce_amount"),
-            F.col("total_amount").alias("original_total_amount"), zero.alias("feight_fee"),
-            none.alias("expire_time"), "create_time", none.alias("operate_time"))
-
+        heads, place = self._order_times(), "cast(null as bigint) as province_id"
+        if located:
+            homes = self.table("customer").selectExpr("c_custkey", "c_nationkey")
+            heads = heads.join(homes, F.expr("user_id = c_custkey"), "left")
+            place = "cast(c_nationkey as bigint) as province_id"
+        return heads.selectExpr(
+            "id", place, "order_status", "user_id", "total_amount",
+            f"{NO_MONEY} as activity_reduce_amount", f"{NO_MONEY} as coupon_reduce_amount",
+            "total_amount as original_total_amount", f"{NO_MONEY} as feight_fee",
+            f"{NO_TEXT} as expire_time", "create_time", f"{NO_TEXT} as operate_time")
+
+    @once
     def order_detail(self) -> DataFrame:
-        heads = self._order_times().select("id", F.col("create_time").alias("_ordered"))
-        lines = self.table("lineitem")
-        price = F.col("l_extendedprice").cast("decimal(16,2)")
-        rate = F.col("l_discount").cast("decimal(4,2)")
-        return lines.join(heads, F.col("l_orderkey") == F.col("id")).select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-            F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku_id"),
-            price.alias("order_price"), F.col("l_quantity").cast("bigint").alias("sku_num"),
-            F.lit(None).cast("string").alias("sku_name"),
-            _later(F.col("_ordered"), F.col("l_linenumber") * 2 - 5).alias("create_time"),
-            (price * (1 - rate)).alias("split_total_amount"),
-            F.lit(0).cast("decimal(16,2)").alias("split_activity_amount"),
-            (price * rate).alias("split_coupon_amount"),
-            "l_returnflag", "l_linestatus", "l_linenumber")
-
+        heads = self._order_times().selectExpr("id as _order", "create_time as _ordered")
+        price, rate = f"cast(l_extendedprice as {MONEY})", "cast(l_discount as decimal(4,2))"
+        return self.table("lineitem").join(heads, F.expr("l_orderkey = _order")).selectExpr(
+            "l_orderkey * 10 + l_linenumber as id", "l_orderkey as order_id",
+            "l_partkey as sku_id", f"{price} as order_price", "cast(l_quantity as bigint) as sku_num",
+            f"{NO_TEXT} as sku_name", f"{_later('_ordered', 'l_linenumber * 2 - 5')} as create_time",
+            f"{price} * (1 - {rate}) as split_total_amount", f"{NO_MONEY} as split_activity_amount",
+            f"{price} * {rate} as split_coupon_amount", "l_returnflag", "l_linestatus", "l_linenumber")
+
+    @once
     def payment_info(self) -> DataFrame:
-        wait = F.col("id") % 2400
-        return self._order_times().filter("order_status <> 'O'").select(
-            "id", F.col("id").alias("order_id"), "user_id", "total_amount",
-            F.lit(None).cast("string").alias("subject"),
-            (1101 + F.col("id") % 3).cast("string").alias("payment_type"),
-            _later(F.col("create_time"), wait).alias("create_time"),
-            _later(F.col("create_time"), wait + 5).alias("callback_time"))
+        return self._order_times().filter("order_status <> 'O'").selectExpr(
+            "id", "id as order_id", "user_id", "total_amount", f"{NO_TEXT} as subject",
+            "cast(1101 + id % 3 as string) as payment_type",
+            f"{_later('create_time', 'id % 2400')} as create_time",
+            f"{_later('create_time', 'id % 2400 + 5')} as callback_time")
 
     def refund_info(self) -> DataFrame:
-        return self.order_detail().filter("l_returnflag = 'R'").select(
-            "sku_id", "order_id", F.col("order_price").alias("refund_amount"), "create_time")
+        return self.order_detail().filter("l_returnflag = 'R'").selectExpr(
+            "sku_id", "order_id", "order_price as refund_amount", "create_time")
 
     def comment_info(self) -> DataFrame:
-        return self.order_detail().filter("l_linestatus = 'F'").select(
-            "sku_id", (1201 + F.col("l_linenumber") % 4).cast("string").alias("appraise"),
-            "create_time")
+        return self.order_detail().filter("l_linestatus = 'F'").selectExpr(
+            "sku_id", "cast(1201 + l_linenumber % 4 as string) as appraise", "create_time")
 
     # ---- dimensions ------------------------------------------------------------------------
 
     def dim_user(self) -> DataFrame:
-        key = F.col("c_custkey")
-        return self.table("customer").select(
-            key.alias("id"),
-            F.date_add(F.lit("1950-01-01").cast("date"), (key % 18000).cast("int")).alias("birthday"),
-            F.when(key % 2 == 0, "M").otherwise("F").alias("gender"))
+        return self.table("customer").selectExpr(
+            "c_custkey as id", "date_add(date'1950-01-01', cast(c_custkey % 18000 as int)) as birthday",
+            "if(c_custkey % 2 = 0, 'M', 'F') as gender")
 
     def dim_province(self) -> DataFrame:
-        key = F.col("n_nationkey").cast("bigint")
-        return self.table("nation").filter("n_nationkey <> 7").select(
-            key.alias("id"), F.col("n_name").alias("name"),
-            F.col("n_regionkey").cast("string").alias("area_code"),
-            _text("P", key).alias("iso_code"), _text("CN-", key).alias("iso_3166_2"))
+        return self.table("nation").filter("n_nationkey <> 7").selectExpr(
+            "cast(n_nationkey as bigint) as id", "n_name as name",
+            "cast(n_regionkey as string) as area_code", "concat('P', n_nationkey) as iso_code",
+            "concat('CN-', n_nationkey) as iso_3166_2")
 
-    def _named(self, column: str, name: str) -> DataFrame:
+    @once
+    def _named(self, column: str) -> DataFrame:
         """One id per distinct text: the smallest part key that carries it."""
-        return self.table("part").groupBy(F.col(column).alias(name)).agg(
-            F.min("p_partkey").alias("id"))
+        return self.table("part").groupBy(column).agg(F.min("p_partkey").alias("_id"))
 
     def dim_spu(self) -> DataFrame:
-        return self._named("p_name", "spu_name").select("id", "spu_name")
+        return self._named("p_name").selectExpr("_id as id", "p_name as spu_name")
 
     def dim_category3(self) -> DataFrame:
-        return self._named("p_type", "name").select("id", "name")
+        return self._named("p_type").selectExpr("_id as id", "p_type as name")
 
     def dim_trademark(self) -> DataFrame:
-        return self.table("part").select(
-            F.substring("p_brand", 7, 10).cast("bigint").alias("id"),
-            F.col("p_brand").alias("tm_name")).distinct()
+        return self.table("part").selectExpr(
+            "cast(substring(p_brand, 7) as bigint) as id", "p_brand as tm_name").distinct()
 
     def dim_sku(self) -> DataFrame:
-        spu = self._named("p_name", "p_name").withColumnRenamed("id", "spu_id")
-        cat = self._named("p_type", "p_type").withColumnRenamed("id", "category3_id")
-        return self.table("part").join(spu, "p_name").join(cat, "p_type").select(
-            F.col("p_partkey").alias("id"), F.col("p_name").alias("sku_name"),
-            _money("p_retailprice").alias("price"), "spu_id",
-            F.substring("p_brand", 7, 10).cast("bigint").alias("tm_id"), "category3_id")
-
+        spu = self._named("p_name").selectExpr("p_name as _name", "_id as spu_id")
+        cat = self._named("p_type").selectExpr("p_type as _type", "_id as category3_id")
+        return self.table("part").join(spu, F.expr("p_name = _name")).join(
+            cat, F.expr("p_type = _type")).selectExpr(
+            "p_partkey as id", "p_name as sku_name", f"cast(p_retailprice as {MONEY}) as price",
+            "spu_id", "cast(substring(p_brand, 7) as bigint) as tm_id", "category3_id")
+
+    @once
     def products(self) -> DataFrame:
         return product_dim(self.dim_sku(), self.dim_spu(), self.dim_category3(),
                            self.dim_trademark())
