@@ -50,7 +50,10 @@ def parse_json(df: DataFrame, schema: str | StructType, column: str = "value") -
     parsed = F.from_json(column, shape, {"mode": "PERMISSIVE",
                                          "columnNameOfCorruptRecord": CORRUPT})
     rest = [c for c in df.columns if c != column]
-    return (df.select(*rest, F.col(column).alias("_text"), parsed.alias("_row"))
+    # The generator keeps later filters above the parser. They would otherwise be pushed below
+    # the projection with a copy of the parser in each of them.
+    once = F.inline(F.array(F.struct(F.col(column).alias("_text"), parsed.alias("_row"))))
+    return (df.select(*rest, once)
               .select(*rest, *[F.col(f"_row.`{f.name}`") for f in shape.fields[:-1]],
                       F.when(F.col("_row").isNull(), F.coalesce("_text", F.lit("")))
                        .otherwise(F.col(f"_row.{CORRUPT}")).alias(CORRUPT)))
