@@ -36,27 +36,25 @@ class _Bounces(StatefulProcessor):
         last, buffer = None, []
         for row in rows:
             buffer.append(tuple(row[f] for f in self.row_type.names))
-            if row["_opens"] and not row["_copy"]:
-                self.handle.registerTimer(_millis(row["_at"] + self.within))
             last = row["_at"] if last is None else max(last, row["_at"])
             if len(buffer) >= 1000:
                 self.rows.appendList(buffer)
                 buffer = []
         if buffer:
             self.rows.appendList(buffer)
-        if last is not None:
+        if last is not None:    # by then every row of this batch can be judged
             self.handle.registerTimer(_millis(last + self.within))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
+        passed = timerValues.getCurrentWatermarkInMs()
         names = self.row_type.names
         at, opens, copy = (names.index(c) for c in ("_at", "_opens", "_copy"))
         order = [names.index(c) for c in self.order]
         rows = sorted(self.rows.get(), key=lambda r: tuple(r[i] for i in order))
         bounced, kept = [], []
         for i, row in enumerate(rows):
-            if _millis(row[at] + self.within) > due:
+            if _millis(row[at] + self.within) > passed:
                 kept.append(tuple(row))
                 continue
             alone = i + 1 == len(rows) or rows[i + 1][at] - row[at] >= self.within
@@ -74,19 +72,23 @@ class _Bounces(StatefulProcessor):
 
 def user_jumps_stream(pages: DataFrame, within: float = 10.0, *, key: str = "mid",
                       time: str = "ts", tie: tuple[str, ...] = (), delay: str = "0 seconds",
-                      slice_seconds: int = 60) -> DataFrame:
+                      slice_seconds: int = 30, lanes: int = 8) -> DataFrame:
     """Bounces of a page stream, emitted once the watermark has passed their waiting time.
 
-    Keys are cut into time slices like the batch operator's, so the rows held per state key are
-    those of one slice, and one busy device is spread over its slices.
+    A key's time slices are dealt in turn over `lanes` state keys, so one busy device is spread
+    over them. Slices that share a lane are farther apart than `within`; the start of a slice
+    is also copied to the lane of the slice before it, which has to see it.
     """
     slice_seconds = max(slice_seconds, int(within) + 1)
+    if lanes < 3:
+        raise ValueError("at least three lanes keep slices of one lane apart")
     rows = pages.filter(F.col(key).isNotNull()).withWatermark(time, delay)
     rows = with_slices(rows, time, within, slice_seconds, "next").withColumns(
-        {"_opens": blank("last_page_id"), "_at": F.unix_micros(time)})
-    held = StructType([f for f in rows.schema.fields if f.name != "_slice"])
+        {"_opens": blank("last_page_id"), "_at": F.unix_micros(time),
+         "_lane": F.pmod("_slice", F.lit(lanes)).cast("int")}).drop("_slice")
+    held = StructType([f for f in rows.schema.fields if f.name != "_lane"])
     out = StructType([StructField(f.name, f.dataType, True) for f in pages.schema.fields])
-    return rows.groupBy(key, "_slice").transformWithState(
+    return rows.groupBy(key, "_lane").transformWithState(
         _Bounces(held, ["_at", *tie], within), out, "append", "eventTime")
 
 

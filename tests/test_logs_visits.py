@@ -109,6 +109,32 @@ def test_bounce_stream_matches_batch(spark):
     assert [r[0] for r in rows(spark.read.parquet(out), "id")] == plain_bounces(data, 10)
 
 
+def test_late_rows_of_stateful_streams(spark):
+    """A row behind the watermark is dropped; a day older than `keep` is forgotten and closed."""
+    data = [("a", at(100), "home", None), ("a", at(15), "home", None), ("a", at(101), "x", "home")]
+    first = pages(spark, data[:1])
+    from millrace.session import scratch_dir
+    from millrace.streaming.runner import finish, start
+    base, late = scratch_dir(spark, "late"), 0
+    for rows_ in (first, pages(spark, data).filter("id > 0"), pages(spark, [("~", at(9999), "x", "y")])):
+        rows_.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(PAGES).parquet(f"{base}/in")
+        late += sum(p["late_rows"] for p in finish(start(
+            stateful.user_jumps_stream(stream, tie=("id",)), name="late", once=True,
+            path=f"{base}/out", checkpoint=f"{base}/cp")))
+    assert spark.read.schema(PAGES).parquet(f"{base}/out").count() == 0     # answered at 101; 15 was late
+    assert late == 1
+
+    base = scratch_dir(spark, "old")
+    day = 86400
+    for n, t in enumerate((5 * day, 0, 5 * day + 9)):
+        pages(spark, [("a", at(t), "home", None)]).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(PAGES).parquet(f"{base}/in")
+        finish(start(stateful.unique_visits_stream(stream), name="old", once=True, path=f"{base}/out",
+                     checkpoint=f"{base}/cp"))
+    assert rows(spark.read.parquet(f"{base}/out"), "ts") == [(at(5 * day),)]
+
+
 def test_unique_visits(spark):
     day = 86400
     df = pages(spark, [
