@@ -7,6 +7,9 @@ set of ids is ever held in memory.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace import schemas
@@ -18,6 +21,7 @@ from millrace.operators.joins import enrich_product
 
 WINDOW = "10 seconds"
 AMOUNT_SUM = "decimal(28,4)"
+MONEY = {m for m, kind in facts.PRODUCT_MEASURES.items() if kind == facts.AMOUNT}
 
 
 def _units(column: str) -> Column:
@@ -72,23 +76,48 @@ def visitor_stats(events: DataFrame, *, size: str = WINDOW, delay: str | None =
                       F.unix_millis("_ts").alias("ts"))
 
 
-def product_sums(behaviours: DataFrame, *, size: str = WINDOW, delay: str | None = "3 seconds"
-                 ) -> DataFrame:
-    """Product measures per sku, before the product attributes are looked up."""
-    measures = facts.PRODUCT_MEASURES
-    money = {m for m, t in measures.items() if t == facts.AMOUNT}
-    per_id = (watermarked(behaviours, "ts", delay)
-              .groupBy(tumble("ts", size), "sku_id", *facts.PRODUCT_IDS)
-              .agg(*[F.sum(_units(m) if m in money else F.col(m)).alias(m) for m in measures],
-                   F.min("ts").alias("_first")))
-    out = per_id.groupBy("window", "sku_id").agg(
-        *[F.sum(m).alias(m) for m in measures],
-        *[F.count(i).alias(n) for i, n in facts.PRODUCT_IDS.items()], _first_ms())
+def _product_parts(rows: DataFrame, size: str) -> DataFrame:
+    """One behaviour frame as window rows: measures, and 1 per distinct id it carries."""
+    rows = rows.filter("sku_id is not null and ts is not null")
+    has = set(rows.columns)
+    ids = [i for i in facts.PRODUCT_IDS if i in has]
+    measures = [m for m in facts.PRODUCT_MEASURES if m in has]
+    value = {m: _units(m) if m in MONEY else F.col(m) for m in measures}
+    if ids:
+        rows = rows.groupBy(tumble("ts", size), "sku_id", *ids).agg(
+            *[F.sum(value[m]).alias(m) for m in measures], F.min("ts").alias("_first"))
+    else:
+        rows = rows.select(tumble("ts", size), "sku_id", F.col("ts").alias("_first"),
+                           *[value[m].alias(m) for m in measures])
+    zero = "cast(0 as bigint)"
+    return rows.selectExpr(
+        "window", "sku_id", "_first",
+        *[m if m in has else f"{zero} as {m}" for m in facts.PRODUCT_MEASURES],
+        *[(f"cast({i} is not null as bigint)" if i in has else zero) + f" as {n}"
+          for i, n in facts.PRODUCT_IDS.items()])
+
+
+def product_sums(behaviours: DataFrame | Sequence[DataFrame], *, size: str = WINDOW,
+                 delay: str | None = "3 seconds") -> DataFrame:
+    """Product measures per sku, before the product attributes are looked up.
+
+    Give the behaviours as one frame or one by one. One by one, the frames that carry order ids
+    are first grouped by them on their own: coming from a join on the order they already lie
+    by order, so this level needs no further shuffle, and frames without ids skip it.
+    """
+    parts = [behaviours] if isinstance(behaviours, DataFrame) else list(behaviours)
+    if any(p.isStreaming for p in parts):
+        whole = parts[0] if len(parts) == 1 else facts.product_behaviours(*parts)
+        parts = [watermarked(whole, "ts", delay)]
+    rows = reduce(DataFrame.unionAll, [_product_parts(p, size) for p in parts])
+    sums = [*facts.PRODUCT_MEASURES, *facts.PRODUCT_IDS.values()]
+    out = rows.groupBy("window", "sku_id").agg(*[F.sum(m).alias(m) for m in sums], _first_ms())
     return out.select(*window_bounds(), "sku_id", *[
-        _amount(m) if m in money else F.col(m) for m in measures], *facts.PRODUCT_IDS.values(), "ts")
+        _amount(m) if m in MONEY else F.col(m) for m in sums], "ts")
 
 
-def product_stats(behaviours: DataFrame, products: DataFrame, **options) -> DataFrame:
+def product_stats(behaviours: DataFrame | Sequence[DataFrame], products: DataFrame, **options
+                  ) -> DataFrame:
     """Product statistics with attributes, in stored column order: aggregate first, then look up."""
     return enrich_product(product_sums(behaviours, **options), products, price=True
                           ).select(*schemas.PRODUCT_STATS)

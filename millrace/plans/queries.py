@@ -59,12 +59,11 @@ def paid_lines(t: ShopTables) -> DataFrame:
     return joins.merge_payment(t.payment_info(), order_lines(t))
 
 
-def behaviours(t: ShopTables) -> DataFrame:
-    return facts.product_behaviours(
-        facts.product_clicks(t.page_views()), facts.product_displays(t.display_log()),
-        facts.product_favors(t.favor_info()), facts.product_carts(t.cart_info()),
-        facts.product_orders(order_lines(t)), facts.product_payments(paid_lines(t)),
-        facts.product_refunds(t.refund_info()), facts.product_comments(t.comment_info()))
+def behaviours(t: ShopTables) -> list[DataFrame]:
+    return [facts.product_clicks(t.page_views()), facts.product_displays(t.display_log()),
+            facts.product_favors(t.favor_info()), facts.product_carts(t.cart_info()),
+            facts.product_orders(order_lines(t)), facts.product_payments(paid_lines(t)),
+            facts.product_refunds(t.refund_info()), facts.product_comments(t.comment_info())]
 
 
 def visitor_rows(t: ShopTables) -> DataFrame:
@@ -586,7 +585,7 @@ def stream_visitor_stats(t):
 
 @query
 def stream_product_stats(t):
-    feed = Feed(behaviours(t), "ts", {"sku_id": -1})
+    feed = Feed(facts.product_behaviours(*behaviours(t)), "ts", {"sku_id": -1})
     out = replay(t.spark, "product_stats", {"rows": feed}, lambda s: stats.product_sums(s["rows"]))
     return joins.enrich_product(_written(t, out), t.products(), price=True)
 
