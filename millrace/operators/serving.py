@@ -129,38 +129,43 @@ def visitors_by_hour(stats: DataFrame, date: int | None = 0, *, literal: bool =
     With ``date=None`` every day that has rows gets its hours; ``literal`` stops before 23, as
     the original page does.
     """
-    days = on_day(stats, date)
-    spark = stats.sparkSession
-    hours = spark.range(HOURS - 1 if literal else HOURS).select(
-        F.lpad(F.col("id").cast("string"), 2, "0").alias("hr"))
-    grid, keys = hours, ["hr"]
-    sums = days.withColumn("hr", F.substring("stt", 12, 2)).groupBy("dt", "hr").agg(
-        F.sum("uv_ct").alias("uv_ct"), F.sum("pv_ct").alias("pv_ct"),
-        F.sum(F.when(F.col("is_new") == "1", F.col("uv_ct")).otherwise(0)).alias("new_uv"))
-    if date is None:
-        every = F.array(*[F.lit(f"{h:02d}") for h in range(HOURS - 1 if literal else HOURS)])
-        grid = sums.select("dt").distinct().withColumn("hr", F.explode(every))
-        keys = ["dt", "hr"]
-    else:
-        sums = sums.drop("dt")
-    return grid.join(sums, keys, "left").select(
-        *keys, *[zero(c).cast("bigint").alias(c) for c in ("uv_ct", "pv_ct", "new_uv")])
+    days = on_day(stats, date).withColumn("hr", F.substring("stt", 12, 2).cast("int"))
+    new = F.when(F.col("is_new") == "1", F.col("uv_ct")).otherwise(0)
+    per_hour = days.groupBy("dt", "hr").agg(F.sum("uv_ct").alias("uv_ct"),
+                                            F.sum("pv_ct").alias("pv_ct"), F.sum(new).alias("new_uv"))
+    # At most 24 rows of a day meet here; the gaps are filled while they are laid out again.
+    seen = F.map_from_entries(F.collect_list(F.struct("hr", F.struct("uv_ct", "pv_ct", "new_uv")))
+                              ).alias("seen")
+    by_day = per_hour.groupBy("dt").agg(seen) if date is None else per_hour.agg(seen)
+
+    def line(hour: Column) -> Column:
+        found = F.try_element_at("seen", hour)
+        return F.struct(F.lpad(hour.cast("string"), 2, "0").alias("hr"), *[
+            zero(found[c]).cast("bigint").alias(c) for c in ("uv_ct", "pv_ct", "new_uv")])
+
+    hours = F.sequence(F.lit(0), F.lit(HOURS - 2 if literal else HOURS - 1))
+    return by_day.select(*(["dt"] if date is None else []), F.inline(F.transform(hours, line)))
 
 
-def _measure_of_day(stats: DataFrame, column: str, date: int | None, literal: bool) -> DataFrame:
+def day_totals(stats: DataFrame, date: int | None = 0, *, literal: bool = False) -> DataFrame:
+    """Page views and unique visitors of a day in one pass.
+
+    ``literal`` counts stored rows instead, as the original queries do.
+    """
+    total = F.count if literal else F.sum
     days = on_day(stats, date)
-    total = (F.count(column) if literal else F.sum(column)).alias(column)
-    return days.groupBy("dt").agg(total) if date is None else days.agg(total)
+    sums = [total(c).alias(c) for c in ("pv_ct", "uv_ct")]
+    return days.groupBy("dt").agg(*sums) if date is None else days.agg(*sums)
 
 
 def pv(stats: DataFrame, date: int | None = 0, *, literal: bool = False) -> DataFrame:
-    """Page views of a day; ``literal`` counts stored rows, as the original query does."""
-    return _measure_of_day(stats, "pv_ct", date, literal)
+    """Page views of a day."""
+    return day_totals(stats, date, literal=literal).drop("uv_ct")
 
 
 def uv(stats: DataFrame, date: int | None = 0, *, literal: bool = False) -> DataFrame:
-    """Unique visitors of a day; ``literal`` counts stored rows."""
-    return _measure_of_day(stats, "uv_ct", date, literal)
+    """Unique visitors of a day."""
+    return day_totals(stats, date, literal=literal).drop("pv_ct")
 
 
 def hot_keywords(stats: DataFrame, date: int | None = 0, n: int = DEFAULT_LIMIT, *,

@@ -147,14 +147,12 @@ def hot_keywords(t):
 
 @query
 def pv_uv_by_day(t):
-    v = visitors(t)
-    return serving.pv(v, None).join(serving.uv(v, None), "dt")
+    return serving.day_totals(visitors(t), None)
 
 
 @query
 def pv_uv_rows_by_day(t):
-    v = visitors(t)
-    return serving.pv(v, None, literal=True).join(serving.uv(v, None, literal=True), "dt")
+    return serving.day_totals(visitors(t), None, literal=True)
 
 
 @query
