@@ -570,7 +570,7 @@ def stream_payment_wide(t):
     feeds = {"pay": Feed(t.payment_info(), "callback_time"),
              "wide": Feed(order_lines(t, True), "create_time")}
     out = replay(t.spark, "payment_wide", feeds,
-                 lambda s: jobs.merged_payments(s["pay"], s["wide"], salts=2))
+                 lambda s: jobs.merged_payments(s["pay"], s["wide"]))
     return paid_shown(_written(t, out))
 
 

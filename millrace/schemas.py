@@ -20,7 +20,8 @@ PAGE_VIEW = "common MAP<STRING, STRING>, page MAP<STRING, STRING>, ts BIGINT"
 CAPTURED_CHANGE = """
     after MAP<STRING, STRING>,
     source STRUCT<db: STRING, `table`: STRING>,
-    op STRING
+    op STRING,
+    ts_ms BIGINT
 """
 CHANGE = "database STRING, `table` STRING, type STRING, data MAP<STRING, STRING>"
 

@@ -20,6 +20,9 @@ RUNTIME = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+TASKS_PER_CORE = 8
+
 
 def build(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -30,13 +33,20 @@ def build(app: str = "millrace", master: str | None = None, **conf: str) -> Spar
     fixed = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
     for name, value in {**fixed, **RUNTIME, **conf}.items():
         builder = builder.config(name, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else made."""
     for name, value in RUNTIME.items():
         spark.conf.set(name, value)
+    if not is_local(spark):
+        # Start shuffles fine-grained and let the adaptive plan merge small partitions, so that
+        # a large input does not have to fit the default number. Streams are not affected.
+        fine = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+        if int(spark.conf.get(INITIAL_PARTITIONS, None) or 0) < fine:
+            spark.conf.set(INITIAL_PARTITIONS, str(max(fine, int(
+                spark.conf.get("spark.sql.shuffle.partitions")))))
     return spark
 
 

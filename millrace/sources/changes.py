@@ -16,11 +16,13 @@ def _type(op: Column) -> Column:
     return F.coalesce(F.try_element_at(named, op), F.lower(op))
 
 
-def normalize_change(df: DataFrame, *, op_field: str = "type", map_create: bool = True) -> DataFrame:
+def normalize_change(df: DataFrame, *, op_field: str = "type", map_create: bool = True,
+                     with_time: bool = False) -> DataFrame:
     """Captured records (JSON text ``value``) → ``database, table, type, data``.
 
     `data` holds the row after the change, every value as text, and is empty for a delete.
-    ``op_field="operation", map_create=False`` gives the older shape, which keeps ``create``.
+    ``op_field="operation", map_create=False`` gives the older shape, which keeps ``create``;
+    `with_time` keeps the capture time ``ts_ms``, by which changes of a key can be ordered.
     """
     rows, _ = split_corrupt(parse_json(df, schemas.CAPTURED_CHANGE))
     kind = _type(F.col("op"))
@@ -31,7 +33,7 @@ def normalize_change(df: DataFrame, *, op_field: str = "type", map_create: bool
     return rows.select(*keep, F.col("source.db").alias("database"),
                        F.col("source.table").alias("table"),
                        insert_alias(kind).alias(op_field),
-                       F.coalesce("after", none).alias("data"))
+                       F.coalesce("after", none).alias("data"), *(["ts_ms"] if with_time else []))
 
 
 def parse_change(df: DataFrame) -> DataFrame:

@@ -9,19 +9,22 @@ CORRUPT = "_corrupt_record"
 
 
 def read_topic(spark: SparkSession, name: str, *, fmt: str = "kafka", stream: bool = True,
-               group: str | None = None, **options: str) -> DataFrame:
+               group: str | None = None, position: str | None = None,
+               **options: str) -> DataFrame:
     """Lines of a topic as ``value STRING``.
 
     ``fmt="kafka"`` subscribes to `name` (give ``kafka.bootstrap.servers`` as an option);
     ``fmt="text"`` reads files below the path `name`, for replay and tests. A Kafka stream
-    keeps its offsets in its checkpoint; `group` only names the consumer group.
+    keeps its offsets in its checkpoint; `group` only names the consumer group. `position` adds
+    the Kafka offset under that name, which orders the changes of a key.
     """
     reader = (spark.readStream if stream else spark.read).format(fmt)
     if fmt == "kafka":
         reader = reader.option("subscribe", name)
         if group:
             reader = reader.option("kafka.group.id", group)
-        return reader.options(**options).load().select(F.col("value").cast("string"))
+        return reader.options(**options).load().select(
+            F.col("value").cast("string"), *([F.col("offset").alias(position)] if position else []))
     return reader.options(**options).load(name).select("value")
 
 

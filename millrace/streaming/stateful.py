@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from millrace.functions.times import day_key
 from millrace.operators.logs import blank
@@ -22,6 +22,15 @@ def _millis(micros: int) -> int:
     return -(-micros // 1000)
 
 
+def _held(schema: StructType, *leave_out: str) -> StructType:
+    """The row type kept in state. Python state rows lose map values, so maps are refused."""
+    fields = [f for f in schema.fields if f.name not in leave_out]
+    maps = [f.name for f in fields if isinstance(f.dataType, MapType)]
+    if maps:
+        raise ValueError(f"turn map columns {maps} into JSON text first")
+    return StructType(fields)
+
+
 class _Bounces(StatefulProcessor):
     """Holds rows for `within` seconds and then judges each opening row by the row after it."""
 
@@ -86,7 +95,7 @@ def user_jumps_stream(pages: DataFrame, within: float = 10.0, *, key: str = "mid
     rows = with_slices(rows, time, within, slice_seconds, "next").withColumns(
         {"_opens": blank("last_page_id"), "_at": F.unix_micros(time),
          "_lane": F.pmod("_slice", F.lit(lanes)).cast("int")}).drop("_slice")
-    held = StructType([f for f in rows.schema.fields if f.name != "_lane"])
+    held = _held(rows.schema, "_lane")
     out = StructType([StructField(f.name, f.dataType, True) for f in pages.schema.fields])
     return rows.groupBy(key, "_lane").transformWithState(
         _Bounces(held, ["_at", *tie], within), out, "append", "eventTime")
@@ -145,7 +154,7 @@ def repair_is_new_stream(logs: DataFrame, *, key: str = "mid", time: str = "ts")
     rows = logs.filter(marked).withColumn("_day", day_key(time))
     out = StructType([StructField(f.name, f.dataType, True) for f in logs.schema.fields])
     fixed = rows.groupBy(key).transformWithState(
-        _FirstDay(rows.schema, "is_new"), out, "append", "none")
+        _FirstDay(_held(rows.schema), "is_new"), out, "append", "none")
     return others.select(*logs.columns).unionByName(fixed)
 
 
