@@ -12,19 +12,21 @@ def valid_changes(df: DataFrame) -> DataFrame:
     return df.filter((F.length("table") > 0) & (F.size("data") > 0))
 
 
-MAX_ROUTES = 10_000
+MAX_ROUTE_BYTES = 8 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark `df` for broadcast when a count shows it has at most `max_rows` rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_bytes: int) -> DataFrame:
+    """Mark `df` for broadcast when its rows, measured as text, take at most `max_bytes`."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(df) if (size or 0) <= max_bytes else df
 
 
 def _keyed(routes: DataFrame) -> DataFrame:
     """Routes under join names. Changes have few (table, type) pairs, so shuffling them by those
-    would pile them up; routes are counted and sent to every task when they are few."""
-    return broadcast_if_small(routes, MAX_ROUTES).select(F.col("source_table").alias("_table"), F.col("operate_type").alias("_type"),
-                         *[c for c in routes.columns if c not in ("source_table", "operate_type")])
+    would pile them up; routes are measured and sent to every task when they are small."""
+    rest = [c for c in routes.columns if c not in ("source_table", "operate_type")]
+    return broadcast_if_small(routes, MAX_ROUTE_BYTES).select(
+        F.col("source_table").alias("_table"), F.col("operate_type").alias("_type"), *rest)
 
 
 def route_changes(changes: DataFrame, routes: DataFrame) -> DataFrame:

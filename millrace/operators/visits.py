@@ -31,7 +31,7 @@ def openings(pages: DataFrame, within: float = 10.0, *, key: str = "mid", time:
     """
     seen = pages.filter(F.col(key).isNotNull()).withColumn("_has_page", ~blank("page_id"))
     paired = with_neighbour(seen, key, time, {"_next_has_page": "_has_page"}, reach=within,
-                            slice_seconds=max(slice_seconds, int(within) + 1), tie=tie)
+                            slice_seconds=slice_seconds, tie=tie)
     outcome = (F.when(F.col("_next_has_page").isNull(), "bounce")
                .when(F.col("_next_has_page"), "match").otherwise("broken"))
     return (paired.filter(blank("last_page_id")).withColumn("outcome", outcome)

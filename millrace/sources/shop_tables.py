@@ -81,7 +81,7 @@ class ShopTables:
     def page_log(self) -> DataFrame:
         """Page views; the previous page is known when it was opened less than 6 hours before."""
         linked = with_neighbour(self._events(), "user_id", "ts", {"last_page_id": "page_id"},
-                                reach=6 * HOUR, slice_seconds=24 * HOUR, direction="prev",
+                                reach=6 * HOUR, slice_seconds=HOUR // 6, direction="prev",
                                 tie=("event_id",))
         return linked.selectExpr(
             "event_id", "concat('m', user_id) as mid", "ts", "page_id", "last_page_id", "item",

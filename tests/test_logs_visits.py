@@ -161,12 +161,22 @@ def test_busy_device_is_spread_over_slices(spark):
     assert groups.agg(F.max("count")).first()[0] <= 600 / 7 / 3 + 3
 
 
-def test_previous_row_over_slice_edges(spark):
-    data = pages(spark, [("a", at(0), "p0", None), ("a", at(3599), "p1", None), ("a", at(3601), "p2", None),
-                         ("a", at(7300), "p3", None), ("a", at(10899.5), "p4", None)])
-    got = neighbours.with_neighbour(data, "mid", "ts", {"prev": "page_id"}, reach=3600,
-                                    slice_seconds=3600, direction="prev", tie=("id",))
-    assert rows(got, "id", "prev") == [(0, None), (1, "p0"), (2, "p1"), (3, None), (4, "p3")]
+def test_neighbours_match_plain_model(spark):
+    """Both ways of filling slices, both directions, against a sorted list."""
+    data = random_pages(11, 300)
+    df = pages(spark, data)
+    for direction in ("next", "prev"):
+        expected = {}
+        for mid in {d[0] for d in data}:
+            mine = sorted((d[1], i) for i, d in enumerate(data) if d[0] == mid)
+            mine = mine if direction == "prev" else mine[::-1]
+            for before, (ts, i) in zip([None, *mine], mine):
+                near = before is not None and abs((ts - before[0]).total_seconds()) < 45
+                expected[i] = before[1] if near else None
+        for size in (45, 600, 20, 7):
+            got = neighbours.with_neighbour(df, "mid", "ts", {"other": "id"}, reach=45,
+                                            slice_seconds=size, direction=direction, tie=("id",))
+            assert {r["id"]: r["other"] for r in got.collect()} == expected, (direction, size)
 
 
 def test_search_terms(spark):
