@@ -45,13 +45,13 @@ def enrich(df: DataFrame, dim: DataFrame, key: str, attrs: dict[str, Column | st
     existing column of the same name stays as it was. No broadcast is forced; a dimension below
     the broadcast threshold is sent to every task, a larger one is shuffled.
     """
-    found = dim.select(F.col(dim_key).alias("_key"), F.lit(True).alias("_hit"),
-                       *[(c if isinstance(c, Column) else F.col(c)).alias(f"_dim_{n}")
-                         for n, c in attrs.items()])
+    found = dim.select(F.expr(f"{dim_key} as _key"), F.expr("true as _hit"), *[
+        c.alias(f"_dim_{n}") if isinstance(c, Column) else F.expr(f"{c} as _dim_{n}")
+        for n, c in attrs.items()])
     found, df, same_salt = _salted(found, df, spread_by, salts)
     joined = df.join(found, (F.col(key) == F.col("_key")) & same_salt, "left")
-    new = {n: (F.when(F.col("_hit"), F.col(f"_dim_{n}")).otherwise(F.col(n)) if n in df.columns
-               else F.col(f"_dim_{n}")) for n in attrs}
+    old = set(df.columns)
+    new = {n: F.expr(f"if(_hit, _dim_{n}, {n})" if n in old else f"_dim_{n}") for n in attrs}
     return joined.withColumns(new).drop("_key", "_hit", "_salt_one", "_salt_many",
                                         *[f"_dim_{n}" for n in attrs])
 

@@ -24,17 +24,21 @@ AMOUNT_SUM = "decimal(28,4)"
 MONEY = {m for m, kind in facts.PRODUCT_MEASURES.items() if kind == facts.AMOUNT}
 
 
-def _units(column: str) -> Column:
+def _units(column: str) -> str:
     """Money as whole ten-thousandths: exact, and summed as a long instead of a wide decimal.
 
     One window and key would need 9e14 in money to overflow, which raises an error.
     """
-    return (F.col(column) * 10000).cast("bigint")
+    return f"cast({column} * 10000 as bigint)"
 
 
 def _amount(units: str) -> Column:
-    return (F.col(units).cast("decimal(20,0)") * F.expr("cast(0.0001 as decimal(5,4))")
-            ).cast(AMOUNT_SUM).alias(units)
+    return F.expr(f"cast(cast({units} as decimal(20,0)) * cast(0.0001 as decimal(5,4))"
+                  f" as {AMOUNT_SUM}) as {units}")
+
+
+def _sums(columns: Sequence[str], value: dict[str, str] | None = None) -> list[Column]:
+    return [F.expr(f"sum({(value or {}).get(c, c)}) as {c}") for c in columns]
 
 
 def _first_ms() -> Column:
@@ -69,9 +73,8 @@ def visitor_stats(events: DataFrame, *, size: str = WINDOW, delay: str | None =
     Bounces are known only once their waiting time is over, so a stream's watermark waits for
     that long on top of the usual three seconds.
     """
-    sums = [F.sum(m).alias(m) for m in facts.VISITOR_MEASURES]
     out = (watermarked(events, "ts", delay).groupBy(tumble("ts", size), *facts.VISITOR_DIMS)
-           .agg(*sums, F.min("ts").alias("_ts")))
+           .agg(*_sums(facts.VISITOR_MEASURES), F.min("ts").alias("_ts")))
     return out.select(*window_bounds(), *facts.VISITOR_DIMS, *facts.VISITOR_MEASURES,
                       F.unix_millis("_ts").alias("ts"))
 
@@ -82,13 +85,13 @@ def _product_parts(rows: DataFrame, size: str) -> DataFrame:
     has = set(rows.columns)
     ids = [i for i in facts.PRODUCT_IDS if i in has]
     measures = [m for m in facts.PRODUCT_MEASURES if m in has]
-    value = {m: _units(m) if m in MONEY else F.col(m) for m in measures}
+    value = {m: _units(m) if m in MONEY else m for m in measures}
     if ids:
         rows = rows.groupBy(tumble("ts", size), "sku_id", *ids).agg(
-            *[F.sum(value[m]).alias(m) for m in measures], F.min("ts").alias("_first"))
+            *_sums(measures, value), F.min("ts").alias("_first"))
     else:
-        rows = rows.select(tumble("ts", size), "sku_id", F.col("ts").alias("_first"),
-                           *[value[m].alias(m) for m in measures])
+        rows = rows.selectExpr(f"window(ts, '{size}') as window", "sku_id", "ts as _first",
+                               *[f"{v} as {m}" for m, v in value.items()])
     zero = "cast(0 as bigint)"
     return rows.selectExpr(
         "window", "sku_id", "_first",
@@ -111,9 +114,9 @@ def product_sums(behaviours: DataFrame | Sequence[DataFrame], *, size: str = WIN
         parts = [watermarked(whole, "ts", delay)]
     rows = reduce(DataFrame.unionAll, [_product_parts(p, size) for p in parts])
     sums = [*facts.PRODUCT_MEASURES, *facts.PRODUCT_IDS.values()]
-    out = rows.groupBy("window", "sku_id").agg(*[F.sum(m).alias(m) for m in sums], _first_ms())
+    out = rows.groupBy("window", "sku_id").agg(*_sums(sums), _first_ms())
     return out.select(*window_bounds(), "sku_id", *[
-        _amount(m) if m in MONEY else F.col(m) for m in sums], "ts")
+        _amount(m) if m in MONEY else m for m in sums], "ts")
 
 
 def product_stats(behaviours: DataFrame | Sequence[DataFrame], products: DataFrame, **options
@@ -131,7 +134,7 @@ def province_stats(wide: DataFrame, *, time: str = "create_time", size: str = WI
     rows = watermarked(wide, time, delay).withColumn(
         "order_amount", F.coalesce(F.col("split_total_amount").cast(facts.AMOUNT), F.lit(0)))
     per_order = rows.groupBy(tumble(time, size), *keys, "order_id").agg(
-        F.sum(_units("order_amount")).alias("order_amount"))
+        *_sums(["order_amount"], {"order_amount": _units("order_amount")}))
     out = per_order.groupBy("window", *keys).agg(
         F.sum("order_amount").alias("order_amount"), F.count("order_id").alias("order_count"))
     return out.select(*window_bounds(), "province_id", "province_name",
