@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality, token_counts
+from millrace.llm import language, mixing, quality, token_counts, url_filter
 
-QUERIES = (quality.op1_quality_rules, token_counts.op7_token_counts)
+QUERIES = (quality.op1_quality_rules, mixing.op3_mix_sources, language.op5_language_id,
+           url_filter.op6_url_filter, token_counts.op7_token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
