@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.llm.words import LOWER, Piece, mix, pieces
+from millrace.llm.words import Piece, folded, mix, pieces
 from millrace.session import scratch_dir
 
 BUCKETS = 1 << 15       # hashed trigrams
@@ -27,18 +27,15 @@ SMOOTH = 0.5
 SHARPNESS = 4.0         # margins are log-odds per trigram, a few tenths for clear text
 AMBIGUOUS = 0.02        # least gap of mean loss between the best two languages
 
-KEPT = LOWER.copy()     # letters and non-ASCII bytes; anything else is a gap
-KEPT[:65] = KEPT[91:97] = KEPT[123:128] = 32
+KEPT = np.arange(256, dtype=np.uint8)    # letters and non-ASCII bytes; anything else is a gap
+KEPT[:97] = KEPT[123:128] = 32
 
 
 def trigrams(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, position) of each trigram whose middle byte is no gap; rows are padded with gaps."""
-    data = KEPT[piece.data]
+    data = KEPT[folded(piece.data)]
     if not len(data):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    upper = np.zeros(len(data), dtype=bool)     # accented capitals: C3 80 … C3 9E
-    upper[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)
-    data[upper] += 0x20
     before, after = np.empty_like(data), np.empty_like(data)
     before[1:], before[0], after[:-1], after[-1] = data[:-1], 32, data[1:], 32
     starts = piece.ends[:-1][piece.ends[:-1] < len(data)]

@@ -19,6 +19,17 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+# Everything in ASCII but letters and digits: for words without the marks around them.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with A-Z and the accented capitals U+00C0 to U+00DE lower-cased."""
+    out = LOWER[data]
+    upper = np.zeros(len(data), dtype=bool)
+    upper[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out[upper] += 0x20
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,8 +92,8 @@ class Piece:
         np.cumsum(BYTE[data] * powers(BASE, len(data)), out=sums[1:])
         return sums
 
-    def words(self, lower: bool = False) -> "Words":
-        return Words(self, lower)
+    def words(self, gaps: np.ndarray = SPACE) -> "Words":
+        return Words(self, gaps)
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -96,9 +107,9 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 class Words:
     """Word positions of a piece: byte ``starts`` and ``ends``, ``first[i]`` the first word of row i."""
 
-    def __init__(self, piece: Piece, lower: bool):
+    def __init__(self, piece: Piece, gaps: np.ndarray):
         data, bounds = piece.data, piece.ends
-        inside = ~SPACE[data]
+        inside = ~gaps[data]
         begins, stops = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         stops[:-1] &= ~inside[1:]
@@ -111,10 +122,9 @@ class Words:
         self.ends = np.flatnonzero(stops) + 1
         self.first = np.searchsorted(self.starts, bounds)
         self.counts = np.diff(self.first)
-        self._lower = lower
 
-    def hashes(self) -> np.ndarray:
-        data = LOWER[self.piece.data] if self._lower else self.piece.data
+    def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
+        """A hash of each word, of other bytes in the same places if given (lower-cased, say)."""
         return span_hash(self.piece.prefix(data), self.starts, self.ends)
 
     def row(self) -> np.ndarray:
@@ -142,9 +152,8 @@ def whole(first: np.ndarray, counts: np.ndarray, k: int, n: int) -> np.ndarray:
     return np.cumsum(inside)[:n] > 0
 
 
-def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: Words, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every distinct k-word shingle, by row; a shorter row's words make one shingle."""
-    values = words.hashes()
     all_windows = windows(values, k)
     keep = whole(words.first, words.counts, k, len(all_windows))
     row = words.row()
