@@ -271,25 +271,26 @@ def outliers(stats: DataFrame, steps: int = STEPS, share: float = H_SHARE,
     rows = with_cells(stats.select("*", *features()), least)
     fit = rows.filter(~F.col("base_failed") & F.col("cell").isNotNull()).select(
         "cell", *(name for name, _ in FEATURES))
-    estimate = start(fit)
     spark, folder = stats.sparkSession, scratch_dir(stats.sparkSession, "mcd")
+
+    def kept(table: DataFrame, name: str) -> DataFrame:
+        """A table of cells, written: its size is then known, so that joining it moves no rows."""
+        table.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    estimate = kept(start(fit), "start")
     for k in range(steps):
-        core = concentrate(fit, estimate, share)
-        estimate = invert(core, inflate=False)
-        estimate.write.parquet(f"{folder}/{k}")
-        estimate = spark.read.parquet(f"{folder}/{k}")
+        estimate = kept(invert(concentrate(fit, estimate, share), inflate=False), f"step{k}")
     # consistency: scale so that the median distance is that of a normal sample, then reweight once
     spaced = fit.join(estimate, "cell").withColumn("d2", distance())
     binned = spaced.withColumn("bin", bin_of(F.col("d2"))).groupBy("cell", "bin").agg(
         F.count("*").alias("n"))
-    scale = median_bin(binned).select(
-        "cell", F.greatest(F.lit(1.0), F.col("median") / CHI2_MEDIAN).alias("scale"))
+    scale = kept(median_bin(binned).select(
+        "cell", F.greatest(F.lit(1.0), F.col("median") / CHI2_MEDIAN).alias("scale")), "scale")
     scaled = spaced.join(scale, "cell")
     core = scaled.groupBy("cell").agg(
         *moments(F.col("d2") <= CHI2_REWEIGHT * F.col("scale")), F.first("scale").alias("scale"))
-    final = invert(core, inflate=True)
-    final.write.parquet(f"{folder}/final")
-    final = spark.read.parquet(f"{folder}/final")
+    final = kept(invert(core, inflate=True), "final")
     judged = rows.join(final, "cell", "left").withColumn("d2", distance())
     ok = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= reject)
     return judged.withColumn("kept", ok).select(*stats.columns, "cell", "d2", "kept")
