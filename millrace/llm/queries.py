@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import (decontaminate, language, mixing, ngram_join, pii, quality, token_counts,
-                          url_filter)
+from millrace.llm import (decontaminate, language, mixing, ngram_join, pii, quality, suffix_dedup,
+                          token_counts, url_filter)
 
 QUERIES = (quality.op1_quality_rules, ngram_join.op2_ngram_jaccard, mixing.op3_mix_sources,
-           language.op5_language_id, url_filter.op6_url_filter, token_counts.op7_token_counts, pii.op8_pii, decontaminate.op10_decontaminate)
+           suffix_dedup.op4_suffix_dedup, language.op5_language_id, url_filter.op6_url_filter,
+           token_counts.op7_token_counts, pii.op8_pii, decontaminate.op10_decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
