@@ -1,13 +1,83 @@
-"""A training corpus from raw documents, in stages that each call one operator of millrace.llm."""
+"""A training corpus from raw documents, in stages that each call one operator of millrace.llm.
+
+A stage gets all that its predecessor kept and, but for the last, returns the same columns. Rows are
+addressed by ``doc_id``: a decision on an id holds for every row that has it. Null texts and ids and
+extra columns pass through; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.llm import decontaminate, language, mixing, ngram_join, pii
 from millrace.session import scratch_dir
 
-STAGES: list = []
-ORACLE_SQL = None
+ORACLE_SQL = None       # trained and hashed decisions; tests/llm compares with brute force instead
+
+
+def _written(table: DataFrame) -> DataFrame:
+    """A table whose size is known, so that Spark broadcasts it only if it is small."""
+    folder = scratch_dir(table.sparkSession, "decision")
+    table.write.parquet(folder)
+    return table.sparkSession.read.parquet(folder)
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not among ``ids`` (one column); null counts as an id."""
+    gone = _written(ids.toDF("_gone").distinct())
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a recognisable language: no text, no letter, or an ambiguous code."""
+    found = language.identify(docs, "doc_id")
+    return _without(docs, found.filter((F.col("lang_pred") == "und") | F.col("ambiguous")).select("doc_id"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of least id of every group connected by near-equal n-gram sets; of repeated
+    rows, one."""
+    groups = ngram_join.jaccard_join(docs)
+    later = groups.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id")
+    left = _without(docs, later)
+    again = _written(left.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")))
+    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    return left.join(again, same, "left_anti").unionByName(
+        left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that overlap with a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontaminate.overlaps(docs, items).select("id"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by the name of its kind; ``n_chars`` follows the text."""
+    name = F.xxhash64(F.coalesce("text", F.lit("")))
+    spans = (pii.find_pii(docs.select("doc_id", "text", name.alias("_of")), "doc_id", "_of")
+             .filter(F.size("spans") > 0).select(
+                 F.col("doc_id").alias("_id"), "_of", F.col("spans").alias("_spans")))
+    spans = _written(spans.dropDuplicates(["_id", "_of"]))
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (name == F.col("_of")), "left")
+    text = F.when(F.col("_spans").isNotNull(), pii.redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    out = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(kind))
+                             .otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of text in shards, by the sources' target weights, in shuffled order by ``place``."""
+    sizes, aims = mixing.planned(docs)
+    blocks = mixing.mix(sizes, aims).drop("row")
+    return mixing.block_texts(blocks, docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("language", known_language), ("near duplicates", one_of_each_group),
+          ("benchmark", without_benchmark), ("personal data", redacted), ("mix", mixed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
