@@ -23,9 +23,9 @@ from millrace.session import scratch_dir
 BUCKETS = 1 << 15       # hashed trigrams
 MOST_LANGUAGES = 255    # bound on the model: languages x buckets numbers
 EXHAUSTIVE = 7          # up to so many languages get every possible bit
-SMOOTH = 0.5
+SMOOTH = 2000.0         # trigrams that every language is lent from the mean of all
 SHARPNESS = 4.0         # margins are log-odds per trigram, a few tenths for clear text
-AMBIGUOUS = 0.02        # least gap of mean loss between the best two languages
+AMBIGUOUS = 0.1         # least gap of mean loss between the best two languages
 
 KEPT = np.arange(256, dtype=np.uint8)    # letters and non-ASCII bytes; anything else is a gap
 KEPT[:97] = KEPT[123:128] = 32
@@ -98,7 +98,9 @@ def fit(training: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
         at = {name: i for i, name in enumerate(names)}
         rows = np.array([at[x] for x in table["lang"].to_pylist()], dtype=int)
         counts[rows, table["bucket"].to_numpy()] = table["n"].to_numpy()
-    shares = (counts + SMOOTH) / (counts.sum(1, keepdims=True) + SMOOTH * BUCKETS)
+    total = counts.sum(1, keepdims=True)
+    common = ((counts + 1 / BUCKETS) / (total + 1)).mean(0) if names else 0
+    shares = (counts + SMOOTH * common) / (total + SMOOTH)
     weights = np.zeros((BUCKETS, codes.shape[1]), dtype=np.float32)
     for b in range(codes.shape[1]):
         plus, minus = shares[codes[:, b] > 0].mean(0), shares[codes[:, b] < 0].mean(0)
