@@ -1,4 +1,4 @@
-"""Word segmentation and the two keyword table functions."""
+"""Word segmentation and the keyword table functions."""
 
 from __future__ import annotations
 
@@ -77,19 +77,22 @@ def unpivot_counts(df: DataFrame, click: str = "click_ct", cart: str = "cart_ct"
 
 
 def register(spark: SparkSession) -> None:
-    """Register both table functions for `LATERAL f(...)` in SQL.
+    """Register the table functions ``words_of`` and ``word_scores`` for `LATERAL f(...)` in SQL.
 
     They are SQL functions, so a lateral join over them becomes a plain Generate step.
     """
-    spark.sql("""
-        CREATE OR REPLACE TEMPORARY FUNCTION ik_analyze(txt STRING) RETURNS TABLE (word STRING)
-        RETURN SELECT explode(regexp_extract_all(lower(txt), r'([\\p{L}\\p{N}]+)', 1))
+    found = r"regexp_extract_all(lower({}), r'([\p{{L}}\p{{N}}]+)', 1)"
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION words_of(txt STRING) RETURNS TABLE (word STRING)
+        RETURN SELECT explode({found.format('txt')})
     """)
+    counts = ", ".join(f"named_struct('ct', {c}, 'source', '{s}')"
+                       for c, s in (("click", CLICK), ("cart", CART), ("orders", ORDER)))
     spark.sql(f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION keywordProductC2R(
-            click BIGINT, cart BIGINT, orders BIGINT) RETURNS TABLE (ct BIGINT, source STRING)
-        RETURN SELECT inline(filter(array(
-            named_struct('ct', click, 'source', '{CLICK}'),
-            named_struct('ct', cart, 'source', '{CART}'),
-            named_struct('ct', orders, 'source', '{ORDER}')), p -> p.ct > 0))
+        CREATE OR REPLACE TEMPORARY FUNCTION word_scores(
+            name STRING, click BIGINT, cart BIGINT, orders BIGINT)
+        RETURNS TABLE (keyword STRING, ct BIGINT, source STRING)
+        RETURN SELECT inline(flatten(transform({found.format('name')}, w -> transform(
+            filter(array({counts}), c -> c.ct > 0),
+            c -> named_struct('keyword', w, 'ct', c.ct, 'source', c.source)))))
     """)

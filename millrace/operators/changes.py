@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, functions as F, Window
 from millrace.codes import SINK_DIM, SINK_FACT
 
 
-def valid_changes(df: DataFrame) -> DataFrame:
-    """Changes that name a table and carry data."""
-    return df.filter((F.length("table") > 0) & (F.size("data") > 0))
+def valid_changes(df: DataFrame, deletes: bool = False) -> DataFrame:
+    """Changes that name a table and carry data; with `deletes` also those that only name the row
+    ``before`` them."""
+    carried = F.size("data") > 0
+    if deletes:
+        carried = carried | ((F.col("type") == "delete") & (F.size("before") > 0))
+    return df.filter((F.length("table") > 0) & carried)
 
 
 MAX_ROUTE_BYTES = 8 * 1024 * 1024
@@ -70,16 +74,29 @@ def latest_by_key(changes: DataFrame, pk: str | list[str], seq: str | list[str],
     return rows.filter(F.col(type_column) != "delete") if on_delete == "drop" else rows
 
 
-def upsert_by_key(changes: DataFrame, pk: str, seq: str, data: str = "data") -> DataFrame:
+def upsert_by_key(changes: DataFrame, pk: str, seq: str, data: str = "data",
+                  deleted: str | None = None) -> DataFrame:
     """Fold data maps per key, field by field: a change only touches the fields it carries.
 
-    Returns ``pk`` and the merged map. Each field is ranked on its own, so the rows collected
-    per key at the end are at most one per field of the table.
+    Returns ``pk`` and the merged map. The newest value of a field is found by an aggregate that
+    combines before the shuffle, and at most one row per field of the table is collected per key.
+    Where the boolean `deleted` is true the key is removed, and only later changes count.
     """
-    keyed = changes.select(F.try_element_at(data, F.lit(pk)).alias(pk), seq, data) \
-        if pk not in changes.columns else changes.select(pk, seq, data)
-    fields = keyed.filter(F.col(pk).isNotNull()).select(pk, seq, F.explode(data).alias("_f", "_v"))
-    newest = Window.partitionBy(pk, "_f").orderBy(F.desc(seq))
-    current = fields.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1")
-    return current.groupBy(pk).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("_f", "_v")))).alias(data))
+    gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+    own = F.col(pk) if pk in changes.columns else F.try_element_at(data, F.lit(pk))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    entries = F.when(gone, F.array(F.struct(F.lit(None).cast("string").alias("key"),
+                                            F.lit(None).cast("string").alias("value")))
+                     ).otherwise(F.coalesce(F.map_entries(data), none))
+    fields = changes.select(own.alias(pk), F.col(seq).alias("_seq"), F.explode(entries).alias("_e")
+                            ).filter(F.col(pk).isNotNull())
+    newest = fields.groupBy(pk, F.col("_e.key").alias("_f")).agg(
+        F.max_by(F.struct("_e.value"), "_seq").alias("_v"), F.max("_seq").alias("_seq"))
+    listed = newest.groupBy(pk).agg(
+        F.max(F.when(F.col("_f").isNull(), F.col("_seq"))).alias("_gone"),
+        F.sort_array(F.collect_list(F.struct("_f", "_v.value", "_seq"))).alias("_all"))
+    kept = F.filter("_all", lambda e: e["_f"].isNotNull() & (
+        F.col("_gone").isNull() | (e["_seq"] > F.col("_gone"))))
+    folded = listed.withColumn("_all", kept).filter(F.size("_all") > 0)
+    return folded.select(pk, F.map_from_entries(F.transform(
+        "_all", lambda e: F.struct(e["_f"], e["value"]))).alias(data))

@@ -28,8 +28,9 @@ def on_day(stats: DataFrame, date: int | None, asof: datetime.date | None = None
     days = with_day(stats)
     if date is None:
         return days
-    if date == 0:
-        date = int((asof or datetime.date.today()).strftime("%Y%m%d"))
+    if date == 0:   # today by the session's zone; a constant when the plan is made, so folders are pruned
+        today = F.current_date() if asof is None else F.lit(asof)
+        return days.filter(F.col("dt") == F.date_format(today, "yyyyMMdd").cast("int"))
     return days.filter(F.col("dt") == date)
 
 

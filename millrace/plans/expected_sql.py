@@ -28,7 +28,7 @@ VIEWS = {
         from (select *, unnest(range(0, event_id%3+1)) i from shop_event where page_id='good_list') d""",
     "search_log": """
         select e.event_id, e.ts, p_name fullword from shop_event e
-        join part on p_partkey = cast(e.item as bigint) where e.page_id='good_list'""",
+        left join part on p_partkey = cast(e.item as bigint) where e.page_id='good_list'""",
     "order_info": """
         select o_orderkey id, o_custkey user_id, cast(c_nationkey as bigint) province_id,
                o_orderstatus order_status, cast(o_totalprice as decimal(16,2)) total_amount,
@@ -61,7 +61,7 @@ VIEWS = {
         select cast(n_nationkey as bigint) id, n_name as name, cast(n_regionkey as varchar) area_code,
                concat('P', cast(n_nationkey as varchar)) iso_code,
                concat('CN-', cast(n_nationkey as varchar)) iso_3166_2
-        from nation where n_nationkey<>7""",
+        from nation""",
     "products": """
         select p_partkey id, p_name sku_name, cast(p_retailprice as decimal(16,2)) price,
                min(p_partkey) over (partition by p_name) spu_id, p_name spu_name,
@@ -382,10 +382,11 @@ QUERIES = {
         select cast(seq as bigint) seq, 'shop' as database, tbl as "table", type, id, name, level, status,
                cast(fields as bigint) fields from captured""",
     "normalize_change_raw": """
-        select tbl as "table", case type when 'insert' then 'create' else type end as operation, count(*) ct
-        from captured group by all""",
+        select cast(seq as bigint) seq, tbl as "table", id,
+               case when type='insert' and tbl<>'base_province' then 'create' else type end as operation
+        from captured""",
     "valid_changes": """
-        select tbl as "table", type, count(*) ct from captured where fields>0 group by all""",
+        select cast(seq as bigint) seq, tbl as "table", type, id from captured where fields>0""",
     "route_changes": """
         select tbl as "table", type, case tbl when 'user_info' then 'dim_user_info' else 'dwd_order_info' end sink_table,
                id, name, status, cast(2 as bigint) fields
@@ -394,8 +395,20 @@ QUERIES = {
         select tbl as "table", type, id from captured where fields>0 and tbl not in ('user_info','order_info')""",
     "split_routes": """
         select case tbl when 'user_info' then 'dim' else 'fact' end side,
-               case tbl when 'user_info' then 'dim_user_info' else 'dwd_order_info' end sink_table, count(*) ct
-        from captured where fields>0 and tbl in ('user_info','order_info') group by all""",
+               case tbl when 'user_info' then 'dim_user_info' else 'dwd_order_info' end sink_table,
+               cast(seq as bigint) seq, id
+        from captured where fields>0 and tbl in ('user_info','order_info')""",
+    "current_users": """
+        select cast(c_custkey as varchar) id, concat(c_name, case when c_custkey%5=0 then 'x' else '' end) as name
+        from customer where c_custkey%50<>0""",
+    "routes_from_changes": """
+        select n_name source_table, concat(case when n_nationkey%3=0 then 'ods_' else 'dwd_' end,
+               cast(n_nationkey as varchar)) sink_table from nation where n_nationkey%5<>0""",
+    "quarantined_changes": """
+        select cast(4 as bigint) seq, concat('{"after":{"id":', cast(c_custkey as varchar)) line
+        from customer where c_custkey%40=1""",
+    "quarantined_lines": """
+        select concat('{"common":{"mid":"m', cast(user_id as varchar)) line from events where event_id%50=3""",
     "latest_by_key": """
         select id, name, type from (
           select *, row_number() over (partition by id order by seq desc) rn from changes) x
@@ -422,7 +435,7 @@ QUERIES |= {
 for _batch in ("unique_visits", "user_jumps", "repair_is_new", "order_wide", "payment_wide",
                "visitor_stats", "province_stats", "keyword_search_stats", "product_stats"):
     QUERIES[f"stream_{_batch}"] = QUERIES[_batch]
-QUERIES["stream_unique_visits"] = "select mid, strftime(ts,'%Y%m%d') visit_day from first_opening"
+QUERIES["stream_unique_visits_late"] = QUERIES["unique_visits"]
 QUERIES["stream_dim_table"] = """
     select cast(c_custkey as varchar) id, concat(c_name, case when c_custkey%5=0 then 'x' else '' end) as name
     from customer"""

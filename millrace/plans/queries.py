@@ -14,10 +14,10 @@ from millrace.plans import sql_jobs
 from millrace.plans.expected_sql import ASOF
 from millrace.session import scratch_dir, tune
 from millrace.sinks import dims, tables
-from millrace.sources.changes import load_routes, normalize_change
+from millrace.sources.changes import keyed_data, load_routes, normalize_change
 from millrace.sources.shop_tables import ShopTables, once
-from millrace.sources.topics import to_json_rows
-from millrace.streaming import jobs, stateful
+from millrace.sources.topics import CORRUPT, to_json_rows
+from millrace.streaming import jobs, stateful, visited
 from millrace.streaming.replay import Feed, replay
 
 TIE = ("event_id",)
@@ -90,8 +90,8 @@ def keywords(t: ShopTables) -> DataFrame:
         stats.keyword_product_stats(products_sold(t)))
 
 
-def captured(t: ShopTables) -> DataFrame:
-    return normalize_change(t.captured_changes())
+def captured(t: ShopTables, **options) -> DataFrame:
+    return normalize_change(t.captured_changes(), **options)[0]
 
 
 def field(name: str) -> Column:
@@ -427,13 +427,13 @@ QUERIES["normalize_change"] = QUERIES.pop("normalize_change_query")
 
 @query
 def normalize_change_raw(t):
-    rows = normalize_change(t.captured_changes(), op_field="operation", map_create=False)
-    return rows.groupBy("table", "operation").agg(F.count("*").alias("ct"))
+    rows = captured(t, op_field="operation", map_create=False)
+    return rows.select("seq", "table", "operation", field("id"))
 
 
 @query
 def valid_changes(t):
-    return changes.valid_changes(captured(t)).groupBy("table", "type").agg(F.count("*").alias("ct"))
+    return changes.valid_changes(captured(t)).select("seq", "table", "type", field("id"))
 
 
 def routed(t: ShopTables) -> DataFrame:
@@ -458,10 +458,35 @@ def unrouted_changes(t):
 
 @query
 def split_routes(t):
-    dims, fact_rows = changes.split_routes(routed(t))
-    return (dims.select(F.lit("dim").alias("side"), "sink_table")
-            .unionByName(fact_rows.select(F.lit("fact").alias("side"), "sink_table"))
-            .groupBy("side", "sink_table").agg(F.count("*").alias("ct")))
+    dim_rows, fact_rows = changes.split_routes(routed(t))
+    return (dim_rows.select(F.lit("dim").alias("side"), "seq", "sink_table", field("id"))
+            .unionByName(fact_rows.select(F.lit("fact").alias("side"), "seq", "sink_table", field("id"))))
+
+
+@query
+def current_users(t):
+    """The users that are left, from captured JSON to typed rows; deleted ones are gone."""
+    users = captured(t, with_before=True).filter(F.col("table") == "user_info")
+    typed = keyed_data(changes.valid_changes(users, deletes=True), "id", "name")
+    return changes.latest_by_key(typed, "id", "seq", on_delete="drop").select("id", "name")
+
+
+@query
+def routes_from_changes(t):
+    rows, _ = normalize_change(t.captured_routes(), with_before=True)
+    return load_routes(rows, "seq").select("source_table", "sink_table")
+
+
+@query
+def quarantined_changes(t):
+    _, bad = normalize_change(t.captured_changes())
+    return bad.select("seq", F.col(CORRUPT).alias("line"))
+
+
+@query
+def quarantined_lines(t):
+    _, bad = logs.parse_logs(t.raw_log().unionByName(t.broken_log()))
+    return bad.select(F.col(CORRUPT).alias("line"))
 
 
 @query
@@ -532,10 +557,23 @@ def _written(t: ShopTables, path: str) -> DataFrame:
 
 @query
 def stream_unique_visits(t):
-    feed = Feed(t.page_log().select("mid", "ts", "page_id", "last_page_id"), "ts")
-    out = replay(t.spark, "unique_visits", {"pages": feed},
-                 lambda s: stateful.unique_visits_stream(s["pages"]))
-    return _written(t, out).select("mid", F.date_format("ts", "yyyyMMdd").alias("visit_day"))
+    return _streamed_visits(t, F.col("ts"))
+
+
+@query
+def stream_unique_visits_late(t):
+    """Some devices' pages arrive two days late, after newer ones of others; none is lost."""
+    late = F.col("mid").endswith("7")
+    return _streamed_visits(t, F.when(late, F.col("ts") + F.expr("interval 2 days")).otherwise(F.col("ts")))
+
+
+def _streamed_visits(t: ShopTables, arrives: Column) -> DataFrame:
+    pages = t.page_log().select("event_id", "mid", "ts", "page_id", "last_page_id", arrives.alias("arrives"))
+    folder = scratch_dir(t.spark, "visits")
+    replay(t.spark, "unique_visits", {"pages": Feed(pages, "arrives")}, lambda s: s["pages"],
+           each=visited.unique_visits_sink(folder, tie=TIE), rounds=3)
+    return tables.read_table(t.spark, folder).select(
+        "event_id", "mid", F.date_format("ts", "yyyyMMdd").alias("visit_day"))
 
 
 @query

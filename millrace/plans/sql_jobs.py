@@ -1,7 +1,7 @@
 """The statistics jobs as SQL text over registered views, batch or streaming alike.
 
 Views: ``page_view`` (common, page: maps; rowtime), ``order_wide`` (rowtime), ``product_stats``.
-The two table functions come from `functions.text.register`. Exact distinct counts are written
+The table functions come from `functions.text.register`. Exact distinct counts are written
 in two levels because a stream refuses ``count(distinct ...)``.
 """
 
@@ -17,17 +17,14 @@ KEYWORD_SEARCH = """
            date_format(window.start, 'yyyy-MM-dd HH:mm:ss') as stt,
            date_format(window.end, 'yyyy-MM-dd HH:mm:ss') as edt,
            unix_timestamp() * 1000 as ts
-    from (select window(rowtime, '10 seconds') as window, word as keyword
-          from (select page['item'] as fullword, rowtime from page_view
-                where page['page_id'] = 'good_list' and page['item'] is not null),
-               lateral ik_analyze(fullword))
-    group by window, keyword
+    from page_view, lateral words_of(if(page['page_id'] = 'good_list', page['item'], null)) as w(keyword)
+    group by window(rowtime, '10 seconds'), keyword
 """
 
+# A stored product row gives every word of its name once per behaviour that was counted.
 KEYWORD_PRODUCT = """
-    select word as keyword, ct, source, stt, edt, unix_timestamp() * 1000 as ts
-    from product_stats, lateral ik_analyze(spu_name),
-         lateral keywordProductC2R(click_ct, cart_ct, order_ct)
+    select scored.*, stt, edt, unix_timestamp() * 1000 as ts
+    from product_stats as p, lateral word_scores(p.spu_name, p.click_ct, p.cart_ct, p.order_ct) as scored
 """
 
 PROVINCE = """
@@ -38,7 +35,8 @@ PROVINCE = """
            cast(sum(amount) as decimal(28,4)) as order_amount, count(order_id) as order_count,
            unix_timestamp() * 1000 as ts
     from (select window, province_id, province_name, province_area_code, province_iso_code,
-                 province_3166_2_code, order_id, sum(cast(split_total_amount as decimal(18,4))) as amount
+                 province_3166_2_code, order_id,
+                 sum(coalesce(cast(split_total_amount as decimal(18,4)), 0)) as amount
           from (select window(rowtime, '10 seconds') as window, * from order_wide)
           group by window, province_id, province_name, province_area_code, province_iso_code,
                    province_3166_2_code, order_id)

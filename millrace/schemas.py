@@ -18,6 +18,7 @@ PAGE_VIEW = "common MAP<STRING, STRING>, page MAP<STRING, STRING>, ts BIGINT"
 
 # A database change as captured, and after normalisation.
 CAPTURED_CHANGE = """
+    before MAP<STRING, STRING>,
     after MAP<STRING, STRING>,
     source STRUCT<db: STRING, `table`: STRING>,
     op STRING,

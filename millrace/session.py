@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -37,9 +36,11 @@ def build(app: str = "millrace", master: str | None = None, **conf: str) -> Spar
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else made."""
+    """Give a session somebody else made the runtime settings it does not set itself."""
+    chosen = {r["key"] for r in spark.sql("SET").collect()}
     for name, value in RUNTIME.items():
-        spark.conf.set(name, value)
+        if name not in chosen:
+            spark.conf.set(name, value)
     if not is_local(spark):
         # Start shuffles fine-grained and let the adaptive plan merge small partitions, so that
         # a large input does not have to fit the default number. Streams are not affected.
@@ -57,12 +58,9 @@ def is_local(spark: SparkSession) -> bool:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for written intermediate tables and stream checkpoints.
 
-    It lies below the shared folder named in ``spark.checkpoint.dir``, so every executor sees
-    it and a lost executor loses nothing. Only a local session may go without that setting.
+    It lies below the shared folder named in ``spark.checkpoint.dir``, or else in the session's
+    warehouse, so every executor sees it and a lost executor loses nothing.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not is_local(spark):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    root = spark.conf.get("spark.checkpoint.dir", None) or \
+        f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"

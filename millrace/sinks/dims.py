@@ -20,15 +20,25 @@ def dim_columns(sink_columns: str | None, sink_pk: str | None) -> tuple[str, lis
     return pk, [pk, *[c for c in listed if c != pk]]
 
 
-def append_changes(dims: DataFrame, path: str, batch_id: int, seq: str = "seq") -> None:
+def append_changes(dims: DataFrame, path: str, batch_id: int, seq: str = "seq",
+                   on_delete: str = "keep") -> None:
     """Append a micro-batch of routed dimension changes; changes without data are skipped.
 
-    `seq` orders the changes inside a batch, for example a log position.
+    `seq` orders the changes inside a batch, for example a log position. With ``on_delete="drop"``
+    a delete removes its row, known by ``data`` or by the row ``before`` it; otherwise the last
+    values stay.
     """
-    rows = dims.filter(F.size("data") > 0).select(
+    if on_delete not in ("keep", "drop"):
+        raise ValueError(on_delete)
+    data, deleted = F.col("data"), F.lit(False)
+    if on_delete == "drop":
+        deleted = F.coalesce(F.col("type") == "delete", F.lit(False))
+        if "before" in dims.columns:
+            data = F.when(deleted & (F.size("data") <= 0), F.col("before")).otherwise(data)
+    rows = dims.withColumns({"data": data, "deleted": deleted}).filter(F.size("data") > 0).select(
         "sink_table", F.coalesce("sink_pk", F.lit("id")).alias("sink_pk"),
         F.lit(batch_id).cast("bigint").alias("batch_no"), F.col(seq).cast("bigint").alias("seq"),
-        "data")
+        "data", "deleted")
     write_batch(rows, f"{path}/log", batch_id, ["sink_table"])
 
 
@@ -44,16 +54,17 @@ def _versions(spark: SparkSession, path: str) -> tuple[int, int] | None:
 
 
 def _changes(spark: SparkSession, path: str, table: str | None) -> DataFrame:
-    log = spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log").drop("batch")
+    log = spark.read.parquet(f"{path}/log")
     rows = log.filter(F.col("sink_table") == table) if table else log
     newest = _versions(spark, path)
     if newest is None:
-        return rows
+        return rows.drop("batch")
     version, upto = newest
     snap = spark.read.option("basePath", f"{path}/snapshot/v={version}").parquet(
         f"{path}/snapshot/v={version}")
     snap = snap.filter(F.col("sink_table") == table) if table else snap
-    return rows.filter(F.col("batch_no") > upto).unionByName(snap)
+    # `batch` names the folders: what the snapshot holds is not opened again
+    return rows.filter(F.col("batch") > upto).drop("batch").unionByName(snap)
 
 
 def _fold(rows: DataFrame) -> DataFrame:
@@ -62,7 +73,7 @@ def _fold(rows: DataFrame) -> DataFrame:
         "_id": F.struct("sink_table", "sink_pk",
                         F.try_element_at("data", F.col("sink_pk")).alias("key")),
         "_seq": F.struct("batch_no", "seq")})
-    return upsert_by_key(keyed.filter("_id.key is not null"), "_id", "_seq")
+    return upsert_by_key(keyed.filter("_id.key is not null"), "_id", "_seq", deleted="deleted")
 
 
 def current_dim(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
@@ -80,7 +91,7 @@ def compact(spark: SparkSession, path: str) -> int:
     upto = max(x for x in (seen, newest[1] if newest else -1) if x is not None)
     folded = _fold(rows.filter(F.col("batch_no") <= upto)).select(
         "_id.sink_table", "_id.sink_pk", F.lit(upto).cast("bigint").alias("batch_no"),
-        F.lit(-1).cast("bigint").alias("seq"), "data")
+        F.lit(-1).cast("bigint").alias("seq"), "data", F.lit(False).alias("deleted"))
     folded.write.mode("overwrite").partitionBy("sink_table").parquet(f"{path}/snapshot/v={version}")
     spark.createDataFrame([(version, upto)], "version bigint, upto bigint").write.mode(
         "append").parquet(f"{path}/versions")

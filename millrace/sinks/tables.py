@@ -1,4 +1,8 @@
-"""Result tables: one folder per micro-batch, partitioned by day."""
+"""Result tables: by day (or other columns) first, and below that one folder per micro-batch.
+
+A day is read from its own folder, however many batches or other days there are. Once a day is
+over, `close_day` writes it anew into few files beside the table, which later reads prefer.
+"""
 
 from __future__ import annotations
 
@@ -13,17 +17,12 @@ LAYOUTS = {"visitor_stats": schemas.VISITOR_STATS, "product_stats": schemas.PROD
            "province_stats": schemas.PROVINCE_STATS, "keyword_stats": schemas.KEYWORD_STATS}
 
 
-def batch_folder(path: str, batch_id: int) -> str:
-    return f"{path.rstrip('/')}/batch={batch_id}"
-
-
 def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: list[str] | None = None
                 ) -> None:
-    """Write one micro-batch; a repeated batch replaces its own folder and nothing else."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(batch_folder(path, batch_id))
+    """Write one micro-batch; a repeated batch replaces its own folders and nothing else."""
+    (df.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*(partition_by or []), "batch")
+     .parquet(path.rstrip("/")))
 
 
 def stats_sink(path: str, layout: str) -> Callable[[DataFrame, int], None]:
@@ -40,9 +39,38 @@ def stats_sink(path: str, layout: str) -> Callable[[DataFrame, int], None]:
     return each
 
 
+def folder_or_none(spark: SparkSession, path: str, base: str) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.option("basePath", base).parquet(path)
+    except AnalysisException:
+        return None
+
+
+def close_day(spark: SparkSession, path: str, day: int, files: int = 1) -> None:
+    """Write a finished day's rows of all batches anew as ``<path>_closed/dt=<day>``.
+
+    The folder is complete or not there at all: its rows are written aside the batches, which stay
+    untouched for whoever is reading them and can be retired later.
+    """
+    rows = spark.read.parquet(f"{path}/dt={day}").drop("batch")
+    rows.repartition(files).write.mode("overwrite").parquet(f"{path}_closed/dt={day}")
+
+
+def read_day(spark: SparkSession, path: str, day: int) -> DataFrame:
+    """One day's rows, from that day's folder alone."""
+    closed = f"{path}_closed"
+    rows = folder_or_none(spark, f"{closed}/dt={day}", closed)
+    if rows is None:
+        rows = folder_or_none(spark, f"{path}/dt={day}", path)
+    if rows is None:        # no such day: the table's columns, no rows
+        rows = spark.read.parquet(path).filter(F.col("dt") == day)
+    return rows.drop("batch")
+
+
 def read_table(spark: SparkSession, *paths: str) -> DataFrame:
-    """All batches of a table; a filter on ``dt`` reads only that day's folders."""
-    frames = [spark.read.option("basePath", p).parquet(p).drop("batch") for p in paths]
+    """All batches of a table; a filter on ``dt`` opens only that day's folders."""
+    frames = [spark.read.parquet(p).drop("batch") for p in paths]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from millrace import schemas
-from millrace.sources.topics import parse_json, read_topic, split_corrupt
+from millrace.sources.topics import CORRUPT, parse_json, read_topic, split_corrupt
 
 # One-letter operation marks of the capture format.
 OPERATIONS = {"c": "create", "u": "update", "d": "delete", "r": "read", "t": "truncate"}
@@ -17,29 +17,36 @@ def _type(op: Column) -> Column:
 
 
 def normalize_change(df: DataFrame, *, op_field: str = "type", map_create: bool = True,
-                     with_time: bool = False) -> DataFrame:
-    """Captured records (JSON text ``value``) → ``database, table, type, data``.
+                     with_time: bool = False, with_before: bool = False
+                     ) -> tuple[DataFrame, DataFrame]:
+    """Captured records (JSON text ``value``) → (``database, table, type, data``, quarantine).
 
     `data` holds the row after the change, every value as text, and is empty for a delete.
     ``op_field="operation", map_create=False`` gives the older shape, which keeps ``create``;
-    `with_time` keeps the capture time ``ts_ms``, by which changes of a key can be ordered.
+    `with_time` keeps the capture time ``ts_ms``, by which changes of a key can be ordered, and
+    `with_before` the row ``before`` the change, which is where a delete has its key. Malformed
+    lines are the quarantine.
     """
-    rows, _ = split_corrupt(parse_json(df, schemas.CAPTURED_CHANGE))
+    rows, bad = split_corrupt(parse_json(df, schemas.CAPTURED_CHANGE))
     kind = _type(F.col("op"))
     if map_create:
         kind = F.when(kind == "create", "insert").otherwise(kind)
     keep = [c for c in df.columns if c != "value"]
     none = F.create_map().cast("map<string,string>")
-    return rows.select(*keep, F.col("source.db").alias("database"),
+    before = [F.coalesce("before", none).alias("before")] if with_before else []
+    good = rows.select(*keep, F.col("source.db").alias("database"),
                        F.col("source.table").alias("table"),
                        insert_alias(kind).alias(op_field),
-                       F.coalesce("after", none).alias("data"), *(["ts_ms"] if with_time else []))
+                       F.coalesce("after", none).alias("data"), *before,
+                       *(["ts_ms"] if with_time else []))
+    return good, bad.select(*keep, CORRUPT)
 
 
-def parse_change(df: DataFrame) -> DataFrame:
-    """Change envelopes that are already ``{database, table, type, data}`` JSON."""
-    rows, _ = split_corrupt(parse_json(df, schemas.CHANGE))
-    return rows.withColumn("type", insert_alias(F.col("type")))
+def parse_change(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Change envelopes that are already ``{database, table, type, data}`` JSON, and the quarantine."""
+    rows, bad = split_corrupt(parse_json(df, schemas.CHANGE))
+    return rows.withColumn("type", insert_alias(F.col("type"))), bad.select(
+        *(c for c in df.columns if c != "value"), CORRUPT)
 
 
 def insert_alias(kind: Column) -> Column:
@@ -49,20 +56,28 @@ def insert_alias(kind: Column) -> Column:
 
 def read_changes(spark: SparkSession, name: str, *, databases: list[str] | None = None,
                  tables: list[str] | None = None, schema: str | None = None,
-                 captured: bool = True, **options) -> DataFrame:
-    """Changes from a topic or from files, narrowed to the listed databases and tables.
+                 captured: bool = True, **options) -> tuple[DataFrame, DataFrame]:
+    """Changes from a topic or from files, narrowed to the listed databases and tables, and the
+    quarantine of malformed lines.
 
     Tables may be given as ``table`` or ``database.table``. With `schema` the data map becomes
     typed columns. A snapshot followed by the log is one batch read plus one stream read.
     """
     lines = read_topic(spark, name, **options)
-    df = normalize_change(lines) if captured else parse_change(lines)
+    df, bad = normalize_change(lines) if captured else parse_change(lines)
     if databases:
         df = df.filter(F.col("database").isin(databases))
     if tables:
         full = F.concat_ws(".", "database", "table")
         df = df.filter(F.col("table").isin(tables) | full.isin(tables))
-    return typed_data(df, schema) if schema else df
+    return (typed_data(df, schema) if schema else df), bad
+
+
+def keyed_data(df: DataFrame, *fields: str) -> DataFrame:
+    """Listed fields as columns, taken from the row before the change where a delete has no data."""
+    row = F.when(F.size("data") > 0, F.col("data")).otherwise(F.col("before"))
+    rest = [c for c in df.columns if c not in ("data", "before", *fields)]
+    return df.select(*rest, *[F.try_element_at(row, F.lit(f)).alias(f) for f in fields])
 
 
 def typed_data(df: DataFrame, schema: str, column: str = "data") -> DataFrame:
@@ -78,13 +93,15 @@ def load_routes(changes: DataFrame, seq: str | None = None) -> DataFrame:
     """Current routes from changes of the route table, one per (source_table, operate_type).
 
     Accepts plain route rows too. With `seq` the latest change of a route wins, and a route
-    whose latest change is a delete is gone. Captured route columns may be in camel case.
+    whose latest change is a delete is gone: a delete without data names its route by the row
+    ``before`` it. Captured route columns may be in camel case.
     """
     cols = schemas.ROUTE_COLUMNS
     if "data" in changes.columns:
         camel = {c: c.split("_")[0] + "".join(w.title() for w in c.split("_")[1:]) for c in cols}
-        get = lambda c: F.coalesce(F.try_element_at("data", F.lit(c)),
-                                   F.try_element_at("data", F.lit(camel[c])))
+        maps = [m for m in ("data", "before") if m in changes.columns]
+        get = lambda c: F.coalesce(*[F.try_element_at(m, F.lit(n))
+                                     for m in maps for n in (c, camel[c])])
         changes = changes.select(*[get(c).alias(c) for c in cols], "type",
                                  *([seq] if seq else []))
     kind = F.col("type") if "type" in changes.columns else F.lit("insert")

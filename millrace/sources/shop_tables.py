@@ -100,6 +100,11 @@ class ShopTables:
                 cast((cast(item as int) + i) % 100 as string) as item,
                 if((event_id + i) % 2 = 0, 'sku_id', 'activity_id') as item_type))"""))
 
+    def broken_log(self) -> DataFrame:
+        """Log lines that were cut off, one for some of the events."""
+        cut = self.table("events").filter("event_id % 50 = 3")
+        return cut.select(F.concat(F.lit('{"common":{"mid":"m'), "user_id").alias("value"))
+
     def raw_log(self) -> DataFrame:
         """The log as JSON lines: one per page view, plus one start line per signup."""
         log = self._exposed(self.page_log())
@@ -118,7 +123,7 @@ class ShopTables:
         names = self.table("part").select("p_partkey", F.col("p_name").alias("fullword"))
         asked = self._events("good_list").select(
             "event_id", "ts", F.col("item").cast("bigint").alias("_item"))
-        return asked.join(names, F.col("_item") == F.col("p_partkey")).select(
+        return asked.join(names, F.col("_item") == F.col("p_partkey"), "left").select(
             "event_id", "ts", "fullword")
 
     def _sku_events(self, page_id: str) -> DataFrame:
@@ -189,7 +194,7 @@ class ShopTables:
             "if(c_custkey % 2 = 0, 'M', 'F') as gender")
 
     def dim_province(self) -> DataFrame:
-        return self.table("nation").filter("n_nationkey <> 7").selectExpr(
+        return self.table("nation").selectExpr(
             "cast(n_nationkey as bigint) as id", "n_name as name",
             "cast(n_regionkey as string) as area_code", "concat('P', n_nationkey) as iso_code",
             "concat('CN-', n_nationkey) as iso_3166_2")
@@ -229,21 +234,42 @@ class ShopTables:
         users = self.table("customer").select("c_custkey", "c_name")
         key = F.col("c_custkey")
 
-        def record(rows: DataFrame, table: str, seq: int, op: str, after: Column) -> DataFrame:
-            source = F.struct(F.lit("shop").alias("db"), F.lit(table).alias("table"))
-            return rows.select(F.lit(seq).cast("bigint").alias("seq"), F.to_json(F.struct(
-                after.alias("after"), source.alias("source"), F.lit(op).alias("op"))).alias("value"))
+        record = self._record
 
         user = F.struct(key.alias("id"), F.col("c_name").alias("name"), (key % 7).alias("level"))
         renamed = F.struct(key.alias("id"), F.concat("c_name", F.lit("x")).alias("name"))
         order = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
         nation = F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-        gone = F.lit(None).cast("struct<id: bigint>")
+        broken = users.filter(key % 40 == 1).select(
+            F.lit(4).cast("bigint").alias("seq"), F.concat(F.lit('{"after":{"id":'), key).alias("value"))
         return (record(users, "user_info", 1, "c", user)
                 .unionByName(record(users.filter(key % 5 == 0), "user_info", 2, "u", renamed))
-                .unionByName(record(users.filter(key % 50 == 0), "user_info", 3, "d", gone))
+                .unionByName(record(users.filter(key % 50 == 0), "user_info", 3, "d", None, renamed))
                 .unionByName(record(self.table("orders"), "order_info", 1, "c", order))
-                .unionByName(record(self.table("nation"), "base_province", 1, "c", nation)))
+                .unionByName(record(self.table("nation"), "base_province", 1, "bootstrap-insert", nation))
+                .unionByName(broken))
+
+    @staticmethod
+    def _record(rows: DataFrame, table: str, seq: int, op: str, after: Column | None,
+                before: Column | None = None) -> DataFrame:
+        """Captured records of one table, as JSON lines; a delete has only the row before it."""
+        source = F.struct(F.lit("shop").alias("db"), F.lit(table).alias("table"))
+        sides = [c.alias(n) for c, n in ((before, "before"), (after, "after")) if c is not None]
+        return rows.select(F.lit(seq).cast("bigint").alias("seq"), F.to_json(F.struct(
+            *sides, source.alias("source"), F.lit(op).alias("op"))).alias("value"))
+
+    def captured_routes(self) -> DataFrame:
+        """Captured changes of the route table: one route per nation, renamed for some, deleted for others."""
+        nations, key = self.table("nation"), F.col("n_nationkey")
+
+        def route(sink: Column) -> Column:
+            return F.struct(F.col("n_name").alias("sourceTable"), F.lit("insert").alias("operateType"),
+                            F.lit("kafka").alias("sinkType"), sink.alias("sinkTable"))
+
+        name, other = F.concat(F.lit("dwd_"), key), F.concat(F.lit("ods_"), key)
+        return (self._record(nations, "table_process", 1, "c", route(name))
+                .unionByName(self._record(nations.filter(key % 3 == 0), "table_process", 2, "u", route(other)))
+                .unionByName(self._record(nations.filter(key % 5 == 0), "table_process", 3, "d", None, route(name))))
 
     def changes(self) -> DataFrame:
         """Typed changes of the user table, deletes with the row they remove."""

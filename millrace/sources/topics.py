@@ -29,18 +29,20 @@ def read_topic(spark: SparkSession, name: str, *, fmt: str = "kafka", stream: bo
 
 
 def read_json_topic(spark: SparkSession, name: str, schema: str, *, fmt: str = "kafka",
-                    stream: bool = True, view: str | None = None, **options: str) -> DataFrame:
-    """A topic of JSON rows with a declared schema, optionally registered as a temp view.
+                    stream: bool = True, view: str | None = None, **options: str
+                    ) -> tuple[DataFrame, DataFrame]:
+    """A topic of JSON rows with a declared schema, optionally registered as a temp view, and the
+    quarantine of malformed lines.
 
-    A Kafka stream starts at the latest offset unless told otherwise. Malformed lines are dropped.
+    A Kafka stream starts at the latest offset unless told otherwise.
     """
     if fmt == "kafka" and stream:
         options.setdefault("startingOffsets", "latest")
-    good, _ = split_corrupt(parse_json(read_topic(spark, name, fmt=fmt, stream=stream, **options),
-                                       schema))
+    good, bad = split_corrupt(parse_json(read_topic(spark, name, fmt=fmt, stream=stream, **options),
+                                         schema))
     if view:
         good.createOrReplaceTempView(view)
-    return good
+    return good, bad.select(CORRUPT)
 
 
 def parse_json(df: DataFrame, schema: str | StructType, column: str = "value") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.functions.times import watermarked
 from millrace.operators import changes, facts, joins, logs, stats
 from millrace.sinks import dims, tables, topics
-from millrace.streaming import stateful
+from millrace.streaming import stateful, visited
 from millrace.streaming.runner import start
 
 Loader = Callable[[], DataFrame]
@@ -62,9 +62,9 @@ def route(rows: DataFrame, routes: Loader, base: str, seq: str = "seq", **option
     return _start(rows, base, "route_changes", each=each, **options)
 
 
-def unique_visits(pages: DataFrame, base: str, **options) -> StreamingQuery:
-    return _start(stateful.unique_visits_stream(pages), base, "unique_visit",
-                  path=f"{base}/unique_visit", **options)
+def unique_visits(pages: DataFrame, base: str, tie: tuple[str, ...] = (), **options) -> StreamingQuery:
+    return _start(pages, base, "unique_visit",
+                  each=visited.unique_visits_sink(f"{base}/unique_visit", tie=tie), **options)
 
 
 def user_jumps(pages: DataFrame, base: str, within: float = 10.0, **options) -> StreamingQuery:

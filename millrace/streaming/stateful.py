@@ -156,19 +156,3 @@ def repair_is_new_stream(logs: DataFrame, *, key: str = "mid", time: str = "ts")
     fixed = rows.groupBy(key).transformWithState(
         _FirstDay(_held(rows.schema), "is_new"), out, "append", "none")
     return others.select(*logs.columns).unionByName(fixed)
-
-
-def unique_visits_stream(pages: DataFrame, *, key: str = "mid", time: str = "ts",
-                         keep: str = "1 day", salts: int = 8) -> DataFrame:
-    """The first opening row to arrive of each device and day.
-
-    Duplicates are dropped twice: first per salt, so one busy device is spread over `salts`
-    tasks, then among the at most `salts` rows left of it. A day's keys are forgotten once the
-    newest day is more than `keep` ahead.
-    """
-    opened = (pages.filter(blank("last_page_id") & F.col(key).isNotNull())
-              .withColumn("_visit_day", F.date_trunc("day", time))
-              .withColumn("_salt", F.pmod(F.xxhash64(F.col(time), F.col("page_id")), F.lit(salts)))
-              .withWatermark("_visit_day", keep))
-    return (opened.dropDuplicates([key, "_visit_day", "_salt"])
-            .dropDuplicates([key, "_visit_day"]).drop("_visit_day", "_salt"))

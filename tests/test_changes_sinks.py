@@ -29,12 +29,13 @@ def lines(spark, data):
 def test_normalize_change(spark):
     df = lines(spark, [captured("t_user", "c", {"name": "lisi"}), captured("t_user", "u", {"id": 3, "ok": True}),
                        captured("t_user", "d", None), captured("t_user", "r", {"id": 1}), ("oops",)])
-    got = [(r["type"], dict(r["data"])) for r in normalize_change(df).collect()]
+    got = [(r["type"], dict(r["data"])) for r in normalize_change(df)[0].collect()]
     assert got == [("insert", {"name": "lisi"}), ("update", {"id": "3", "ok": "true"}), ("delete", {}),
                    ("read", {"id": "1"})]
-    one = normalize_change(df).toJSON().first()
+    one = normalize_change(df)[0].toJSON().first()
     assert json.loads(one) == {"database": "shop", "table": "t_user", "type": "insert", "data": {"name": "lisi"}}
-    raw = normalize_change(df, op_field="operation", map_create=False)
+    assert [r[0] for r in normalize_change(df)[1].collect()] == ["oops"]
+    raw, _ = normalize_change(df, op_field="operation", map_create=False)
     assert raw.columns == ["database", "table", "operation", "data"] and raw.first()["operation"] == "create"
 
 
@@ -49,7 +50,7 @@ ROUTE_SCHEMA = ", ".join(f"{c} string" for c in schemas.ROUTE_COLUMNS)
 
 
 def test_routing(spark):
-    df = parse_change(lines(spark, [
+    df, _ = parse_change(lines(spark, [
         envelope("user", "bootstrap-insert", {"id": 1, "name": "a", "name ": "b", "pw": "c"}),
         envelope("user", "update", {"id": 1}), envelope("user", "insert", {}), envelope("", "insert", {"a": 1}),
         envelope("order", "insert", {"id": 2, "x": 3}), envelope("brand", "insert", {"id": 2}),
@@ -77,6 +78,33 @@ def test_routes_from_changes(spark):
     assert rows(load_routes(df, "seq"), "source_table", "sink_table") == [("a", "a2")]
 
 
+def test_captured_deletes_take_effect(spark, tmp_path):
+    def record(op, before, after):
+        return (json.dumps({"before": before, "after": after, "source": {"db": "shop", "table": "user"}, "op": op}),)
+
+    a, b = {"id": 1, "name": "a"}, {"id": 2, "name": "b"}
+    data = [record("c", None, a), record("c", None, b), record("d", a, None), record("c", None, {"id": 1, "age": 9}),
+            record("d", b, None)]
+    df = spark.createDataFrame([(i, v[0]) for i, v in enumerate(data)], "seq int, value string")
+    rows_, _ = normalize_change(df, with_before=True)
+    kept = changes.valid_changes(rows_, deletes=True)
+    assert kept.count() == 5 and changes.valid_changes(rows_).count() == 3
+    from millrace.sources.changes import keyed_data
+    left = changes.latest_by_key(keyed_data(kept, "id"), "id", "seq", on_delete="drop")
+    assert rows(left, "id", "seq") == [("1", 3)]
+    routed = kept.withColumns({"sink_table": F.lit("dim_user"), "sink_pk": F.lit(None).cast("string")})
+    for n, (policy, want) in enumerate((("drop", [("1", None, "9")]), ("keep", [("1", "a", "9"), ("2", "b", None)]))):
+        path = str(tmp_path / policy)
+        for batch in (0, 1):
+            dims.append_changes(routed.filter(f"seq {'<' if batch == 0 else '>='} 3"), path, batch, on_delete=policy)
+            assert dims.compact(spark, path) == batch
+        assert rows(dims.current_dim(spark, path, "dim_user", ["id", "name", "age"])) == want
+    route = {"sourceTable": "a", "operateType": "insert", "sinkType": "kafka", "sinkTable": "a1"}
+    routes = spark.createDataFrame([(1, record("c", None, route)[0]), (2, record("d", route, None)[0]),
+                                    (1, record("c", None, {**route, "sourceTable": "b"})[0])], "seq int, value string")
+    assert rows(load_routes(normalize_change(routes, with_before=True)[0], "seq"), "source_table") == [("b",)]
+
+
 def test_latest_by_key(spark):
     df = spark.createDataFrame([(1, "insert", 1, "a"), (2, "update", 1, "b"), (1, "insert", 2, "c"),
                                 (3, "delete", 2, "c"), (4, "insert", None, "n")],
@@ -116,6 +144,9 @@ def test_dimension_store(spark, tmp_path):
     assert now() == [("1", "d", "5"), ("2", "b", "9")]
     assert dims.compact(spark, path) == 1 and now() == [("1", "d", "5"), ("2", "b", "9")]
     assert dims.dim_columns("name,id", None) == ("id", ["id", "name"])
+    plan = dims.current_dim(spark, path, "dim_user", ["id"])._jdf.queryExecution().executedPlan().toString()
+    log = next(line for line in plan.split("FileScan")[1:] if "/log" in line)
+    assert "PartitionFilters" in log and "batch" in log.split("PartitionFilters")[1].split("PushedFilters")[0]
 
 
 def test_json_in_and_out(spark):
@@ -129,7 +160,8 @@ def test_topics_from_files(spark, tmp_path):
     path = str(tmp_path / "t")
     lines(spark, [('{"ts": 1999, "page": {"page_id": "home"}}',), ("bad",)]).write.text(path)
     assert read_topic(spark, path, fmt="text", stream=False).count() == 2
-    table = read_json_topic(spark, path, schemas.PAGE_VIEW, fmt="text", stream=False, view="pv")
+    table, bad = read_json_topic(spark, path, schemas.PAGE_VIEW, fmt="text", stream=False, view="pv")
+    assert rows(bad) == [("bad",)]
     timed = with_event_time(table, "ts", "rowtime", "seconds")
     assert rows(timed, "rowtime") == [(at(1, "1970-01-01 00:00:00"),)]
     assert spark.table("pv").count() == 1
@@ -141,10 +173,10 @@ def test_topics_from_files(spark, tmp_path):
 def test_read_changes_narrows_and_types(spark, tmp_path):
     path = str(tmp_path / "c")
     lines(spark, [captured("user_info", "c", {"id": 1, "name": "a", "age": "x"}), captured("other", "c", {"id": 2}),
-                  captured("user_info", "c", {"id": 3}, db="else")]).write.text(path)
-    got = read_changes(spark, path, databases=["shop"], tables=["shop.user_info"], fmt="text", stream=False,
+                  captured("user_info", "c", {"id": 3}, db="else"), ("{cut",)]).write.text(path)
+    got, bad = read_changes(spark, path, databases=["shop"], tables=["shop.user_info"], fmt="text", stream=False,
                        schema="id INT, name STRING, age INT")
-    assert rows(got, "id", "name", "age") == [(1, "a", None)]
+    assert rows(got, "id", "name", "age") == [(1, "a", None)] and rows(bad) == [("{cut",)]
 
 
 def test_result_table_is_idempotent_and_pruned(spark, tmp_path):
@@ -158,6 +190,13 @@ def test_result_table_is_idempotent_and_pruned(spark, tmp_path):
         sink(df, n)
     got = tables.read_table(spark, path)
     assert got.count() == 4 and [c for c in got.columns if c != "dt"] == schemas.PROVINCE_STATS
+    one = tables.read_day(spark, path, 20210502)
+    assert one.count() == 2 and {f.split("/")[-3] for f in one.inputFiles()} == {"dt=20210502"}
+    assert tables.read_day(spark, path, 19990101).count() == 0
+    tables.close_day(spark, path, 20210502)
+    closed = tables.read_day(spark, path, 20210502)
+    assert closed.count() == 2 and len(closed.inputFiles()) == 1 and "_closed" in closed.inputFiles()[0]
+    assert closed.columns == one.columns
     from millrace.operators.serving import province_sales
     day = province_sales(got, 20210502)
     assert [r["order_amount"] for r in day.collect()] == [D(8)]
@@ -190,9 +229,9 @@ def test_unpivot_counts(spark):
     assert rows(text.unpivot_counts(df), "spu_name", "ct", "source") == [("x", 1, "CLICK"), ("x", 3, "ORDER")]
     df.createOrReplaceTempView("counts")
     text.register(spark)
-    got = spark.sql("select word, ct, source from counts, lateral ik_analyze(spu_name), "
-                    "lateral keywordProductC2R(click_ct, cart_ct, order_ct)")
+    got = spark.sql("select s.* from counts, lateral word_scores(spu_name, click_ct, cart_ct, order_ct) as s")
     assert rows(got) == [("x", 1, "CLICK"), ("x", 3, "ORDER")]
+    assert rows(spark.sql("select * from words_of('A b-A')")) == [("a",), ("a",), ("b",)]
 
 
 def test_codes(spark):
@@ -203,7 +242,7 @@ def test_sql_job_on_a_stream(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     log = [{"page": {"page_id": "good_list", "item": "Red bolt"}, "ts": ms} for ms in (1000, 2000, 999000)]
     lines(spark, [(json.dumps(r),) for r in log]).write.text(src)
-    sql_jobs.page_view(read_json_topic(spark, src, schemas.PAGE_VIEW, fmt="text"))
+    sql_jobs.page_view(read_json_topic(spark, src, schemas.PAGE_VIEW, fmt="text")[0])
     from millrace.streaming.runner import start
     finish(start(sql_jobs.run(spark, sql_jobs.KEYWORD_SEARCH), name="kw", once=True, path=out,
                  checkpoint=str(tmp_path / "cp")))
@@ -243,7 +282,7 @@ def test_change_job_end_to_end(spark, tmp_path):
 
     def go(*data):
         lines(spark, data).write.mode("append").text(src)
-        stream = parse_change(read_topic(spark, src, fmt="text")).withColumn("seq", F.lit(0))
+        stream = parse_change(read_topic(spark, src, fmt="text"))[0].withColumn("seq", F.lit(0))
         finish(jobs.route(stream, lambda: spark.createDataFrame(routes[0], ROUTE_SCHEMA), base, once=True))
 
     go(envelope("user", "insert", {"id": 1, "name": "a"}), envelope("order", "insert", {"id": 5}),

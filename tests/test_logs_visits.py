@@ -5,7 +5,7 @@ from conftest import at, rows
 from pyspark.sql import functions as F
 
 from millrace.operators import logs, neighbours, visits
-from millrace.streaming import stateful
+from millrace.streaming import stateful, visited
 from millrace.streaming.replay import Feed, replay
 
 PAGES = "id bigint, mid string, ts timestamp, page_id string, last_page_id string"
@@ -110,7 +110,7 @@ def test_bounce_stream_matches_batch(spark):
 
 
 def test_late_rows_of_stateful_streams(spark):
-    """A row behind the watermark is dropped; a day older than `keep` is forgotten and closed."""
+    """A bounce row behind the watermark is dropped; a visit that comes days late still counts."""
     data = [("a", at(100), "home", None), ("a", at(15), "home", None), ("a", at(101), "x", "home")]
     first = pages(spark, data[:1])
     from millrace.session import scratch_dir
@@ -130,9 +130,12 @@ def test_late_rows_of_stateful_streams(spark):
     for n, t in enumerate((5 * day, 0, 5 * day + 9)):
         pages(spark, [("a", at(t), "home", None)]).write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(PAGES).parquet(f"{base}/in")
-        finish(start(stateful.unique_visits_stream(stream), name="old", once=True, path=f"{base}/out",
+        finish(start(stream, name="old", once=True, each=visited.unique_visits_sink(f"{base}/out"),
                      checkpoint=f"{base}/cp"))
-    assert rows(spark.read.parquet(f"{base}/out"), "ts") == [(at(5 * day),)]
+    assert rows(spark.read.parquet(f"{base}/out"), "ts") == [(at(0),), (at(5 * day),)]
+    again = visited.unique_visits_sink(f"{base}/out")
+    again(pages(spark, [("a", at(0), "home", None), ("b", at(0), "home", None)]), 1)     # batch 1 once more
+    assert rows(spark.read.parquet(f"{base}/out"), "mid", "ts") == [("a", at(0)), ("a", at(5 * day)), ("b", at(0))]
 
 
 def test_unique_visits(spark):
@@ -143,9 +146,10 @@ def test_unique_visits(spark):
         (None, at(0), "home", None)])
     expected = [(1, "a", at(1)), (4, "a", at(day))]
     assert rows(visits.unique_visits(df, tie=("id",)), "id", "mid", "ts") == expected
-    out = replay(spark, "uv", {"p": Feed(df, "ts")}, lambda s: stateful.unique_visits_stream(s["p"]))
-    assert rows(spark.read.parquet(out).select("mid", F.to_date("ts").cast("string"))) == [
-        ("a", "2021-05-01"), ("a", "2021-05-02")]
+    from millrace.session import scratch_dir
+    out = scratch_dir(spark, "uv")
+    replay(spark, "uv", {"p": Feed(df, "ts")}, lambda s: s["p"], each=visited.unique_visits_sink(out, tie=("id",)))
+    assert rows(spark.read.parquet(out), "id", "mid", "ts") == expected
 
 
 def test_unique_visits_cut_before_the_shuffle(spark):
