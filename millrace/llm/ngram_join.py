@@ -22,12 +22,12 @@ from millrace.llm.words import LOWER, U, mix, pieces, shingles, signed
 from millrace.session import scratch_dir
 
 WORDS, PERCENT = 4, 85
-# The order of n-grams only decides how much work there is, not the result: one counts as frequent
-# if tasks that saw it in at least LOCAL documents saw it in FREQUENT together, and the MOST_FREQUENT
-# of these are known to every task.
-LOCAL, FREQUENT, MOST_FREQUENT, GATHER = 3, 48, 1 << 20, 4 << 20
-LIST = 32               # an n-gram with more rows ties them to one of them, to meet in tiles
-TILE = 400              # rows of a block; a tile is two blocks
+# The order of n-grams only decides how much work there is, not the result. Frequent n-grams come
+# last; which ones are is counted over all documents, in first blocks REACH times as long, and the
+# MOST_FREQUENT of them are known to every task.
+REACH, MOST_FREQUENT = 2, 1 << 20
+LIST = 64               # an n-gram with more rows ties them to one of them, to meet in tiles
+TILE = 1000             # rows of a block; a tile is two blocks
 COLUMNS = 4096          # columns multiplied at a time
 
 
@@ -53,49 +53,29 @@ def signatures(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """One row (id, n, sa, sb) per document, and rows (n = documents, sa = n-gram, frequent = true)
-    for n-grams that a task met in LOCAL documents or more."""
+    """(id, n, sa, sb) per document: the size and the signature of its set."""
     kind = dict(docs.dtypes)["id"]
-    names = ["id", "n", "sa", "sb", "frequent"]
-
-    def frequent(held: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
-        value, count = np.unique(np.concatenate(held), return_counts=True)
-        value, count = value[count >= LOCAL], count[count >= LOCAL]
-        k = len(value)
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(k, id_type), pa.array(count.astype(np.int64)), pa.array(signed(value)),
-             pa.array(np.zeros(k, dtype=np.int64)), pa.array(np.ones(k, dtype=bool))], names)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, id_type = [], 0, None
         for piece in pieces(batches):
             found = piece.words()
-            rows, hashes = shingles(found, found.hashes(LOWER[piece.data]), words)
-            size, sa, sb = signatures(rows, hashes, piece.n)
-            ids = piece.column("id")
-            id_type = ids.type
+            size, sa, sb = signatures(*shingles(found, found.hashes(LOWER[piece.data]), words), piece.n)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(size), pa.array(signed(sa)), pa.array(signed(sb)),
-                 pa.array(np.zeros(piece.n, dtype=bool))], names)
-            held.append(hashes)
-            total += len(hashes)
-            if total > GATHER:
-                yield frequent(held, id_type)
-                held, total = [], 0
-        if held:
-            yield frequent(held, id_type)
+                [piece.column("id"), pa.array(size), pa.array(signed(sa)), pa.array(signed(sb))],
+                ["id", "n", "sa", "sb"])
 
-    return docs.mapInArrow(measure, f"id {kind}, n long, sa long, sb long, frequent boolean")
+    return docs.mapInArrow(measure, f"id {kind}, n long, sa long, sb long")
 
 
-def frequent_ngrams(found: DataFrame) -> np.ndarray:
-    """The frequent n-grams, rarest first: at most MOST_FREQUENT numbers."""
-    rows = (found.filter("frequent").groupBy("sa").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-            .orderBy(F.desc("n"), "sa").limit(MOST_FREQUENT).toArrow())
-    return rows["sa"].to_numpy().view(U)[::-1].copy()
+def frequent_ngrams(docs: DataFrame, words: int, percent: int) -> np.ndarray:
+    """The n-grams in more than LIST rows of first blocks, rarest first: at most MOST_FREQUENT numbers."""
+    rows = (postings(docs, np.zeros(0, dtype=U), words, percent, REACH).groupBy("gram")
+            .agg(F.count("*").alias("n")).filter(F.col("n") > LIST)
+            .orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).toArrow())
+    return rows["gram"].to_numpy().view(U)[::-1].copy()
 
 
-def postings(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, frequent: np.ndarray, words: int, percent: int, reach: int = 1) -> DataFrame:
     """(gram, sa, sb, n): the first block of columns, once per class and task."""
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64)))
@@ -120,7 +100,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) ->
                     rows, hashes = rows[by], hashes[by]
             first = np.concatenate([[0], np.cumsum(size)])
             place = np.arange(len(rows)) - first[rows]
-            keep = new[rows] & (place < prefix_size(size, percent)[rows])
+            keep = new[rows] & (place < reach * prefix_size(size, percent)[rows])
             own = rows[keep]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(signed(hashes[keep])), pa.array(signed(sa)[own]), pa.array(signed(sb)[own]),
@@ -269,8 +249,8 @@ def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
                 names, m = part.column("node").to_pylist(), part.num_rows
                 size = numbers(part, "n").astype(np.int64)
                 grams = part.column("grams").chunk(0).flatten().to_numpy(zero_copy_only=False)
-                counts = overlap_counts(np.repeat(np.arange(m), size), grams, m).astype(np.int64)
-                linked = 100 * counts >= percent * (size[:, None] + size[None] - counts)
+                counts = overlap_counts(np.repeat(np.arange(m), size), grams, m).astype(np.int32)
+                linked = counts >= -(-percent * (size[:, None] + size[None]) // (100 + percent))
                 np.fill_diagonal(linked, True)
                 root = np.arange(m)
                 while True:
@@ -338,11 +318,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         table.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    found = kept(set_rows(docs, words), "sets")
-    rows = found.filter("not frequent").select("id", "n", "sa", "sb")
+    rows = kept(set_rows(docs, words), "sets")
     classes = kept(rows.filter("n > 0").groupBy("sa", "sb", "n").agg(F.min("id").alias("id")), "classes")
-    pairs = kept(surviving(first_block(postings(docs, frequent_ngrams(found), words, percent), percent), percent)
-                 .select(node("aa", "ab").alias("a"), node("ba", "bb").alias("b")), "pairs")
+    posted = postings(docs, frequent_ngrams(docs, words, percent), words, percent)
+    pairs = kept(surviving(first_block(posted, percent), percent).select(
+        node("aa", "ab").alias("a"), node("ba", "bb").alias("b")), "pairs")
     groups = kept(components(pairs), "groups")
     named = classes.withColumn("node", node("sa", "sb"))
     members = kept(named.join(groups, "node").select("node", "n", "root", "id", "sa", "sb"), "members")

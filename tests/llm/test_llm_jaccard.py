@@ -62,7 +62,7 @@ def test_a_family_too_large_for_one_tile(spark, monkeypatch):
 
 
 def test_frequent_ngrams_change_no_result(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FREQUENT", 4)
+    monkeypatch.setattr(ngram_join, "LIST", 3)
     rows = [(i, prose(1, 20) + " " + prose(10 + i % 25, 60 + i // 25), "en", "s") for i in range(75)]
     assert answer(ngram_join.jaccard_join(table(spark, rows))) == brute(rows)
 
