@@ -111,6 +111,14 @@ def visitor_jumps(jumps: DataFrame) -> DataFrame:
     return _visitor(jumps, uj_ct="1")
 
 
+def visitor_marks(flagged: DataFrame, *, literal: bool = False) -> DataFrame:
+    """Pages with the marks of `visits.flag_visits`, one row of measures each: the sums are those of
+    `visitor_events`, from one pass over the log."""
+    return _visitor(flagged, pv_ct="1", dur_sum="coalesce(during_time, 0)",
+                    sv_ct="if(coalesce(last_page_id, '') = '', 1, 0)", uv_ct="int(is_unique)",
+                    uj_ct="int(is_unique)" if literal else "int(is_jump)")
+
+
 def visitor_events(pages: DataFrame, uniques: DataFrame, jumps: DataFrame, *,
                    literal: bool = False) -> DataFrame:
     """Pages, unique visits and bounces in one shape.

@@ -98,6 +98,7 @@ def merge_order(order_info: DataFrame, order_detail: DataFrame, *, slack: float
     head = order_info.selectExpr(
         "id as order_id", "province_id", "order_status", "user_id", "total_amount",
         "activity_reduce_amount", "coupon_reduce_amount", "original_total_amount", "feight_fee",
+        *[c for c in ("expire_time", "operate_time") if c in order_info.columns],
         "create_time", "date_format(create_time, 'yyyy-MM-dd') as create_date",
         "date_format(create_time, 'HH') as create_hour")
     line = order_detail.selectExpr(

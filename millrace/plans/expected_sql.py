@@ -82,7 +82,8 @@ VIEWS = {
         union all select 1, 'base_province', 'insert', cast(n_nationkey as varchar), n_name, null, null, 2 from nation""",
     "order_merge": """
         select d.id detail_id, o.id order_id, d.sku_id, d.order_price, d.sku_num, o.province_id,
-               o.order_status, o.user_id, o.total_amount, d.split_coupon_amount, d.split_total_amount,
+               o.order_status, o.user_id, o.total_amount, o.total_amount original_total_amount,
+               d.split_coupon_amount, d.split_total_amount,
                o.create_time, d.create_time line_time
         from order_info o join order_detail d on o.id=d.order_id
          and d.create_time >= o.create_time - interval 5 second
@@ -105,6 +106,11 @@ VIEWS = {
         from payment_info p join order_merge w on p.order_id=w.order_id
          and w.create_time >= p.callback_time - interval 1800 second
          and w.create_time <= p.callback_time""",
+    "paid_full": """
+        select p.*, w.create_time create_time_1, w.* exclude (order_id, user_id, total_amount, create_time)
+        from payment_info p join order_full w on p.order_id=w.order_id
+         and w.create_time >= p.callback_time - interval 1800 second
+         and w.create_time <= p.callback_time""",
     "first_opening": """
         select * from (
           select *, row_number() over (partition by mid, cast(ts as date) order by ts, event_id) rn
@@ -243,6 +249,13 @@ def _matrix() -> str:
         for k, a, b in rows)
 
 
+ZERO = "cast(0 as decimal(18,4))"
+AMOUNTS = f"""{ZERO} activity_reduce_amount, {ZERO} coupon_reduce_amount, {ZERO} feight_fee,
+               cast(original_total_amount as decimal(18,4)) original_total_amount,
+               cast(split_total_amount as decimal(18,4)) split_total_amount, {ZERO} split_activity_amount,
+               cast(split_coupon_amount as decimal(18,4)) split_coupon_amount,
+               cast(null as varchar) expire_time, cast(null as varchar) operate_time"""
+
 QUERIES = {
     # ---- dashboard -------------------------------------------------------------------------
     "gmv_by_day": "select dt, cast(sum(order_amount) as decimal(38,4)) order_amount from product_full group by dt",
@@ -278,15 +291,16 @@ QUERIES = {
     # ---- joins -----------------------------------------------------------------------------
     "order_wide": f"""
         select detail_id, order_id, sku_id, order_price, sku_num, sku_name, province_id, order_status, user_id,
-               total_amount, cast(split_total_amount as decimal(18,4)) split_total_amount,
-               strftime(create_time,{SECOND}) create_time, create_date, create_hour, user_gender, user_age,
+               total_amount, {AMOUNTS}, strftime(create_time,{SECOND}) create_time, create_date, create_hour, user_gender, user_age,
                province_name, province_area_code, province_iso_code, province_3166_2_code, spu_id, spu_name,
                tm_id, tm_name, category3_id, category3_name from order_full""",
     "payment_wide": f"""
-        select payment_id, payment_type, strftime(payment_create_time,{SECOND}) payment_create_time,
-               strftime(callback_time,{SECOND}) callback_time, user_id, total_amount, detail_id, order_id, sku_id,
-               sku_num, cast(split_total_amount as decimal(18,4)) split_total_amount,
-               strftime(order_create_time,{SECOND}) order_create_time, order_status, province_id from paid""",
+        select id payment_id, cast(null as varchar) subject, payment_type,
+               strftime(create_time,{SECOND}) payment_create_time, strftime(callback_time,{SECOND}) callback_time,
+               user_id, total_amount, detail_id, order_id, sku_id, order_price, sku_num, {AMOUNTS},
+               strftime(create_time_1,{SECOND}) order_create_time, order_status, province_id, user_gender, user_age,
+               province_name, province_area_code, province_iso_code, province_3166_2_code, sku_name, spu_id,
+               spu_name, tm_id, tm_name, category3_id, category3_name from paid_full""",
     "order_detail_interval_edges": """
         select cast(d.l_linenumber*2-5 as bigint) gap, count(*) line_ct, count(w.detail_id) joined_ct
         from order_detail d left join (select distinct detail_id, order_id from order_merge) w
@@ -319,11 +333,11 @@ QUERIES = {
         select mid, page_id, last_page_id, item, during_time, epoch_us(ts)//1000 ts from page_log
         union all select mid, null, null, null, null, epoch_us(ts)//1000 from page_log where page_id='home'""",
     "split_logs": """
-        select kind, count(*) row_ct, count(distinct mid) mid_ct, cast(sum(during_time) as bigint) dur_sum from (
-          select 'page' kind, mid, during_time from page_log
-          union all select 'start', mid, null from page_log where page_id='home'
-          union all select 'display', null, null from display_log) x group by 1""",
-    "explode_displays": "select 'good_list' page_id, item, item_type, count(*) ct from display_log group by all",
+        select 'page' kind, mid, page_id, last_page_id, item, null item_type, during_time, epoch_us(ts)//1000 ts
+        from page_log
+        union all select 'start', mid, null, null, null, null, null, epoch_us(ts)//1000 from page_log where page_id='home'
+        union all select 'display', null, 'good_list', null, item, item_type, null, null from display_log""",
+    "explode_displays": "select 'good_list' page_id, item, item_type from display_log",
     "repair_is_new": f"""
         select event_id, mid, case when is_new='1' and cast(ts as date) <>
                  min(case when is_new='1' then cast(ts as date) end) over (partition by mid)
@@ -335,9 +349,8 @@ QUERIES = {
         select event_id, mid, page_id from opening
         where next_ts is null or next_ts >= ts + interval 3600 second""",
     "opening_outcomes": """
-        select case when next_ts is null or next_ts >= ts + interval 3600 second then 'bounce'
-                    when coalesce(next_page,'')<>'' then 'match' else 'broken' end outcome, count(*) ct
-        from opening group by 1""",
+        select event_id, case when next_ts is null or next_ts >= ts + interval 3600 second then 'bounce'
+                    when coalesce(next_page,'')<>'' then 'match' else 'broken' end outcome from opening""",
     "search_terms": "select item fullword, count(*) ct from shop_event where page_id='good_list' and item is not null group by 1",
     "tokenize": """
         select word, count(*) ct from (
@@ -431,6 +444,17 @@ QUERIES |= {
                              else 'unionpay' end as label, count(*) ct from payment_info group by all""",
 }
 
+SALES_DAY = "(select cast(strftime(min(o_orderdate),'%Y%m%d') as int) from orders)"
+VISIT_DAY = "(select cast(strftime(min(ts),'%Y%m%d') as int) from events)"
+for _name, _columns, _day in (("gmv_by_day", "order_amount", SALES_DAY), ("top_brands", "*", SALES_DAY),
+                              ("province_sales", "*", SALES_DAY), ("visitor_matrix", "* exclude (dt)", VISIT_DAY),
+                              ("visitors_by_hour", "* exclude (dt)", VISIT_DAY), ("hot_keywords", "*", VISIT_DAY)):
+    QUERIES[f"{_name.removesuffix('_by_day')}_one_day"] = \
+        f"select {_columns} from ({QUERIES[_name]}) every_day where dt = {_day}"
+QUERIES |= {"sink_visitor_stats": QUERIES["visitor_stats"], "sink_product_stats": QUERIES["product_stats"],
+            "sink_province_stats": QUERIES["province_stats"],
+            "sink_keyword_stats": f"{QUERIES['keyword_search_stats']} union all {QUERIES['keyword_product_stats']}"}
+
 # The stream runs must end with the rows of the batch operators.
 for _batch in ("unique_visits", "user_jumps", "repair_is_new", "order_wide", "payment_wide",
                "visitor_stats", "province_stats", "keyword_search_stats", "product_stats"):

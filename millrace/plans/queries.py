@@ -73,7 +73,7 @@ def visitor_rows(t: ShopTables) -> DataFrame:
 
 
 def visitors(t: ShopTables) -> DataFrame:
-    return stats.visitor_stats(visitor_rows(t))
+    return stats.visitor_stats(facts.visitor_marks(visits.flag_visits(t.page_log(), tie=TIE)))
 
 
 def products_sold(t: ShopTables) -> DataFrame:
@@ -160,25 +160,134 @@ def visit_ratios(t):
     return serving.visit_ratios(serving.visitor_sums(visitors(t), None))
 
 
+# ---- stored statistics, and the dashboard of one day over them ------------------------------
+
+
+STORED: dict[tuple[str, str, str], list[str]] = {}
+
+
+def statistics(t: ShopTables, layout: str) -> list[DataFrame]:
+    """What feeds a stored table, one frame per writer."""
+    if layout == "visitor_stats":
+        return [visitors(t)]
+    if layout == "product_stats":
+        return [products_sold(t)]
+    if layout == "province_stats":
+        return [provinces(t)]
+    products = tables.read_table(t.spark, *stored(t, "product_stats"))
+    return [stats.keyword_search_stats(t.search_log()), stats.keyword_product_stats(products)]
+
+
+def stored(t: ShopTables, layout: str) -> list[str]:
+    """The paths of a stored table. It is written once per application, as its job's sink does, and
+    read by every query after that."""
+    key = (t.spark.sparkContext.applicationId, t.folder, layout)
+    if key not in STORED:
+        base, paths = scratch_dir(t.spark, layout), []
+        for n, frame in enumerate(statistics(t, layout)):
+            paths.append(f"{base}/{n}")
+            tables.stats_sink(paths[-1], layout)(frame, 0)
+        STORED[key] = paths
+    return STORED[key]
+
+
+def read_back(t: ShopTables, layout: str) -> DataFrame:
+    return tables.read_table(t.spark, *stored(t, layout)).select(*tables.LAYOUTS[layout])
+
+
+def first_day(t: ShopTables, table: str, column: str) -> int:
+    return int(t.table(table).agg(F.date_format(F.min(column), "yyyyMMdd")).first()[0])
+
+
+def one_day(t: ShopTables, layout: str, day: int) -> DataFrame:
+    """A day's rows of a stored table, read from that day's folder."""
+    parts = [tables.read_day(t.spark, p, day) for p in stored(t, layout)]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+@query
+def sink_visitor_stats(t):
+    return read_back(t, "visitor_stats")
+
+
+@query
+def sink_product_stats(t):
+    return read_back(t, "product_stats")
+
+
+@query
+def sink_province_stats(t):
+    return read_back(t, "province_stats").drop("ts")
+
+
+@query
+def sink_keyword_stats(t):
+    return read_back(t, "keyword_stats").drop("ts")
+
+
+@query
+def gmv_one_day(t):
+    day = first_day(t, "orders", "o_orderdate")
+    return serving.gmv(one_day(t, "product_stats", day), day)
+
+
+@query
+def top_brands_one_day(t):
+    day = first_day(t, "orders", "o_orderdate")
+    return serving.top_brands(one_day(t, "product_stats", day), day)
+
+
+@query
+def province_sales_one_day(t):
+    day = first_day(t, "orders", "o_orderdate")
+    return serving.province_sales(one_day(t, "province_stats", day), day)
+
+
+@query
+def visitor_matrix_one_day(t):
+    day = first_day(t, "events", "ts")
+    return serving.visitor_matrix(one_day(t, "visitor_stats", day), day)
+
+
+@query
+def visitors_by_hour_one_day(t):
+    day = first_day(t, "events", "ts")
+    return serving.visitors_by_hour(one_day(t, "visitor_stats", day), day)
+
+
+@query
+def hot_keywords_one_day(t):
+    day = first_day(t, "events", "ts")
+    return serving.hot_keywords(one_day(t, "keyword_stats", day), day)
+
+
 # ---- joins ---------------------------------------------------------------------------------
 
 
 def wide_shown(df: DataFrame) -> DataFrame:
     return df.select(
         "detail_id", "order_id", "sku_id", "order_price", "sku_num", "sku_name", "province_id",
-        "order_status", "user_id", "total_amount",
-        F.col("split_total_amount").cast("decimal(18,4)").alias("split_total_amount"),
-        shown("create_time"), "create_date", "create_hour", "user_gender",
-        F.col("user_age").cast("bigint").alias("user_age"), "province_name", "province_area_code",
-        "province_iso_code", "province_3166_2_code", *joins.PRODUCT_ATTRS[1:])
+        "order_status", "user_id", "total_amount", *amounts(), "expire_time", "operate_time",
+        shown("create_time"), "create_date", "create_hour", *buyer_and_place(), *joins.PRODUCT_ATTRS[1:])
+
+
+def amounts() -> list[Column]:
+    return [F.col(c).cast("decimal(18,4)").alias(c) for c in (
+        "activity_reduce_amount", "coupon_reduce_amount", "original_total_amount", "feight_fee",
+        "split_total_amount", "split_activity_amount", "split_coupon_amount")]
+
+
+def buyer_and_place() -> list[Column | str]:
+    return ["user_gender", F.col("user_age").cast("bigint").alias("user_age"), "province_name",
+            "province_area_code", "province_iso_code", "province_3166_2_code"]
 
 
 def paid_shown(df: DataFrame) -> DataFrame:
     return df.select(
-        "payment_id", "payment_type", shown("payment_create_time"), shown("callback_time"),
-        "user_id", "total_amount", "detail_id", "order_id", "sku_id", "sku_num",
-        F.col("split_total_amount").cast("decimal(18,4)").alias("split_total_amount"),
-        shown("order_create_time"), "order_status", "province_id")
+        "payment_id", "subject", "payment_type", shown("payment_create_time"), shown("callback_time"),
+        "user_id", "total_amount", "detail_id", "order_id", "sku_id", "order_price", "sku_num", *amounts(),
+        "expire_time", "operate_time", shown("order_create_time"), "order_status", "province_id",
+        *buyer_and_place(), *joins.PRODUCT_ATTRS)
 
 
 @query
@@ -188,7 +297,7 @@ def order_wide(t):
 
 @query
 def payment_wide(t):
-    return paid_shown(joins.merge_payment(t.payment_info(), order_lines(t, True)))
+    return paid_shown(joins.merge_payment(t.payment_info(), wide(t)))
 
 
 @query
@@ -252,24 +361,14 @@ def parse_json(t):
 
 @query
 def split_logs(t):
-    start, page, display = logs.split_logs(parsed(t))
-    none = F.lit(None)
-    rows = (page.select(F.lit("page").alias("kind"), "mid", "during_time")
-            .unionByName(start.select(F.lit("start").alias("kind"), "mid",
-                                      none.cast("bigint").alias("during_time")))
-            .unionByName(display.select(F.lit("display").alias("kind"),
-                                        none.cast("string").alias("mid"),
-                                        none.cast("bigint").alias("during_time"))))
-    per_mid = rows.groupBy("kind", "mid").agg(F.count("*").alias("n"),
-                                              F.sum("during_time").alias("d"))
-    return per_mid.groupBy("kind").agg(F.sum("n").alias("row_ct"), F.count("mid").alias("mid_ct"),
-                                       F.sum("d").alias("dur_sum"))
+    return logs.tagged_log(parsed(t)).select("kind", "mid", "page_id", "last_page_id", "item", "item_type",
+                                             "during_time", F.unix_millis("ts").alias("ts"))
 
 
 @query
 def explode_displays(t):
     _, _, display = logs.split_logs(parsed(t))
-    return display.groupBy("page_id", "item", "item_type").agg(F.count("*").alias("ct"))
+    return display.select("page_id", "item", "item_type")
 
 
 @query
@@ -306,8 +405,7 @@ def user_jumps_hour(t):
 
 @query
 def opening_outcomes(t):
-    return visits.openings(t.page_log(), 3600, tie=TIE).groupBy("outcome").agg(
-        F.count("*").alias("ct"))
+    return visits.openings(t.page_log(), 3600, tie=TIE).select("event_id", "outcome")
 
 
 @query
@@ -606,7 +704,7 @@ def stream_order_wide(t):
 @query
 def stream_payment_wide(t):
     feeds = {"pay": Feed(t.payment_info(), "callback_time"),
-             "wide": Feed(order_lines(t, True), "create_time")}
+             "wide": Feed(wide(t), "create_time")}
     out = replay(t.spark, "payment_wide", feeds,
                  lambda s: jobs.merged_payments(s["pay"], s["wide"]))
     return paid_shown(_written(t, out))

@@ -34,7 +34,8 @@ def stats_sink(path: str, layout: str) -> Callable[[DataFrame, int], None]:
     columns = LAYOUTS[layout]
 
     def each(df: DataFrame, batch_id: int) -> None:
-        write_batch(with_day(df.select(*columns)), path, batch_id, ["dt"])
+        # a day's rows into few files; a day with many is dealt over more tasks at run time
+        write_batch(with_day(df.select(*columns)).hint("rebalance", "dt"), path, batch_id, ["dt"])
 
     return each
 

@@ -35,16 +35,13 @@ def land_lines(lines: DataFrame, base: str, **options) -> StreamingQuery:
 
 
 def split_log(lines: DataFrame, base: str, **options) -> list[StreamingQuery]:
-    """Raw log lines → start, page and display tables, with repaired flags; bad lines aside."""
+    """Raw log lines → one table of start, page and display rows by kind, with repaired flags; bad
+    lines aside."""
     good, bad = logs.parse_logs(lines)
     repaired = stateful.repair_is_new_stream(logs.flat_log(good))
 
     def each(df: DataFrame, batch_id: int) -> None:
-        rows = df.persist()
-        parts = zip(("start_log", "page_log", "display_log"), logs.split_logs(rows))
-        for name, part in parts:
-            tables.write_batch(part, f"{base}/{name}", batch_id)
-        rows.unpersist()
+        tables.write_batch(logs.tagged_log(df), f"{base}/log", batch_id, ["kind"])
 
     return [_start(repaired, base, "split_log", each=each, **options),
             _start(bad, base, "quarantine_log", path=f"{base}/quarantine_log", **options)]

@@ -268,10 +268,11 @@ def test_log_job_end_to_end(spark, tmp_path):
     go()
     lines(spark, [log("a", 90000000, page=page), log("b", 90000000, page=page)]).write.mode("append").text(src)
     go()
-    pages = tables.read_table(spark, f"{base}/page_log")
+    log = tables.read_table(spark, f"{base}/log")
+    pages = log.filter("kind = 'page'")
     assert rows(pages, "mid", "is_new", "page_id") == [("a", "0", "home"), ("a", "1", "home"), ("b", "1", "home")]
-    assert tables.read_table(spark, f"{base}/start_log").count() == 1
-    assert rows(tables.read_table(spark, f"{base}/display_log"), "page_id", "item") == [("home", "1")]
+    assert log.filter("kind = 'start'").count() == 1
+    assert rows(log.filter("kind = 'display'"), "page_id", "item") == [("home", "1")]
     assert spark.read.parquet(f"{base}/quarantine_log").count() == 1
     assert spark.read.text(f"{base}/raw_log").count() == 5
 
