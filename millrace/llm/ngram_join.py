@@ -196,10 +196,11 @@ def node(a: Column | str, b: Column | str) -> Column:
     return F.concat(hexed(a), hexed(b))
 
 
-def sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, n, grams): the sets of the classes (id, sa, sb) of ``wanted``, read from one document each."""
-    chosen = docs.join(wanted.select(F.col("id").alias("w"), "sa", "sb"), F.col("id").eqNullSafe(F.col("w"))) \
-        .select("text", "sa", "sb")
+def tile_rows(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(tile, single, node, n, grams): the sets of the classes (id, sa, sb, node, tiles, single) of
+    ``wanted``, read from one document each and dealt straight to their tiles."""
+    chosen = docs.join(wanted.withColumnRenamed("id", "w"), F.col("id").eqNullSafe(F.col("w"))).select(
+        "text", "sa", "sb", "node", "tiles", "single")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -207,16 +208,18 @@ def sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             rows, hashes = shingles(found, found.hashes(LOWER[piece.data]), words)
             size, sa, sb = signatures(rows, hashes, piece.n)
             own = (signed(sa) == piece.column("sa").to_numpy()) & (signed(sb) == piece.column("sb").to_numpy())
-            own = np.flatnonzero(own)       # another text under the same id is left out
-            keep = np.isin(rows, own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(sa)[own]), pa.array(signed(sb)[own]), pa.array(size[own]),
-                 pa.ListArray.from_arrays(
-                     pa.array(np.concatenate([[0], np.cumsum(size[own])]).astype(np.int32)),
-                     pa.array(signed(hashes[keep])))], ["sa", "sb", "n", "grams"])
+            first = np.concatenate([[0], np.cumsum(size)])
+            for r in np.flatnonzero(own):       # another text under the same id is left out
+                tiles = piece.column("tiles")[int(r)].as_py()
+                n, k = int(size[r]), len(tiles)
+                grams = pa.array(np.tile(signed(hashes[first[r]:first[r + 1]]), k))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tiles), pa.array([piece.column("single")[int(r)].as_py()] * k),
+                     pa.array([piece.column("node")[int(r)].as_py()] * k), pa.array([n] * k, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * n), grams)],
+                    ["tile", "single", "node", "n", "grams"])
 
-    return (chosen.mapInArrow(cut, "sa long, sb long, n long, grams array<long>")
-            .select(node("sa", "sb").alias("node"), "n", "grams").dropDuplicates(["node"]))
+    return chosen.mapInArrow(cut, "tile string, single boolean, node string, n long, grams array<long>")
 
 
 def overlap_counts(member: np.ndarray, grams: np.ndarray, m: int) -> np.ndarray:
@@ -246,6 +249,8 @@ def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
             starts = np.flatnonzero(changes(numbers(table, "tile")))
             for at, to in zip(starts, np.append(starts[1:], table.num_rows), strict=True):
                 part = table.slice(int(at), int(to - at)).combine_chunks()
+                once = changes(np.array(part.column("node").to_pylist(), dtype=object))   # a repeated row
+                part = part.filter(pa.array(once)).combine_chunks()
                 names, m = part.column("node").to_pylist(), part.num_rows
                 size = numbers(part, "n").astype(np.int64)
                 grams = part.column("grams").chunk(0).flatten().to_numpy(zero_copy_only=False)
@@ -269,7 +274,7 @@ def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
 
 
 def tiled(members: DataFrame, percent: int) -> DataFrame:
-    """(node, tile, single) from members (node, n, root).
+    """(node, tiles, single) from members (node, n, root): the tiles each row belongs to.
 
     A group of up to TILE rows is one tile. A larger one is cut into bands of size, in each of which
     rows are dealt to blocks, and tiles are pairs of blocks of the same or neighbouring bands, as
@@ -296,8 +301,7 @@ def tiled(members: DataFrame, percent: int) -> DataFrame:
     up = F.transform(until(F.coalesce("above", F.lit(0))), lambda o: name(F.concat(F.lit("u"), F.col("band")), mine, o))
     down = F.transform(until(F.coalesce("below", F.lit(0))), lambda o: name(
         F.concat(F.lit("u"), F.col("band") - 1), o, mine))
-    return rows.select("node", F.explode(F.concat(same, up, down)).alias("tile"),
-                       (F.col("all") <= TILE).alias("single"))
+    return rows.select("node", F.concat(same, up, down).alias("tiles"), (F.col("all") <= TILE).alias("single"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -326,9 +330,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = kept(components(pairs), "groups")
     named = classes.withColumn("node", node("sa", "sb"))
     members = kept(named.join(groups, "node").select("node", "n", "root", "id", "sa", "sb"), "members")
-    own = kept(sets(docs, members, words), "own")
-    tiles = tiled(members, percent).join(own, "node")
-    links = kept(tile_links(tiles, percent), "links")
+    wanted = kept(tiled(members, percent).join(members.select("node", "id", "sa", "sb"), "node"), "wanted")
+    links = kept(tile_links(tile_rows(docs, wanted, words), percent), "links")
     # a group in a single tile is settled there; only links across tiles are left to connect
     roots = links.filter("single").select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).unionByName(
