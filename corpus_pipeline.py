@@ -7,7 +7,7 @@ extra columns pass through; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.llm import decontaminate, language, mixing, ngram_join, pii
 from millrace.session import scratch_dir
@@ -53,20 +53,22 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by the name of its kind; ``n_chars`` follows the text."""
-    name = F.xxhash64(F.coalesce("text", F.lit("")))
-    spans = (pii.find_pii(docs.select("doc_id", "text", name.alias("_of")), "doc_id", "_of")
-             .filter(F.size("spans") > 0).select(
-                 F.col("doc_id").alias("_id"), "_of", F.col("spans").alias("_spans")))
-    spans = _written(spans.dropDuplicates(["_id", "_of"]))
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (name == F.col("_of")), "left")
-    text = F.when(F.col("_spans").isNotNull(), pii.redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(kind))
-                             .otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Replace personal data by the name of its kind; ``n_chars`` follows the text. Spans stay with
+    their row, so no text is moved."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    found = pii.find_pii(docs.toDF(*names), *names, text_col=names[docs.columns.index("text")])
+    hit = F.size("spans") > 0
+
+    def column(name: str, own: str) -> Column:
+        if name == "text":
+            return F.when(hit, pii.redact(F.col(own), F.col("spans"))).otherwise(F.col(own)).alias(name)
+        if name == "n_chars":
+            length = F.length(pii.redact(F.col(text), F.col("spans"))).cast(kinds[name])
+            return F.when(hit, length).otherwise(F.col(own)).alias(name)
+        return F.col(own).alias(name)
+
+    kinds, text = dict(docs.dtypes), names[docs.columns.index("text")]
+    return found.select(*[column(n, own) for n, own in zip(docs.columns, names, strict=True)])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

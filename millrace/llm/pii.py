@@ -220,6 +220,8 @@ def find_pii(docs: DataFrame, *keep: str, text_col: str = "text", rounds: int =
                 F.max("reliability").alias("reliability"))
              .groupBy("row", "start", "stop").agg(F.max_by("kind", F.struct("reliability", -F.col("kind"))).alias("kind"))
              .groupBy("row").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("added")))
+    added.write.parquet(f"{folder}_added")      # its size is then known: a few rows move no others
+    added = spark.read.parquet(f"{folder}_added")
     plain = F.transform("base", lambda b: F.struct(
         b["start"].alias("start"), b["kind"].alias("kind"), b["stop"].alias("stop")))
     none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
