@@ -255,7 +255,7 @@ def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
                 size = numbers(part, "n").astype(np.int64)
                 grams = part.column("grams").chunk(0).flatten().to_numpy(zero_copy_only=False)
                 counts = overlap_counts(np.repeat(np.arange(m), size), grams, m).astype(np.int32)
-                linked = counts >= -(-percent * (size[:, None] + size[None]) // (100 + percent))
+                linked = counts >= needed(size[:, None], size[None], percent)
                 np.fill_diagonal(linked, True)
                 root = np.arange(m)
                 while True:
