@@ -16,8 +16,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace.llm.words import MARKS, STEP, Piece, U, folded, mix, pieces, signed
 from millrace.session import scratch_dir
 
-MASKS = ("110110010111", "101101011101", "111001101011")
-SPAN = len(MASKS[0])
+# Every pattern of replaced words that `compare` accepts leaves a place where one of the masks for the
+# item's length meets equal words only (a test goes through all patterns). MASKS: LONG words or more.
+LONG = 16
+MASKS = ("11101111", "111010010011", "111100100000011", "110100001111", "1100101011001")
+SHORT = {(12, 15): ("110111", "100000001111"), (10, 11): ("10111", "1000001011"), (7, 9): ("11011",),
+         (5, 6): ("111", "1011")}
 LEAST_WORDS = 5         # shorter items match nothing
 WINDOW, AGREE = 20, 0.8  # places compared at least (or the whole item), and the share that must agree
 # Items of up to so many text bytes go to every task; beyond, hashes meet in a shuffled join.
@@ -27,10 +31,12 @@ FILTER_BITS = 20
 RESULT = "id {id}, item {item}, doc_word int, item_word int, compared int, agreed int"
 
 
-def masks_for(lengths: Iterable[int]) -> list[np.ndarray]:
-    """Places each mask selects: the fixed ones, and the whole of any shorter item length."""
-    short = sorted({n for n in lengths if LEAST_WORDS <= n < SPAN})
-    return [np.flatnonzero([c == "1" for c in m]) for m in MASKS] + [np.arange(n) for n in short]
+def masks_for(lengths: Iterable[int]) -> list[tuple[np.ndarray, int, int]]:
+    """(places selected, least, most words of the items it is for) of every mask that some length needs."""
+    known = list(lengths)
+    groups = [(LONG, np.iinfo(np.int64).max, MASKS), *((low, high, masks) for (low, high), masks in SHORT.items())]
+    return [(np.flatnonzero([c == "1" for c in mask]), low, high) for low, high, masks in groups
+            if any(low <= n <= high for n in known) for mask in masks]
 
 
 def span_of(mask: np.ndarray) -> int:
@@ -40,7 +46,7 @@ def span_of(mask: np.ndarray) -> int:
 def seeds(words: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Hash of the selected words at each place where the mask fits."""
     n = len(words) - span_of(mask) + 1
-    out = np.full(max(n, 0), U(span_of(mask)))
+    out = np.full(max(n, 0), U(sum(1 << int(at) for at in mask)))
     for j, at in enumerate(mask):
         out += words[at:at + len(out)] * STEP[j + 1]
     return mix(out)
@@ -66,17 +72,16 @@ class Items:
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         self.words = np.concatenate([*hashes, np.zeros(0, dtype=U)])
         self.masks = masks_for(self.counts.tolist())
-        self.seeds = [self._sorted(mask) for mask in self.masks]
+        self.seeds = [self._sorted(*mask) for mask in self.masks]
 
-    def _sorted(self, mask: np.ndarray):
+    def _sorted(self, mask: np.ndarray, least: int, most: int):
         span = span_of(mask)
         values = seeds(self.words, mask)
         item = np.repeat(np.arange(len(self.counts)), self.counts)
         fits = np.zeros(len(values), dtype=bool)
         own = item[:len(values)]
         fits[:] = np.arange(len(values)) + span <= self.first[own + 1]
-        if span < SPAN:         # a short mask belongs to items of just that length
-            fits &= self.counts[own] == span
+        fits &= (self.counts[own] >= least) & (self.counts[own] <= most)
         at = np.flatnonzero(fits)
         at = at[np.argsort(values[at], kind="stable")]
         present = np.zeros(1 << FILTER_BITS, dtype=bool)
@@ -87,7 +92,7 @@ class Items:
 def hits(items: Items, words: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Distinct (row, item, shift) that share a seed: item word 0 lies at document word ``shift``."""
     found = []
-    for mask, (known, at, present) in zip(items.masks, items.seeds, strict=True):
+    for (mask, _, _), (known, at, present) in zip(items.masks, items.seeds, strict=True):
         values = seeds(words, mask)
         if not len(known) or not len(values):
             continue
@@ -151,19 +156,20 @@ def by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.mapInArrow(search, RESULT.format(**kinds))
 
 
-def seed_rows(texts: DataFrame, name: str, lengths: list[int], whole: bool) -> DataFrame:
-    """(name, seed, at) of every text; ``whole``: short masks only where they cover the text."""
+def seed_rows(texts: DataFrame, name: str, lengths: list[int], own: bool) -> DataFrame:
+    """(name, seed, at) of every text; ``own``: only by the masks for the text's length."""
     masks, kind = masks_for(lengths), dict(texts.dtypes)[name]
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             words, values = word_hashes(piece)
             row = words.row()
-            for mask in masks:
+            for mask, least, most in masks:
                 hashed, span = seeds(values, mask), span_of(mask)
                 at = np.flatnonzero(row[:len(hashed)] == row[span - 1:]) if len(hashed) else np.zeros(0, int)
-                if whole and span < SPAN:
-                    at = at[words.counts[row[at]] == span]
+                if own:
+                    many = words.counts[row[at]]
+                    at = at[(many >= least) & (many <= most)]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(name).take(pa.array(row[at])), pa.array(signed(hashed[at])),
                      pa.array((at - words.first[row[at]]).astype(np.int32))], [name, "seed", "at"])
@@ -174,14 +180,14 @@ def seed_rows(texts: DataFrame, name: str, lengths: list[int], whole: bool) -> D
 def by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The same for any number of items: seeds meet in a join, hits in a second one with the texts."""
     spark, folder = docs.sparkSession, scratch_dir(docs.sparkSession, "seeds")
-    lengths = list(range(LEAST_WORDS, SPAN))
-    ours = seed_rows(items, "item", lengths, whole=True).withColumnRenamed("at", "item_at").distinct()
-    theirs = seed_rows(docs, "id", lengths, whole=False)
+    lengths = list(range(LEAST_WORDS, LONG + 1))
+    ours = seed_rows(items, "item", lengths, own=True).withColumnRenamed("at", "item_at").distinct()
+    theirs = seed_rows(docs, "id", lengths, own=False)
     (theirs.join(ours, "seed").select("id", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
      .groupBy("id", "item").agg(F.collect_list("shift").alias("shifts")).write.parquet(folder))
-    pairs = (spark.read.parquet(folder).withColumnRenamed("id", "hit")
+    pairs = (spark.read.parquet(folder).withColumnsRenamed({"id": "hit", "item": "hit_item"})
              .join(docs.withColumnRenamed("text", "doc_text"), F.col("hit").eqNullSafe(F.col("id"))).drop("hit")
-             .join(items.withColumnRenamed("text", "item_text"), "item"))
+             .join(items.withColumnRenamed("text", "item_text"), F.col("hit_item").eqNullSafe(F.col("item"))))
     kinds = dict(pairs.dtypes)
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -80,3 +81,31 @@ def test_masks_tolerate_any_single_substitution():
         hit = any(all(text[s + p] == changed[s + p] for p, c in enumerate(m) if c == "1")
                   for m in decontaminate.MASKS for s in range(20 - len(m) + 1))
         assert hit
+
+
+def test_masks_meet_every_accepted_pattern():
+    for n in range(5, 21):
+        wrong = next(k for k in range(n, -1, -1) if n - k >= 0.8 * n)
+        masks = [m for m, low, high in decontaminate.masks_for([n]) if low <= n <= high]
+        places = [{int(p) + s for p in m} for m in masks for s in range(n - decontaminate.span_of(m) + 1)]
+        for changed in itertools.combinations(range(n), wrong):
+            assert any(p.isdisjoint(changed) for p in places), (n, changed)
+
+
+def test_finds_every_overlap_within_the_rule(spark):
+    r = random.Random(8)
+    texts = [(n, prose(700 + n, n)) for n in range(5, 21)] + [(40, prose(740, 40)), (None, prose(741, 20))]
+    rows = []
+    for i, t in texts:
+        for _ in range(12):
+            item = t.split()
+            part = item[:20]
+            for at in r.sample(range(len(part)), len(part) // 5):
+                part[at] = "other"
+            rows.append((len(rows), " ".join([prose(len(rows), 9), *part, prose(2000 + len(rows), 9)]), "en", "s"))
+    rows.append((None, f"{prose(1, 9)} {texts[3][1]}", "en", "s"))
+    want = brute(rows, texts)
+    assert len([k for k in want if want[k] == 16]) >= 12
+    for limit in (decontaminate.MOST_BROADCAST, 0):
+        got = {(x.id, x.item): x.agreed for x in decontaminate.overlaps(table(spark, rows), items(spark, texts), most_broadcast=limit).collect()}
+        assert got == want
