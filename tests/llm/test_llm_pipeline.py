@@ -59,3 +59,15 @@ def test_every_text_query_runs(spark):
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in known} and "pipeline" in known
     for name in ("op1_quality_rules", "op6_url_filter"):
         assert known[name](spark, FOLDER).count() > 0
+
+
+def test_near_duplicates_by_five_words_at_four_fifths(spark, folder):
+    words = prose(4000, 100).split()
+    near, far = list(words), list(words)
+    for at in (30, 60):
+        near[at] = f"new{at}"           # 86 of 106 runs of five words
+    for at in (20, 50, 80):
+        far[at] = f"new{at}"            # 81 of 111
+    rows = [(1, " ".join(words), "en", "s"), (2, " ".join(near), "en", "s"), (3, " ".join(far), "en", "s")]
+    kept = {r.doc_id for r in cp.one_of_each_group(spark, table(spark, rows), folder).collect()}
+    assert kept == {1, 3}
