@@ -1,8 +1,9 @@
 """A training corpus from raw documents, in stages that each call one operator of millrace.llm.
 
 A stage gets all that its predecessor kept and, but for the last, returns the same columns. Rows are
-addressed by ``doc_id``: a decision on an id holds for every row that has it. Null texts and ids and
-extra columns pass through; an empty table gives an empty table.
+addressed by ``doc_id`` and text: a decision holds for every row that has both, and for no other that
+only shares the id. Null texts and ids and extra columns pass through; the mix, which is made of
+words, has the rows with a null id but none without a word. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,26 +23,42 @@ def _written(table: DataFrame) -> DataFrame:
     return table.sparkSession.read.parquet(folder)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not among ``ids`` (one column); null counts as an id."""
-    gone = _written(ids.toDF("_gone").distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+def _address() -> Column:
+    """(last, doc_id, text hash): in the order of ids, null after all others. Never null itself."""
+    return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"),
+                    F.xxhash64("text").alias("text_hash"))
+
+
+def _spelled(address: Column) -> Column:
+    """An address as one string."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), address["doc_id"].cast("string")), F.lit("-")), F.lit(":"),
+                    address["text_hash"].cast("string"))
+
+
+def _addressed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_address", _spelled(_address()))
+
+
+def _without(docs: DataFrame, addresses: DataFrame) -> DataFrame:
+    """The rows whose spelled address is not among ``addresses`` (one column)."""
+    gone = _written(addresses.toDF("_gone").distinct())
+    return docs.join(gone, _spelled(_address()) == F.col("_gone"), "left_anti")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognisable language: no text, no letter, or an ambiguous code."""
-    found = language.identify(docs, "doc_id")
-    return _without(docs, found.filter((F.col("lang_pred") == "und") | F.col("ambiguous")).select("doc_id"))
+    found = language.identify(_addressed(docs), "_address")
+    return _without(docs, found.filter((F.col("lang_pred") == "und") | F.col("ambiguous")).select("_address"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least id of every group connected by near-equal sets of five-word shingles
     (Jaccard similarity 0.8 or more; op2's own query has other values); of repeated rows, one."""
-    groups = ngram_join.jaccard_join(docs, words=5, percent=80)
-    later = groups.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id")
+    groups = ngram_join.jaccard_join(docs.withColumn("_address", _address()), "_address", words=5, percent=80)
+    later = groups.filter(F.col("id") != F.col("component_id")).select(_spelled(F.col("id")))
     left = _without(docs, later)
-    again = _written(left.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")))
-    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    again = _written(left.groupBy(_spelled(_address()).alias("_again")).count().filter("count > 1").select("_again"))
+    same = _spelled(_address()) == F.col("_again")
     return left.join(again, same, "left_anti").unionByName(
         left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
@@ -49,7 +66,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that overlap with a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.overlaps(docs, items).select("id"))
+    return _without(docs, decontaminate.overlaps(_addressed(docs), items, "_address").select("id"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,9 +90,11 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of text in shards, by the sources' target weights, in shuffled order by ``place``."""
-    sizes, aims = mixing.planned(docs)
+    rows = docs.withColumn("_address", _address())
+    sizes, aims = mixing.planned(rows, "_address")
     blocks = mixing.mix(sizes, aims).drop("row")
-    return mixing.block_texts(blocks, docs).withColumnRenamed("id", "doc_id")
+    return mixing.block_texts(blocks, rows, "_address").select(
+        F.col("id.doc_id").alias("doc_id"), *(c for c in [*blocks.columns, "text"] if c != "id"))
 
 
 STAGES = [("language", known_language), ("near duplicates", one_of_each_group),

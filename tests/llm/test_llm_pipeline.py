@@ -71,3 +71,22 @@ def test_near_duplicates_by_five_words_at_four_fifths(spark, folder):
     rows = [(1, " ".join(words), "en", "s"), (2, " ".join(near), "en", "s"), (3, " ".join(far), "en", "s")]
     kept = {r.doc_id for r in cp.one_of_each_group(spark, table(spark, rows), folder).collect()}
     assert kept == {1, 3}
+
+
+def test_rows_with_a_null_or_shared_id_are_judged_one_by_one(spark, folder, tmp_path):
+    leak = prose(999, 30)
+    rows = [(i, prose(5000 + i, 40), "en", "s") for i in range(20)]
+    rows += [(None, prose(6000, 40), "en", "s"), (None, prose(6001, 40), "en", "s"), (None, "12 34", "en", "s"),
+             (None, prose(6002, 20) + " " + leak, "en", "s"), (None, prose(6003, 40) + " a", "en", "s"),
+             (7, prose(6004, 40), "en", "s"), (8, prose(6005, 20) + " " + leak, "en", "s"), (9, "56", "en", "s"),
+             (30, prose(6003, 40) + " b", "en", "s")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+    clean = {(i, prose(5000 + i, 40)) for i in range(20)} | {(None, prose(6000, 40)), (None, prose(6001, 40)),
+             (7, prose(6004, 40)), (30, prose(6003, 40) + " b")}
+    assert {(r.doc_id, r.text) for r in docs.collect()} == clean
+    mixed = cp.mixed(spark, docs, str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in mixed} == clean
