@@ -45,3 +45,21 @@ def test_concentration_ignores_a_contaminated_quarter(spark):
     rows += [(1000 + i, prose(1000 + i, 100).upper() + " 123456789" * 20, "en", "s") for i in range(70)]
     got = {r.doc_id: r.kept for r in quality.quality_rules(table(spark, rows), "doc_id").collect()}
     assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(70))
+
+
+def test_an_outlier_in_each_single_rate_goes(spark):
+    def lined(w, n=10):
+        return "\n".join(" ".join(w[i:i + n]) for i in range(0, len(w), n))
+
+    rows = [(i, lined(words(i, 100)), "en", "s") for i in range(300)]
+    w = words(7000, 100)
+    odd = {"f_length": lined([x * 4 for x in w]), "f_symbols": lined([x + "#" for x in w]),
+           "f_marks": lined([x + "," for x in w]), "f_digits": lined([x if i % 2 else "12345678" + str(i) for i, x in enumerate(w)]),
+           "f_upper": lined([x.upper() for x in w]),
+           "f_dup_lines": "\n".join(f"{lined(w[i:i + 10])}\nabcde" for i in range(0, 100, 10)),
+           "f_repeats": lined([*w[:56], *w[56:78], *w[56:78]], 9)}
+    rows += [(1000 + i, t, "en", "s") for i, t in enumerate(odd.values())]
+    got = {r.doc_id: r for r in quality.quality_rules(table(spark, rows), "doc_id").collect()}
+    assert not any(got[1000 + i].base_failed for i in range(len(odd)))
+    assert [n for i, n in enumerate(odd) if got[1000 + i].kept] == []
+    assert all(got[i].kept for i in range(300))
