@@ -295,10 +295,10 @@ OP11_SQL = """
 with usable as (
   select row_number() over () as r, vec_id,
          case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-         list_transform(embedding, x -> floor(256 * x::double)) as v
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
   from embeddings
   where label is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 anchors as (select * from usable where vec_id % 100 = 0),
 scored as (
   select a.r as ar, a.vec_id as anchor_id, b.r as br, b.vec_id as other_id, a.label = b.label as same,
