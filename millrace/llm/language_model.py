@@ -193,9 +193,8 @@ class Model:
         return np.where(own, codes // PLACES + 1, 0), codes % PLACES
 
     @staticmethod
-    def history(codes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """The first, second and third code before each, 0 before a text's start."""
-        place = np.arange(len(codes)) - np.repeat(first[:-1], np.diff(first))
+    def history(codes: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+        """The first, second and third code before each, 0 before a text's start; ``place`` counts in the text."""
         out = []
         for k in (1, 2, 3):
             before = np.zeros_like(codes)
@@ -288,17 +287,18 @@ class Sums:
         return out
 
 
-def blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, list[np.ndarray]]]:
-    """(codes, the row of each, histories) of a batch, about BLOCK tokens at a time."""
+def blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(codes, the row of each, histories) of a batch, at most BLOCK tokens at a time."""
     column = batch.column(batch.schema.get_field_index("codes")).cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
-    codes = np.frombuffer(column.buffers()[2], dtype=np.uint16)[offsets[0] // 2:offsets[-1] // 2].astype(np.int64)
+    every = np.frombuffer(column.buffers()[2], dtype=np.uint16)[offsets[0] // 2:offsets[-1] // 2]
     first = (offsets - offsets[0]) // 2
-    before = Model.history(codes, first)
-    row = np.repeat(np.arange(len(column)), np.diff(first))
-    for at in range(0, len(codes), BLOCK):
-        part = slice(at, at + BLOCK)
-        yield codes[part], row[part], [x[part] for x in before]
+    for at in range(0, len(every), BLOCK):
+        to, back = min(at + BLOCK, len(every)), min(at, 3)      # histories reach three codes back
+        row = np.searchsorted(first, np.arange(at - back, to), side="right") - 1
+        codes = every[at - back:to].astype(np.int64)
+        before = Model.history(codes, np.arange(at - back, to) - first[row])
+        yield codes[back:], row[back:], [x[back:] for x in before]
 
 
 def summed_gradient(texts: DataFrame, model: Model) -> Sums:

@@ -127,13 +127,16 @@ def test_gradient_is_the_slope_of_the_log_likelihood():
 
 
 def test_histories_stop_at_the_start_of_a_text():
-    a, b, c = Model.history(np.array([5, 6, 7, 8, 0, 9]), np.array([0, 4, 4, 6]))
+    a, b, c = Model.history(np.array([5, 6, 7, 8, 0, 9]), np.array([0, 1, 2, 3, 0, 1]))
     assert (a.tolist(), b.tolist(), c.tolist()) == ([0, 5, 6, 7, 0, 0], [0, 0, 5, 6, 0, 0], [0, 0, 0, 5, 0, 0])
 
 
 def test_blocks_cover_every_token(monkeypatch):
+    texts = [np.arange(1, 8, dtype=np.uint16), np.zeros(1, np.uint16), np.arange(20, 24, dtype=np.uint16)]
+    batch = pa.record_batch({"codes": [x.tobytes() for x in texts]})
+    whole = list(language_model.blocks(batch))
     monkeypatch.setattr(language_model, "BLOCK", 3)
-    batch = pa.record_batch({"codes": [np.arange(7, dtype=np.uint16).tobytes(), np.zeros(1, np.uint16).tobytes()]})
-    found = list(language_model.blocks(batch))
-    assert np.concatenate([x[0] for x in found]).tolist() == [*range(7), 0]
-    assert np.concatenate([x[1] for x in found]).tolist() == [0] * 7 + [1]
+    for found in (whole, list(language_model.blocks(batch))):
+        assert np.concatenate([x[0] for x in found]).tolist() == [*range(1, 8), 0, *range(20, 24)]
+        assert np.concatenate([x[1] for x in found]).tolist() == [0] * 7 + [1] + [2] * 4
+        assert np.concatenate([x[2][2] for x in found]).tolist() == [0, 0, 0, 1, 2, 3, 4, 0, 0, 0, 0, 20]
