@@ -94,7 +94,7 @@ def product_behaviours(*parts: DataFrame) -> DataFrame:
 
 def _visitor(rows: DataFrame, **measures: str) -> DataFrame:
     return rows.selectExpr(*VISITOR_DIMS, *[
-        f"cast({measures.get(m, 0)} as bigint) as {m}" for m in VISITOR_MEASURES], _ts("ts"))
+        f"cast({measures.get(m, 0)} as bigint) as {m}" for m in VISITOR_MEASURES], "ts")
 
 
 def visitor_pages(pages: DataFrame) -> DataFrame:

@@ -204,7 +204,9 @@ def with_views(text: str) -> str:
     needed = _needed(text)
     if not needed:
         return text
-    return "with " + ",\n".join(f"{n} as ({VIEWS[n]})" for n in needed) + "\n" + text
+    views = "with " + ",\n".join(f"{n} as ({VIEWS[n]})" for n in needed)
+    own = re.match(r"\s*with\b", text)
+    return f"{views},\n{text[own.end():]}" if own else f"{views}\n{text}"
 
 
 def _ranked(keys: str, more: str = "") -> str:
@@ -447,6 +449,7 @@ QUERIES |= {
 SALES_DAY = "(select cast(strftime(min(o_orderdate),'%Y%m%d') as int) from orders)"
 VISIT_DAY = "(select cast(strftime(min(ts),'%Y%m%d') as int) from events)"
 for _name, _columns, _day in (("gmv_by_day", "order_amount", SALES_DAY), ("top_brands", "*", SALES_DAY),
+                              ("top_categories", "*", SALES_DAY), ("top_spus", "*", SALES_DAY),
                               ("province_sales", "*", SALES_DAY), ("visitor_matrix", "* exclude (dt)", VISIT_DAY),
                               ("visitors_by_hour", "* exclude (dt)", VISIT_DAY), ("hot_keywords", "*", VISIT_DAY)):
     QUERIES[f"{_name.removesuffix('_by_day')}_one_day"] = \
@@ -466,5 +469,52 @@ QUERIES["stream_dim_table"] = """
 QUERIES["stream_route_changes"] = QUERIES["route_changes"]
 
 
+# Dimension rows changed before the second step: users and provinces of lines that met in it are new.
+_MET_LATE = """epoch_us(greatest(create_time, line_time)) * 2 >= (
+    select epoch_us(least(min(a.f), min(b.f))) + epoch_us(greatest(max(a.l), max(b.l)))
+    from (select min(create_time) f, max(create_time) l from order_info) a,
+         (select min(create_time) f, max(create_time) l from order_detail) b)"""
+QUERIES["stream_order_wide"] = QUERIES["order_wide"].replace("user_gender, user_age", f"""
+    case when user_id % 10 = 0 and {_MET_LATE} then 'X' else user_gender end user_gender, user_age""").replace(
+    "province_name, province_area_code", f"""
+    case when province_id % 5 = 0 and {_MET_LATE} then concat(province_name, ' 2') else province_name end province_name,
+    province_area_code""")
+_USER_LOG = """
+    select 1000000000 + c_custkey seq, 'insert' as type, c_custkey id, c_name as name, null before_name from customer
+    union all select 2000000000 + c_custkey, 'update', c_custkey, concat(c_name,'x'), c_name from customer where c_custkey%5=0
+    union all select 3000000000 + c_custkey, 'delete', c_custkey, null, concat(c_name,'x') from customer where c_custkey%50=0"""
+_CUT = "(select 2000000000 + max(c_custkey) // 2 from customer)"
+_LATE_ROUND = "least(2, (epoch_us(arrives) - epoch_us(f)) * 3 // (epoch_us(l) - epoch_us(f)))"
+QUERIES |= {
+    "sink_visitor_stats_closed": f"select * from ({QUERIES['visitor_stats']}) every_day where substring(stt,1,10) = (select strftime(min(ts),'%Y-%m-%d') from events)",
+    "stream_visitor_chain": QUERIES["visitor_stats"],
+    "stream_sql_keyword": QUERIES["keyword_search_stats"],
+    "stream_sql_province": QUERIES["province_stats"],
+    "stream_raw_lines": "select props as value, strftime(ts, '%Y-%m-%d') dt from events",
+    "stream_late_rows": f"""
+        with pages as (
+          select event_id, ts, case when mid like '%7' then ts + interval 2 day else ts end arrives from page_log),
+        bounds as (select min(arrives) f, max(arrives) l from pages),
+        dealt as (select event_id, ts, {_LATE_ROUND} as step from pages, bounds),
+        newest as (select step, max(ts) as newest from dealt group by step)
+        select d.event_id, case when d.ts < (select max(n.newest) from newest n where n.step < d.step) - interval 3 second
+                                then 'true' else 'false' end as late
+        from dealt d""",
+    "stream_topics": """
+        select case tbl when 'user_info' then 'dim_user_info' else 'dwd_order_info' end topic, id, name, status
+        from captured where fields>0 and tbl in ('user_info','order_info')""",
+    "stream_snapshot_then_log": f"""
+        select {_CUT}::bigint seq, 'read' as type, cast(c_custkey as varchar) id,
+               case when c_custkey%5=0 and 2000000000 + c_custkey <= {_CUT} then concat(c_name,'x') else c_name end as name
+        from customer
+        union all select seq::bigint, type, cast(id as varchar), coalesce(name, before_name)
+        from ({_USER_LOG}) u where seq > {_CUT}""",
+    "stream_user_changes": f"""
+        select kind, cast(id as varchar) id, v as name, seq::bigint seq from ({_USER_LOG}) u, lateral (
+          select '+I' kind, name v where type = 'insert' union all select '-U', before_name where type = 'update'
+          union all select '+U', name where type = 'update' union all select '-D', before_name where type = 'delete') k""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_views(text) for name, text in QUERIES.items()}

@@ -13,11 +13,12 @@ from millrace.operators import changes, facts, joins, logs, serving, stats, visi
 from millrace.plans import sql_jobs
 from millrace.plans.expected_sql import ASOF
 from millrace.session import scratch_dir, tune
-from millrace.sinks import dims, tables
+from millrace.sinks import dims, outbox, tables, topics
+from millrace.sinks.keyed import KeyedTable
 from millrace.sources.changes import keyed_data, load_routes, normalize_change
 from millrace.sources.shop_tables import ShopTables, once
 from millrace.sources.topics import CORRUPT, to_json_rows
-from millrace.streaming import jobs, stateful, visited
+from millrace.streaming import changelog, first_days, handover, jobs, late, stateful, visited
 from millrace.streaming.replay import Feed, replay
 
 TIE = ("event_id",)
@@ -210,6 +211,18 @@ def sink_visitor_stats(t):
     return read_back(t, "visitor_stats")
 
 
+@query
+def sink_visitor_stats_closed(t):
+    """Half of the statistics, every day of it closed, then the other half as a late batch."""
+    path, rows = f"{scratch_dir(t.spark, 'closed')}/visitors", _written(t, stored(t, "visitor_stats")[0])
+    sink, early = tables.stats_sink(path, "visitor_stats"), F.pmod(F.xxhash64("stt", "vc", "ch", "ar", "is_new"), F.lit(2)) == 0
+    sink(rows.filter(early), 0)
+    day = first_day(t, "events", "ts")
+    tables.close_day(t.spark, path, day)
+    sink(rows.filter(~early), 1)
+    return tables.read_day(t.spark, path, day).select(*tables.LAYOUTS["visitor_stats"])
+
+
 @query
 def sink_product_stats(t):
     return read_back(t, "product_stats")
@@ -237,6 +250,18 @@ def top_brands_one_day(t):
     return serving.top_brands(one_day(t, "product_stats", day), day)
 
 
+@query
+def top_categories_one_day(t):
+    day = first_day(t, "orders", "o_orderdate")
+    return serving.top_categories(one_day(t, "product_stats", day), day)
+
+
+@query
+def top_spus_one_day(t):
+    day = first_day(t, "orders", "o_orderdate")
+    return serving.top_spus(one_day(t, "product_stats", day), day)
+
+
 @query
 def province_sales_one_day(t):
     day = first_day(t, "orders", "o_orderdate")
@@ -686,19 +711,43 @@ def stream_user_jumps(t):
 @query
 def stream_repair_is_new(t):
     feed = Feed(t.page_log().select("event_id", "mid", "ts", "is_new"), "ts")
-    out = replay(t.spark, "repair_is_new", {"logs": feed},
-                 lambda s: stateful.repair_is_new_stream(s["logs"]))
-    return _written(t, out).select("event_id", "mid", "is_new")
+    folder = scratch_dir(t.spark, "flags")
+    days = first_days.first_days(t.spark, f"{folder}/first_days", compact_every=1)
+
+    def each(df: DataFrame, batch_id: int) -> None:
+        tables.write_batch(first_days.repair_is_new_batch(df, batch_id, days), f"{folder}/out", batch_id)
+
+    replay(t.spark, "repair_is_new", {"logs": feed}, lambda s: s["logs"], each=each, rounds=3)
+    return tables.read_table(t.spark, f"{folder}/out").select("event_id", "mid", "is_new")
 
 
 @query
 def stream_order_wide(t):
+    """The standing job over order streams; before its second step some users and provinces change."""
     feeds = {"order": Feed(t.order_info(), "create_time"),
              "line": Feed(t.order_detail(), "create_time")}
-    out = replay(t.spark, "order_wide", feeds, lambda s: jobs.merged_orders(s["order"], s["line"]))
-    wide_rows = joins.enrich_province(
-        joins.enrich_user(_written(t, out), t.dim_user(), asof()), t.dim_province())
-    return wide_shown(joins.enrich_product(wide_rows, t.products()))
+    folder = scratch_dir(t.spark, "dims")
+
+    def known(rows: DataFrame, table: str) -> DataFrame:
+        text = F.map_from_arrays(F.array(*[F.lit(c) for c in rows.columns]),
+                                 F.array(*[F.col(c).cast("string") for c in rows.columns]))
+        return rows.select(F.lit(table).alias("sink_table"), F.lit("id").alias("sink_pk"), F.lit("update").alias("type"),
+                           F.lit(0).cast("bigint").alias("seq"), text.alias("data"))
+
+    def change(step: int) -> None:
+        users, places = t.dim_user(), t.dim_province()
+        if step:
+            users = users.filter(F.col("id") % 10 == 0).withColumn("gender", F.lit("X"))
+            places = places.filter(F.col("id") % 5 == 0).withColumn("name", F.concat("name", F.lit(" 2")))
+        dims.append_changes(known(users, "dim_user").unionByName(known(places, "dim_province")), folder, step)
+
+    # a view lives as long as its job: each step is a restart, and the second starts from the held rows
+    user_view = dims.DimView(t.spark, folder, "dim_user", t.dim_user().columns, f"{folder}/held", dict(t.dim_user().dtypes))
+    place_view = dims.DimView(t.spark, folder, "dim_province", t.dim_province().columns, f"{folder}/held",
+                              dict(t.dim_province().dtypes))
+    base = replay(t.spark, "order_wide", feeds, before=change, job=lambda s, b: jobs.order_wide(
+        s["order"], s["line"], user_view, place_view, t.products, b, asof, once=True))
+    return wide_shown(tables.read_table(t.spark, f"{base}/order_wide"))
 
 
 @query
@@ -717,6 +766,16 @@ def stream_visitor_stats(t):
                               lambda s: stats.visitor_stats(s["rows"])))
 
 
+@query
+def stream_visitor_chain(t):
+    """Pages in, statistics out: visits, bounces and windows in one streaming query."""
+    feed = Feed(t.page_log(), "ts", {"mid": "~", "vc": "~"})
+    base = replay(t.spark, "visitor_chain", {"pages": feed},
+                  job=lambda s, b: jobs.visitor_chain(s["pages"], b, tie=TIE, once=True))
+    rows = tables.read_table(t.spark, f"{base}/visitor_stats").filter("vc <> '~'")
+    return rows.select(*tables.LAYOUTS["visitor_stats"])
+
+
 @query
 def stream_product_stats(t):
     feed = Feed(facts.product_behaviours(*behaviours(t)), "ts", {"sku_id": -1})
@@ -740,6 +799,99 @@ def stream_keyword_search_stats(t):
     return _written(t, out).drop("ts")
 
 
+def _sql_on(view: Callable[[DataFrame], None], sql: str, rows: DataFrame) -> DataFrame:
+    view(rows)
+    return sql_jobs.run(rows.sparkSession, sql)
+
+
+FAR_MILLIS = 4_102_444_800_000
+
+
+@query
+def stream_sql_keyword(t):
+    feed = Feed(_page_maps(t).withColumn("at", F.timestamp_millis("ts")), "at", {"ts": FAR_MILLIS})
+    out = replay(t.spark, "sql_keyword", {"pages": feed},
+                 lambda s: _sql_on(sql_jobs.page_view, sql_jobs.KEYWORD_SEARCH, s["pages"].drop("at")))
+    return _written(t, out).drop("ts")
+
+
+@query
+def stream_sql_province(t):
+    located = joins.enrich_province(order_lines(t, True), t.dim_province())
+    out = replay(t.spark, "sql_province", {"wide": Feed(located, "create_time", {"order_id": -1})},
+                 lambda s: _sql_on(sql_jobs.order_wide, sql_jobs.PROVINCE, s["wide"]))
+    return _written(t, out).drop("ts")
+
+
+@query
+def stream_raw_lines(t):
+    base = replay(t.spark, "raw_lines", {"lines": Feed(t.received_lines(), "received")},
+                  job=lambda s, b: jobs.land_lines(s["lines"], b, received="received", once=True))
+    return t.spark.read.text(f"{base}/raw_log").select("value", F.col("dt").cast("string").alias("dt"))
+
+
+@query
+def stream_late_rows(t):
+    """Every page with whether it came behind the watermark; some devices' pages arrive two days late."""
+    arrives = F.when(F.col("mid").endswith("7"), F.col("ts") + F.expr("interval 2 days")).otherwise(F.col("ts"))
+    pages = t.page_log().select("event_id", "mid", "ts", arrives.alias("arrives"))
+    folder = f"{scratch_dir(t.spark, 'late')}/pages"
+    replay(t.spark, "late_rows", {"pages": Feed(pages, "arrives")}, lambda s: s["pages"],
+           each=late.late_sink(folder, "ts"), rounds=3)
+    return tables.read_table(t.spark, folder).select("event_id", F.col("late").cast("string").alias("late"))
+
+
+@query
+def stream_topics(t):
+    """Routed changes by topic. Every micro-batch is written twice, and once without being committed."""
+    folder = scratch_dir(t.spark, "outbox")
+    send = outbox.outbox_sink(folder)
+
+    def each(df: DataFrame, batch_id: int) -> None:
+        rows = topics.rows_by_table(changes.route_changes(changes.valid_changes(df), load_routes(t.routes())))
+        outbox.write_attempt(rows, folder, batch_id)
+        send(rows, batch_id)
+        send(rows, batch_id)
+
+    replay(t.spark, "topics", {"changes": _change_feed(t)}, lambda s: s["changes"], each=each)
+    return outbox.read_outbox(t.spark, folder).select(
+        "topic", *[F.get_json_object("value", f"$.{c}").alias(c) for c in ("id", "name", "status")])
+
+
+def _user_log(t: ShopTables) -> DataFrame:
+    rows, _ = normalize_change(t.logged_users(), with_before=True)
+    return keyed_data(changes.valid_changes(rows, deletes=True), "id", "name").select("seq", "type", "id", "name")
+
+
+@query
+def stream_snapshot_then_log(t):
+    """Users from a snapshot taken in the middle of their updates, then from the log, which also holds
+    all that came before the snapshot."""
+    users = _user_log(t)
+    cut = 2_000_000_000 + t.table("customer").agg(F.max("c_custkey")).first()[0] // 2
+
+    def take() -> tuple[DataFrame, int]:
+        held = changes.latest_by_key(users.filter(F.col("seq") <= cut), "id", "seq", on_delete="drop")
+        return held.select("id", "name"), cut
+
+    feed = Feed(users.withColumn("at", F.timestamp_seconds("seq")), "at")
+    base = replay(t.spark, "handover", {"log": feed}, rounds=3,
+                  job=lambda s, b: handover.snapshot_then_log(s["log"].drop("at"), take, b, once=True))
+    return tables.read_table(t.spark, f"{base}/changes").select("seq", "type", "id", "name")
+
+
+@query
+def stream_user_changes(t):
+    """What every change of a user replaces, and by what."""
+    folder = scratch_dir(t.spark, "user_changes")
+    table = KeyedTable(t.spark, f"{folder}/table", "id string, name string, type string, seq bigint", "id", "seq",
+                       compact_every=1)
+    feed = Feed(_user_log(t).withColumn("at", F.timestamp_seconds("seq")), "at")
+    replay(t.spark, "user_changes", {"log": feed}, lambda s: s["log"].drop("at"), rounds=4,
+           each=changelog.changelog_sink(f"{folder}/out", table, ["name"]))
+    return tables.read_table(t.spark, f"{folder}/out")
+
+
 def _change_feed(t: ShopTables) -> Feed:
     return Feed(captured(t).withColumn("at", F.timestamp_seconds("seq")), "at")
 

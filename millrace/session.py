@@ -59,8 +59,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for written intermediate tables and stream checkpoints.
 
     It lies below the shared folder named in ``spark.checkpoint.dir``, or else in the session's
-    warehouse, so every executor sees it and a lost executor loses nothing.
+    warehouse, so every executor sees it and a lost executor loses nothing. On a cluster a
+    warehouse on the driver's own disk is refused.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or \
-        f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+        if not is_local(spark) and root.startswith(("file:", "/")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"

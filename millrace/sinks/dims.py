@@ -82,6 +82,47 @@ def current_dim(spark: SparkSession, path: str, table: str, columns: list[str])
     return rows.select(*[F.try_element_at("data", F.lit(c)).alias(c) for c in columns])
 
 
+class DimView:
+    """A dimension that a running job keeps at hand and brings up to date from the log.
+
+    Calling it gives the newest rows. Batches of the log that came since the last call, and only
+    those, are read and folded into the held rows, which are written below `held` and read back, so
+    that the plan stays short and a lost executor loses nothing; without new batches the frame of
+    the last call is returned as it is. `columns` may be given types in `cast`.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, table: str, columns: list[str], held: str,
+                 cast: dict[str, str] | None = None):
+        self.spark, self.path, self.table, self.columns, self.held = spark, path, table, columns, held
+        self.cast, self.upto, self.frame = cast or {}, -1, None
+
+    def newer(self) -> DataFrame:
+        """Rows of the log in batches not yet folded; their folders are chosen by name."""
+        return self.spark.read.parquet(f"{self.path}/log").filter(
+            (F.col("sink_table") == self.table) & (F.col("batch") > self.upto))
+
+    def _known(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.held}/{self.table}/upto={self.upto}")
+
+    def __call__(self) -> DataFrame:
+        newer = self.newer()
+        last = newer.agg(F.max("batch")).first()[0]
+        if last is None and self.frame is not None:
+            return self.frame
+        if last is not None:
+            rows = newer.filter(F.col("batch") <= last).drop("batch")
+            rows = rows if self.upto < 0 else rows.unionByName(self._known())
+            _fold(rows).select(
+                "_id.sink_table", "_id.sink_pk", F.lit(last).cast("bigint").alias("batch_no"),
+                F.lit(-1).cast("bigint").alias("seq"), "data", F.lit(False).alias("deleted")).write.mode(
+                "overwrite").parquet(f"{self.held}/{self.table}/upto={last}")
+            self.upto = last
+        rows = self._known() if self.upto >= 0 else newer
+        self.frame = rows.select(*[F.try_element_at("data", F.lit(c)).cast(self.cast.get(c, "string")).alias(c)
+                                   for c in self.columns])
+        return self.frame
+
+
 def compact(spark: SparkSession, path: str) -> int:
     """Fold log and snapshot of all tables into a new snapshot; returns its version."""
     rows = _changes(spark, path, None)

@@ -48,25 +48,44 @@ def folder_or_none(spark: SparkSession, path: str, base: str) -> DataFrame | Non
         return None
 
 
-def close_day(spark: SparkSession, path: str, day: int, files: int = 1) -> None:
-    """Write a finished day's rows of all batches anew as ``<path>_closed/dt=<day>``.
+def closed_upto(spark: SparkSession, path: str, day: int) -> int | None:
+    """The last batch whose rows the closed form of a day holds; None if the day is open."""
+    marks = folder_or_none(spark, f"{path}_days", f"{path}_days")
+    return marks.filter(F.col("dt") == day).agg(F.max("upto")).first()[0] if marks is not None else None
 
-    The folder is complete or not there at all: its rows are written aside the batches, which stay
-    untouched for whoever is reading them and can be retired later.
+
+def close_day(spark: SparkSession, path: str, day: int) -> None:
+    """Write a finished day's rows of all batches anew as ``<path>_closed/upto=…/dt=<day>``, in as few files
+    as their size asks for.
+
+    The batches stay untouched for whoever is reading them and can be retired later. The list of
+    closed days says up to which batch a day was folded, and only after its rows are written; batches
+    that bring more of the day later are read beside it, and closing it again folds them too.
     """
-    rows = spark.read.parquet(f"{path}/dt={day}").drop("batch")
-    rows.repartition(files).write.mode("overwrite").parquet(f"{path}_closed/dt={day}")
+    rows = spark.read.option("basePath", path).parquet(f"{path}/dt={day}")
+    upto = rows.agg(F.max("batch")).first()[0]
+    if upto == closed_upto(spark, path, day):
+        return
+    # the day may have been retired from the batches up to its last closing: those rows come from there
+    whole = read_day(spark, path, day).drop("dt")
+    whole.hint("rebalance").write.mode("overwrite").parquet(f"{path}_closed/upto={upto}/dt={day}")
+    spark.range(1).select(F.lit(day).cast("int").alias("dt"), F.lit(upto).cast("bigint").alias("upto")).coalesce(
+        1).write.mode("append").parquet(f"{path}_days")
 
 
 def read_day(spark: SparkSession, path: str, day: int) -> DataFrame:
-    """One day's rows, from that day's folder alone."""
-    closed = f"{path}_closed"
-    rows = folder_or_none(spark, f"{closed}/dt={day}", closed)
-    if rows is None:
-        rows = folder_or_none(spark, f"{path}/dt={day}", path)
-    if rows is None:        # no such day: the table's columns, no rows
+    """One day's rows, from that day's folders alone: its closed form, if any, and the batches after it."""
+    upto = closed_upto(spark, path, day)
+    rows = folder_or_none(spark, f"{path}/dt={day}", path)
+    if rows is None and upto is None:        # no such day: the table's columns, no rows
         rows = spark.read.parquet(path).filter(F.col("dt") == day)
-    return rows.drop("batch")
+    if upto is None:
+        return rows.drop("batch")
+    base = f"{path}_closed/upto={upto}"
+    closed = spark.read.option("basePath", base).parquet(f"{base}/dt={day}")
+    if rows is None:
+        return closed
+    return closed.unionByName(rows.filter(F.col("batch") > upto).drop("batch"))
 
 
 def read_table(spark: SparkSession, *paths: str) -> DataFrame:

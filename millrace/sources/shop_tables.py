@@ -105,6 +105,10 @@ class ShopTables:
         cut = self.table("events").filter("event_id % 50 = 3")
         return cut.select(F.concat(F.lit('{"common":{"mid":"m'), "user_id").alias("value"))
 
+    def received_lines(self) -> DataFrame:
+        """Lines as they reached the collector, with the time they did."""
+        return self.table("events").select(F.col("props").alias("value"), F.col("ts").cast("timestamp").alias("received"))
+
     def raw_log(self) -> DataFrame:
         """The log as JSON lines: one per page view, plus one start line per signup."""
         log = self._exposed(self.page_log())
@@ -271,6 +275,12 @@ class ShopTables:
                 .unionByName(self._record(nations.filter(key % 3 == 0), "table_process", 2, "u", route(other)))
                 .unionByName(self._record(nations.filter(key % 5 == 0), "table_process", 3, "d", None, route(name))))
 
+    def logged_users(self) -> DataFrame:
+        """Captured changes of the user table with their positions in the log, one position each."""
+        lines = self.captured_changes().filter(F.get_json_object("value", "$.source.table") == "user_info")
+        key = F.coalesce(F.get_json_object("value", "$.after.id"), F.get_json_object("value", "$.before.id"))
+        return lines.withColumn("seq", F.col("seq") * 1_000_000_000 + key.cast("bigint"))
+
     def changes(self) -> DataFrame:
         """Typed changes of the user table, deletes with the row they remove."""
         users = self.table("customer").select(F.col("c_custkey").alias("id"), "c_name")

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.functions.times import watermarked
 from millrace.operators import changes, facts, joins, logs, stats
 from millrace.sinks import dims, tables, topics
-from millrace.streaming import stateful, visited
+from millrace.streaming import first_days, stateful, visited
 from millrace.streaming.runner import start
 
 Loader = Callable[[], DataFrame]
@@ -28,9 +28,9 @@ def _start(df: DataFrame, base: str, name: str, **options) -> StreamingQuery:
     return start(df, name=name, checkpoint=f"{base}/checkpoints/{name}", **options)
 
 
-def land_lines(lines: DataFrame, base: str, **options) -> StreamingQuery:
-    """Keep every received line as it came, by day."""
-    return _start(topics.raw_lines(lines), base, "raw_log", fmt="text", path=f"{base}/raw_log",
+def land_lines(lines: DataFrame, base: str, received: str | None = None, **options) -> StreamingQuery:
+    """Keep every received line as it came, by the day it came (today, or that of a column)."""
+    return _start(topics.raw_lines(lines, received), base, "raw_log", fmt="text", path=f"{base}/raw_log",
                   partition_by=["dt"], **options)
 
 
@@ -38,12 +38,13 @@ def split_log(lines: DataFrame, base: str, **options) -> list[StreamingQuery]:
     """Raw log lines → one table of start, page and display rows by kind, with repaired flags; bad
     lines aside."""
     good, bad = logs.parse_logs(lines)
-    repaired = stateful.repair_is_new_stream(logs.flat_log(good))
+    days = first_days.first_days(lines.sparkSession, f"{base}/first_days")
 
     def each(df: DataFrame, batch_id: int) -> None:
-        tables.write_batch(logs.tagged_log(df), f"{base}/log", batch_id, ["kind"])
+        repaired = first_days.repair_is_new_batch(df, batch_id, days)
+        tables.write_batch(logs.tagged_log(repaired), f"{base}/log", batch_id, ["kind"])
 
-    return [_start(repaired, base, "split_log", each=each, **options),
+    return [_start(logs.flat_log(good), base, "split_log", each=each, **options),
             _start(bad, base, "quarantine_log", path=f"{base}/quarantine_log", **options)]
 
 
@@ -79,7 +80,8 @@ def merged_orders(order_info: DataFrame, order_detail: DataFrame, delay: str = "
 def order_wide(order_info: DataFrame, order_detail: DataFrame, users: Loader, provinces: Loader,
                products: Loader, base: str, asof: Callable[[], Column] = F.current_date,
                salts: int = SALTS, **options) -> StreamingQuery:
-    """Order lines with attributes. Dimensions are reread per micro-batch, so rows get the newest."""
+    """Order lines with attributes. Dimensions are asked for anew per micro-batch, so rows get the newest;
+    a `dims.DimView` then reads only what has changed."""
     def each(df: DataFrame, batch_id: int) -> None:
         wide = joins.enrich_province(joins.enrich_user(df, users(), asof()), provinces())
         tables.write_batch(joins.enrich_product(wide, products()), f"{base}/order_wide", batch_id)
@@ -100,6 +102,26 @@ def payment_wide(payment_info: DataFrame, wide: DataFrame, base: str, salts: int
                   path=f"{base}/payment_wide", **options)
 
 
+def visitor_measures(pages: DataFrame, within: float = 10.0, *, tie: tuple[str, ...] = (),
+                     delay: str = "3 seconds") -> DataFrame:
+    """Pages, unique visits and bounces of one page stream, as measures on one clock.
+
+    The watermark is that of the pages; bounces come later by their waiting time, and statistics that
+    follow in the same query wait for them.
+    """
+    timed = watermarked(pages, "ts", delay)
+    return facts.visitor_events(timed, stateful.unique_visits_stream(timed, tie=tie, delay=None),
+                                stateful.user_jumps_stream(timed, within, tie=tie, delay=None))
+
+
+def visitor_chain(pages: DataFrame, base: str, within: float = 10.0, *, tie: tuple[str, ...] = (),
+                  **options) -> StreamingQuery:
+    """Page log in, visitor statistics out, in one query and without a stored stage between."""
+    rows = visitor_measures(pages, within, tie=tie)
+    return _start(stats.visitor_stats(rows, delay=None), base, "visitor_chain",
+                  each=tables.stats_sink(f"{base}/visitor_stats", "visitor_stats"), **options)
+
+
 def visitor_stats(pages: DataFrame, uniques: DataFrame, jumps: DataFrame, base: str,
                   **options) -> StreamingQuery:
     rows = facts.visitor_events(pages, uniques, jumps)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from millrace.session import scratch_dir
 from millrace.streaming.runner import finish, start
@@ -28,12 +29,15 @@ def _closing_row(feed: Feed, latest) -> DataFrame:
 
 
 def replay(spark: SparkSession, label: str, feeds: dict[str, Feed],
-           build: Callable[[dict[str, DataFrame]], DataFrame], *, rounds: int = 2,
-           each: Callable[[DataFrame, int], None] | None = None) -> str:
+           build: Callable[[dict[str, DataFrame]], DataFrame] | None = None, *, rounds: int = 2,
+           each: Callable[[DataFrame, int], None] | None = None,
+           job: Callable[[dict[str, DataFrame], str], StreamingQuery] | None = None,
+           before: Callable[[int], None] | None = None) -> str:
     """Feed the rows in `rounds` time steps, stopping and restarting in between.
 
     Returns the folder of the written result (unless `each` writes elsewhere). Rows are split at
-    common times, so no row comes behind the watermark of its own history.
+    common times, so no row comes behind the watermark of its own history. With `job` a standing job is
+    started on the streams, below the folder that is returned. `before` is called ahead of each step.
     """
     base = scratch_dir(spark, label)
     for name, feed in feeds.items():
@@ -44,6 +48,8 @@ def replay(spark: SparkSession, label: str, feeds: dict[str, Feed],
     first, last = min(s[0] for s in span), max(s[1] for s in span)
     cuts = [first + (last - first) * i / rounds for i in range(1, rounds)]
     for step in range(rounds):
+        if before is not None:
+            before(step)
         for name, feed in feeds.items():
             rows = stored[name]
             if step:
@@ -56,6 +62,9 @@ def replay(spark: SparkSession, label: str, feeds: dict[str, Feed],
             rows.write.mode("append").parquet(f"{base}/in/{name}")
         streams = {n: spark.readStream.schema(f.rows.schema).parquet(f"{base}/in/{n}")
                    for n, f in feeds.items()}
+        if job is not None:
+            finish(job(streams, f"{base}/out"))
+            continue
         finish(start(build(streams), name=f"{label}_{base[-12:]}", once=True, each=each,
                      path=None if each else f"{base}/out", checkpoint=f"{base}/checkpoint"))
     return f"{base}/out"

@@ -1,7 +1,7 @@
-"""Operators that keep state per key between micro-batches.
+"""Operators that keep state between micro-batches: bounces and unique visits of a page stream.
 
-Their batch counterparts are in `operators.logs` and `operators.visits` and use no Python. State
-lives in the RocksDB store, on disk and in the checkpoint, and not in Python memory.
+Their batch counterparts are in `operators.visits`. Both leave the event-time column usable, so
+statistics may follow them in the same query. State lives in the RocksDB store and the checkpoint.
 """
 
 from __future__ import annotations
@@ -10,149 +10,80 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import MapType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from millrace.functions.times import day_key
+from millrace.functions.times import watermarked
 from millrace.operators.logs import blank
 from millrace.operators.neighbours import with_slices
 
 
-def _millis(micros: int) -> int:
-    """Epoch millis, rounded up."""
-    return -(-micros // 1000)
+def user_jumps_stream(pages: DataFrame, within: float = 10.0, *, key: str = "mid", time: str = "ts",
+                      tie: tuple[str, ...] = (), delay: str | None = "0 seconds",
+                      slice_seconds: int = 30) -> DataFrame:
+    """Bounces of a page stream: opening rows that the device's later rows do not follow in time.
 
-
-def _held(schema: StructType, *leave_out: str) -> StructType:
-    """The row type kept in state. Python state rows lose map values, so maps are refused."""
-    fields = [f for f in schema.fields if f.name not in leave_out]
-    maps = [f.name for f in fields if isinstance(f.dataType, MapType)]
-    if maps:
-        raise ValueError(f"turn map columns {maps} into JSON text first")
-    return StructType(fields)
+    A left outer join in event time: an opening row that met no later row within `within` seconds
+    comes out once the watermark has passed its waiting time, and what follows it in the same query
+    waits as long. Rows meet by (device, time slice), and rows near a slice's start are also sent to the
+    slice before, so a busy device is spread over its slices and the state of each spans one slice.
+    ``delay=None`` takes the watermark that the pages have.
+    """
+    slice_seconds = max(slice_seconds, int(within) + 1)
+    rows = watermarked(pages.filter(F.col(key).isNotNull()), time, delay)
+    order = [time, *tie]
+    after = with_slices(rows.select(key, *order), time, within, slice_seconds, "next").select(
+        F.col(key).alias("_key"), F.col("_slice"), *(F.col(c).alias(f"_{c}") for c in order))
+    own = F.expr(f"floor(unix_micros({time}) / {slice_seconds * 1_000_000})")
+    openings = rows.filter(blank("last_page_id")).withColumn("_own", own)
+    follows = (F.struct(*(f"_{c}" for c in order)) > F.struct(*order)) & (F.col(f"_{time}") >= F.col(time)) & (
+        F.col(f"_{time}") < F.col(time) + F.expr(f"interval '{within}' second"))
+    met = (F.col(key) == F.col("_key")) & (F.col("_own") == F.col("_slice")) & follows
+    return openings.join(after, met, "left_outer").filter(F.col("_key").isNull()).select(*pages.columns)
 
 
-class _Bounces(StatefulProcessor):
-    """Holds rows for `within` seconds and then judges each opening row by the row after it."""
+class _FirstOfDay(StatefulProcessor):
+    """Lets the earliest row of a (device, day) pass, and no later one."""
 
-    def __init__(self, row_type: StructType, order: list[str], within: float):
-        self.row_type, self.order, self.within = row_type, order, int(within * 1_000_000)
+    def __init__(self, names: list[str], order: list[str]):
+        self.names, self.order = names, order
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", self.row_type)
+        self.seen = handle.getValueState("seen", StructType([StructField("seen", BooleanType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        last, buffer = None, []
-        for row in rows:
-            buffer.append(tuple(row[f] for f in self.row_type.names))
-            last = row["_at"] if last is None else max(last, row["_at"])
-            if len(buffer) >= 1000:
-                self.rows.appendList(buffer)
-                buffer = []
-        if buffer:
-            self.rows.appendList(buffer)
-        if last is not None:    # by then every row of this batch can be judged
-            self.handle.registerTimer(_millis(last + self.within))
-        return iter(())
+        first = min(rows, key=lambda r: tuple(r[c] for c in self.order), default=None)
+        if first is not None and not self.seen.exists():
+            self.seen.update((True,))
+            self.handle.registerTimer(first["_until"])
+            yield Row(**{n: first[n] for n in self.names})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        names = self.row_type.names
-        at, opens, copy = (names.index(c) for c in ("_at", "_opens", "_copy"))
-        order = [names.index(c) for c in self.order]
-        rows = sorted(self.rows.get(), key=lambda r: tuple(r[i] for i in order))
-        bounced, kept = [], []
-        for i, row in enumerate(rows):
-            if _millis(row[at] + self.within) > passed:
-                kept.append(tuple(row))
-                continue
-            alone = i + 1 == len(rows) or rows[i + 1][at] - row[at] >= self.within
-            if row[opens] and not row[copy] and alone:
-                bounced.append(Row(**{n: v for n, v in zip(names, row) if not n.startswith("_")}))
-        if kept:
-            self.rows.put(kept)
-        else:
-            self.rows.clear()
-        return iter(bounced)
+        self.seen.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def user_jumps_stream(pages: DataFrame, within: float = 10.0, *, key: str = "mid",
-                      time: str = "ts", tie: tuple[str, ...] = (), delay: str = "0 seconds",
-                      slice_seconds: int = 30, lanes: int = 8) -> DataFrame:
-    """Bounces of a page stream, emitted once the watermark has passed their waiting time.
+def unique_visits_stream(pages: DataFrame, *, key: str = "mid", time: str = "ts", tie: tuple[str, ...] = (),
+                         delay: str | None = "0 seconds", size: str = "10 seconds") -> DataFrame:
+    """The first opening row of each device and day, for statistics in the same query.
 
-    A key's time slices are dealt in turn over `lanes` state keys, so one busy device is spread
-    over them. Slices that share a lane are farther apart than `within`; the start of a slice
-    is also copied to the lane of the slice before it, which has to see it.
+    Opening rows are first cut to one per device and window, combined before the shuffle, so a busy
+    device sends a row per task. Windows come out in the order of the watermark, each with the
+    earliest row of its device, so the first to arrive is the first of the day. `time` of the result is
+    the last instant of the row's window (of `size`), the time by which it is known. `visited.unique_visits_sink`
+    keeps the row's own time and takes rows that come days late; here they are dropped.
     """
-    slice_seconds = max(slice_seconds, int(within) + 1)
-    if lanes < 3:
-        raise ValueError("at least three lanes keep slices of one lane apart")
-    rows = pages.filter(F.col(key).isNotNull()).withWatermark(time, delay)
-    rows = with_slices(rows, time, within, slice_seconds, "next").withColumns(
-        {"_opens": blank("last_page_id"), "_at": F.unix_micros(time),
-         "_lane": F.pmod("_slice", F.lit(lanes)).cast("int")}).drop("_slice")
-    held = _held(rows.schema, "_lane")
+    rest = [c for c in pages.columns if c not in (key, time)]
+    rows = watermarked(pages.filter(blank("last_page_id") & F.col(key).isNotNull()), time, delay)
+    first = rows.groupBy(F.window(time, size).alias("window"), key).agg(
+        F.min_by(F.struct(*rest, F.unix_micros(time).alias("_at")), F.struct(time, *tie)).alias("_r"))
+    day = F.to_date(F.timestamp_micros("_at"))
+    # the timer's margin keeps the mark until every window of the day has come out
+    known = first.select(key, F.window_time("window").alias(time), "_r.*").withColumns(
+        {"_day": day, "_until": F.unix_millis(F.date_add(day, 1).cast("timestamp")) + 60_000})
     out = StructType([StructField(f.name, f.dataType, True) for f in pages.schema.fields])
-    return rows.groupBy(key, "_lane").transformWithState(
-        _Bounces(held, ["_at", *tie], within), out, "append", "eventTime")
-
-
-class _FirstDay(StatefulProcessor):
-    """Remembers a device's first day and turns later new-visitor marks off."""
-
-    def __init__(self, row_type: StructType, flag: str):
-        self.row_type, self.flag = row_type, flag
-
-    def init(self, handle) -> None:
-        self.first = handle.getValueState("first", StructType([StructField("day", StringType())]))
-        self.waiting = handle.getListState("waiting", self.row_type)
-
-    def _fixed(self, values, first: str) -> Row:
-        row = dict(zip(self.row_type.names, values))
-        if row.pop("_day") != first:
-            row[self.flag] = "0"
-        return Row(**row)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        names = self.row_type.names
-        if self.first.exists():
-            first = self.first.get()[0]
-            for row in rows:
-                yield self._fixed([row[n] for n in names], first)
-            return
-        # The device is new: its first day is the earliest in this batch, in whatever order
-        # rows come. They wait in the state store, not in memory, until all have been seen.
-        first, buffer = None, []
-        for row in rows:
-            day = row["_day"]
-            first = day if first is None or day < first else first
-            buffer.append(tuple(row[n] for n in names))
-            if len(buffer) >= 1000:
-                self.waiting.appendList(buffer)
-                buffer = []
-        if first is None:
-            return
-        if buffer:
-            self.waiting.appendList(buffer)
-        self.first.update((first,))
-        for values in self.waiting.get():
-            yield self._fixed(values, first)
-        self.waiting.clear()
-
-    def close(self) -> None:
-        pass
-
-
-def repair_is_new_stream(logs: DataFrame, *, key: str = "mid", time: str = "ts") -> DataFrame:
-    """The new-visitor flag repair on a stream; unmarked rows pass by without a shuffle."""
-    marked = (F.col("is_new") == "1") & F.col(key).isNotNull()
-    others = logs.filter(~F.coalesce(marked, F.lit(False)))
-    rows = logs.filter(marked).withColumn("_day", day_key(time))
-    out = StructType([StructField(f.name, f.dataType, True) for f in logs.schema.fields])
-    fixed = rows.groupBy(key).transformWithState(
-        _FirstDay(_held(rows.schema), "is_new"), out, "append", "none")
-    return others.select(*logs.columns).unionByName(fixed)
+    return known.groupBy(key, "_day").transformWithState(
+        _FirstOfDay(pages.columns, ["_at", *tie]), out, "append", "eventTime", eventTimeColumnName=time)
