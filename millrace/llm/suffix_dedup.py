@@ -7,6 +7,10 @@ earlier one repeat as a whole. The rest, where an anchor's run has several conte
 suffixes: a mergesort whose comparisons find the common extension of two suffixes by binary search
 over prefix polynomial hashes. Neighbours with ``length`` bytes in common are verified byte by byte,
 and all but the first of them, in document order, are repeats.
+
+A document is known by its id and a 64-bit name of its text, so rows that share an id, or have none,
+stay apart. Contexts that fold without being sorted are told apart by two 64-bit hashes, of all
+their bytes and of the anchor's, and classes that lie in several tasks by 128 bits.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.llm.runs import changes, numbers, whole_groups
 from millrace.llm.words import BASE, BYTE, UNBASE, Piece, U, mix, pieces, powers, signed, span_hash
@@ -30,13 +34,25 @@ NULL_ID = -(1 << 63)
 REPEAT, OPEN, OPEN_HOT = 0, 1, 2     # a context: known repeat, to be sorted, to be sorted among many
 
 
-def pack(low: np.ndarray, n: np.ndarray, off: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """First window, number of windows, anchor within the first, text checksum; sorts by the first."""
-    return (low << 32) | (n << 20) | (off << 8) | check
+MOST = (1 << 16) - 1    # windows that a packed context may hold
+
+
+def pack(low: np.ndarray, n: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """First window, number of windows, anchor within the first; sorts by the first."""
+    return (low << 32) | (n << 16) | off
+
+
+def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return packed >> 32, (packed >> 16) & MOST, packed & MOST
 
 
-def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return packed >> 32, (packed >> 20) & 0xFFF, (packed >> 8) & 0xFFF, packed & 0xFF
+def later_ones(new_class: np.ndarray, ids: np.ndarray, names: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of members sorted by class, id, name and start, those that do not come first: of an id above
+    the class's least, or after another one of the same document."""
+    at = np.arange(len(ids))
+    lead = np.maximum.accumulate(np.where(new_class, at, 0))
+    own = np.maximum.accumulate(np.where(new_class | changes(ids, names), at, 0))
+    return (ids > ids[lead]) | (start > start[own])
 
 
 def least_positions(h: np.ndarray, width: int) -> np.ndarray:
@@ -52,11 +68,6 @@ def least_positions(h: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def checks(piece: Piece, prefix: np.ndarray) -> np.ndarray:
-    """An 8-bit checksum of each text, to tell rows with one id apart."""
-    return (span_hash(prefix, piece.ends[:-1], piece.ends[1:]) & U(0xFF)).astype(np.int64)
-
-
 def contexts_of(piece: Piece, length: int, run: int) -> tuple[np.ndarray, ...]:
     """(row, low, n, off, seed, context) of a piece: maximal runs of windows with one anchor."""
     none = (np.zeros(0, dtype=np.int64),) * 4 + (np.zeros(0, dtype=U),) * 2
@@ -84,21 +95,22 @@ def powers_inverse(n: int) -> np.ndarray:
 
 
 def context_rows(docs: DataFrame, length: int, run: int) -> DataFrame:
-    """(key, context, id, packed, flag): every context of every document.
+    """(key, context, id, name, packed, flag): every context of every document.
 
     Within a chunk of a task equal contexts are reduced to the first, the others being repeats, and
     an anchor with very many different contexts keeps HOT of them under its own key and has the
     rest dealt out by context.
     """
-    names = ["key", "context", "id", "packed", "flag"]
+    names = ["key", "context", "id", "name", "packed", "flag"]
 
     def batch_of(held: list[tuple]) -> pa.RecordBatch:
-        seed, context, ids, packed = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.lexsort((packed, ids, context, seed))
-        seed, context, ids, packed = seed[order], context[order], ids[order], packed[order]
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        once = changes(*columns)                # a repeated row's are told once
+        seed, context, ids, name, packed = (c[once] for c in columns)
         new_context, new_seed = changes(seed, context), changes(seed)
-        lead = np.maximum.accumulate(np.where(new_context, np.arange(len(seed)), 0))
-        later = (ids > ids[lead]) | ((packed >> 32) > (packed[lead] >> 32))
+        later = later_ones(new_context, ids, name, packed >> 32)
         open_count = np.cumsum(~later)
         begin = np.maximum.accumulate(np.where(new_seed, np.arange(len(seed)), 0))
         nth = open_count - open_count[begin] + 1
@@ -106,10 +118,10 @@ def context_rows(docs: DataFrame, length: int, run: int) -> DataFrame:
         group = np.cumsum(new_seed) - 1
         hot = np.bincount(group, weights=spread)[group] > 0
         key = np.where(spread, mix(seed ^ mix(context)), seed)
-        key = np.where(later, mix(ids.view(U) + U(1)), key)
+        key = np.where(later, mix(ids.view(U) ^ name.view(U)), key)
         flag = np.where(later, REPEAT, np.where(hot, OPEN_HOT, OPEN)).astype(np.int8)
         return pa.RecordBatch.from_arrays(
-            [pa.array(signed(key)), pa.array(signed(context)), pa.array(ids), pa.array(packed),
+            [pa.array(signed(key)), pa.array(signed(context)), pa.array(ids), pa.array(name), pa.array(packed),
              pa.array(flag)], names)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +130,8 @@ def context_rows(docs: DataFrame, length: int, run: int) -> DataFrame:
             row, low, n, off, seed, context = contexts_of(piece, length, run)
             if not len(row):
                 continue
-            ids = piece.column("id").to_numpy(zero_copy_only=False)
-            check = checks(piece, piece.prefix())
-            held.append((seed, context, ids[row], pack(low - piece.ends[:-1][row], n, off, check[row])))
+            ids, name = (piece.column(c).to_numpy(zero_copy_only=False)[row] for c in ("id", "name"))
+            held.append((seed, context, ids, name, pack(low - piece.ends[:-1][row], n, off)))
             total += len(row)
             if total >= CHUNK_ROWS:
                 yield batch_of(held)
@@ -128,36 +139,32 @@ def context_rows(docs: DataFrame, length: int, run: int) -> DataFrame:
         if held:
             yield batch_of(held)
 
-    return docs.mapInArrow(cut, "key long, context long, id long, packed long, flag byte")
+    return docs.mapInArrow(cut, "key long, context long, id long, name long, packed long, flag byte")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """(id, packed, flag): contexts that repeat an earlier one, and those whose anchor's run has others.
+    """(id, name, packed, flag): contexts that repeat an earlier one, and those whose anchor's run has others.
 
     A key's rows meet in one task; however common its text, they are a few per chunk.
     """
 
     def sift(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "key"):
-            key, context, ids, packed, flag = (numbers(table, c) for c in table.column_names)
+            key, context, ids, name, packed, flag = (numbers(table, c) for c in table.column_names)
             new_key, new_context = changes(key), changes(key, context)
-            lead = np.maximum.accumulate(np.where(new_context, np.arange(len(key)), 0))
-            later = (flag == REPEAT) | (ids > ids[lead]) | (
-                (ids == ids[lead]) & ((packed >> 32) > (packed[lead] >> 32)))
-            same = np.zeros(len(key), dtype=bool)       # a repeated row: told once
-            same[1:] = ~new_context[1:] & (ids[1:] == ids[:-1]) & (packed[1:] == packed[:-1])
-            same &= flag != REPEAT
+            later = (flag == REPEAT) | later_ones(new_context, ids, name, packed >> 32)
+            same = ~(new_context | changes(ids, name, packed))      # a repeated row: told once
             group = np.cumsum(new_key) - 1
             several = np.bincount(group, weights=new_context)[group] > 1
             hot = (np.bincount(group, weights=flag == OPEN_HOT) > 0)[group]
             keep = np.flatnonzero((later | several | hot) & ~same)
             kind = np.where(later, REPEAT, np.where(hot, OPEN_HOT, OPEN)).astype(np.int8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[keep]), pa.array(packed[keep]), pa.array(kind[keep])],
-                ["id", "packed", "flag"])
+                [pa.array(ids[keep]), pa.array(name[keep]), pa.array(packed[keep]), pa.array(kind[keep])],
+                ["id", "name", "packed", "flag"])
 
-    return (rows.repartition("key").sortWithinPartitions("key", "context", "id", "packed")
-            .mapInArrow(sift, "id long, packed long, flag byte"))
+    return (rows.repartition("key").sortWithinPartitions("key", "context", "id", "name", "packed", "flag")
+            .mapInArrow(sift, "id long, name long, packed long, flag byte"))
 
 
 def listed(part: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +175,7 @@ def listed(part: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def open_contexts(texts: DataFrame, length: int, run: int) -> DataFrame:
-    """(seed, salt, id, packed, body): the bytes of the contexts to be sorted."""
+    """(seed, salt, id, name, packed, body): the bytes of the contexts to be sorted."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -177,26 +184,26 @@ def open_contexts(texts: DataFrame, length: int, run: int) -> DataFrame:
             row = np.repeat(np.arange(piece.n), np.diff(first))
             if not len(row):
                 continue
-            prefix = piece.prefix()
-            low, n, off, check = unpack(packed)
-            keep = (flag != REPEAT) & (check == checks(piece, prefix)[row])
+            keep = flag != REPEAT
             row, packed, flag = row[keep], packed[keep], flag[keep]
             if not len(row):
                 continue
-            low, n, off = low[keep] + piece.ends[:-1][row], n[keep], off[keep]
+            prefix = piece.prefix()
+            low, n, off = unpack(packed)
+            low = low + piece.ends[:-1][row]
             seed = mix((prefix[low + off + run] - prefix[low + off]) * powers_inverse(len(prefix))[low + off])
             size = n + length - 1
             ends = np.concatenate([[0], np.cumsum(size)])
             body = piece.data[np.repeat(low - ends[:-1], size) + np.arange(ends[-1])]
-            ids = piece.column("id").to_numpy(zero_copy_only=False)[row]
-            salt = np.where(flag == OPEN_HOT, 1 + (mix(ids.view(U)) % U(SALTS)).astype(np.int64), 0)
+            ids, name = (piece.column(c).to_numpy(zero_copy_only=False)[row] for c in ("id", "name"))
+            salt = np.where(flag == OPEN_HOT, 1 + (mix(ids.view(U) ^ mix(name.view(U))) % U(SALTS)).astype(np.int64), 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(seed)), pa.array(salt.astype(np.int32)), pa.array(ids), pa.array(packed),
+                [pa.array(signed(seed)), pa.array(salt.astype(np.int32)), pa.array(ids), pa.array(name), pa.array(packed),
                  pa.Array.from_buffers(pa.binary(), len(row), [
                      None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])],
-                ["seed", "salt", "id", "packed", "body"])
+                ["seed", "salt", "id", "name", "packed", "body"])
 
-    return texts.mapInArrow(cut, "seed long, salt int, id long, packed long, body binary")
+    return texts.mapInArrow(cut, "seed long, salt int, id long, name long, packed long, body binary")
 
 
 class Suffixes:
@@ -273,13 +280,13 @@ class Suffixes:
         return out
 
 
-def sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
-    """(ca, cb, id, check, start, n, sure): runs of n repeated windows, ``sure``; and for anchors whose
-    contexts are spread over tasks the first window of each class, by a 128-bit class name."""
+def sorted_repeats(rows: DataFrame, length: int, spread: bool) -> DataFrame:
+    """(ca, cb, id, name, start, n): runs of n repeated windows; or, with ``spread``, the first windows of
+    each class of anchors whose contexts are spread over tasks, by a 128-bit class name (ca, cb)."""
 
     def repeats(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        seed, salt, ids, packed = (numbers(part, c) for c in ("seed", "salt", "id", "packed"))
-        low, n, off, check = unpack(packed)
+        seed, salt, ids, names, packed = (numbers(part, c) for c in ("seed", "salt", "id", "name", "packed"))
+        low, n, off = unpack(packed)
         body = part.column("body").combine_chunks()
         body = body.chunk(0) if isinstance(body, pa.ChunkedArray) else body
         offsets = np.frombuffer(body.buffers()[1], dtype=np.int32)[body.offset:body.offset + len(body) + 1]
@@ -291,7 +298,7 @@ def sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
         j = np.arange(ends[-1]) - ends[:-1][row]
         # equal windows have equal distances to the anchor: these and the seed make the groups
         key = np.cumsum(changes(seed, salt)) - 1
-        by = np.lexsort((low[row] + j, ids[row], off[row] - j, key[row]))
+        by = np.lexsort((low[row] + j, names[row], ids[row], off[row] - j, key[row]))
         row, j = row[by], j[by]
         start = offsets[:-1][row] + j
         group = np.cumsum(changes(key[row], off[row] - j)) - 1
@@ -300,37 +307,40 @@ def sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
         tied = np.zeros(len(start), dtype=bool)
         tied[1:] = group[1:] == group[:-1]
         tied[1:] &= suffixes.alike(start[:-1], start[1:])
-        head = np.maximum.accumulate(np.where(~tied, np.arange(len(start)), 0))
         where = low[row] + j
-        later = tied & ((ids[row] > ids[row][head]) | (where > where[head]))
-        at = np.flatnonzero(later)
+        later = later_ones(~tied, ids[row], names[row], where)
+        at = np.flatnonzero(later & (not spread))
         at = at[np.lexsort((where[at], row[at]))]
         if len(at):
             jump = np.ones(len(at), dtype=bool)
             jump[1:] = (row[at][1:] != row[at][:-1]) | (where[at][1:] != where[at][:-1] + 1)
             first = np.flatnonzero(jump)
             count = np.diff(np.append(first, len(at)))
-            spread = mix(ids[row[at[first]]].view(U) ^ mix(where[at[first]].astype(U)))
-            yield out(spread, spread, ids[row[at[first]]], check[row[at[first]]], where[at[first]], count, True)
-        held = np.flatnonzero(~later & (salt[row] > 0))
+            none = np.zeros(len(first), dtype=U)
+            yield out(none, none, ids[row[at[first]]], names[row[at[first]]], where[at[first]], count)
+        held = np.flatnonzero(~later & spread)
         if len(held):
             x = start[held]
             raw = (suffixes.sums[x + length] - suffixes.sums[x]) * suffixes.back[x]
             words = [np.ascontiguousarray(data[x[:, None] + np.arange(k, k + 8)]).view(U).ravel()
                      for k in range(0, length - 7, 8)]
             second = sum((mix(w + U(i)) * U(2 * i + 1) for i, w in enumerate(words)), np.zeros(len(x), dtype=U))
-            yield out(mix(raw), second, ids[row[held]], check[row[held]], where[held], np.ones(len(held)), False)
+            yield out(mix(raw), second, ids[row[held]], names[row[held]], where[held], np.ones(len(held)))
 
-    def out(ca, cb, ids, check, where, count, sure) -> pa.RecordBatch:
+    def out(ca, cb, ids, names, where, count) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(signed(ca)), pa.array(signed(cb)), pa.array(ids), pa.array(check.astype(np.int32)),
-             pa.array(where.astype(np.int32)), pa.array(count.astype(np.int32)),
-             pa.array(np.full(len(ca), sure))], ["ca", "cb", "id", "check", "start", "n", "sure"])
+            [pa.array(signed(ca)), pa.array(signed(cb)), pa.array(ids), pa.array(names),
+             pa.array(where.astype(np.int32)), pa.array(count.astype(np.int32))],
+            ["ca", "cb", "id", "name", "start", "n"])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "seed", "salt"):
+            if spread:
+                table = table.filter(pa.array(numbers(table, "salt") > 0)).combine_chunks()
+                if not len(table):
+                    continue
             new = np.flatnonzero(changes(numbers(table, "seed"), numbers(table, "salt")))
-            size = numbers(table, "packed").astype(np.int64) >> 20 & 0xFFF
+            size = unpack(numbers(table, "packed"))[1]
             total = np.concatenate([[0], np.cumsum(size + length)])
             at = 0
             while at < table.num_rows:      # whole groups of about SORT_BYTES
@@ -341,8 +351,8 @@ def sorted_repeats(rows: DataFrame, length: int) -> DataFrame:
                 yield from repeats(table.slice(at, to - at))
                 at = to
 
-    return (rows.repartition("seed", "salt").sortWithinPartitions("seed", "salt", "id", "packed").mapInArrow(
-        work, "ca long, cb long, id long, check int, start int, n int, sure boolean"))
+    return (rows.repartition("seed", "salt").sortWithinPartitions("seed", "salt", "id", "name", "packed").mapInArrow(
+        work, "ca long, cb long, id long, name long, start int, n int"))
 
 
 def cut_texts(texts: DataFrame, id_type: str, length: int) -> DataFrame:
@@ -350,17 +360,15 @@ def cut_texts(texts: DataFrame, id_type: str, length: int) -> DataFrame:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            check = checks(piece, piece.prefix())
             depth = np.zeros(len(piece.data) + 1, dtype=np.int32)
             packed, first = listed(piece.rows, "packed")
             flag, _ = listed(piece.rows, "flags")
             row = np.repeat(np.arange(piece.n), np.diff(first))
-            low, n, _, of = unpack(packed)
+            low, n, _ = unpack(packed)
             spans, first = listed(piece.rows, "spans")
             span_row = np.repeat(np.arange(piece.n), np.diff(first))
-            s_low, s_n, _, s_of = unpack(spans)
-            for r, a, k, keep in ((row, low, n, (flag == REPEAT) & (of == check[row])),
-                                  (span_row, s_low, s_n, s_of == check[span_row])):
+            s_low, s_n = spans >> 32, spans & 0xFFFFFFFF
+            for r, a, k, keep in ((row, low, n, flag == REPEAT), (span_row, s_low, s_n, s_n > 0)):
                 begin = piece.ends[:-1][r[keep]] + a[keep]
                 np.add.at(depth, begin, 1)
                 np.add.at(depth, begin + k[keep] + length - 1, -1)
@@ -394,8 +402,8 @@ def cut_texts(texts: DataFrame, id_type: str, length: int) -> DataFrame:
                                  "spans array<struct<start:int,stop:int>>, kept binary")
 
 
-def packed_of(start: Column, n: Column, check: Column) -> Column:
-    return F.shiftleft(start.cast("long"), 32).bitwiseOR(F.shiftleft(n.cast("long"), 20)).bitwiseOR(check.cast("long"))
+def span_of(start: Column, n: Column) -> Column:
+    return F.shiftleft(start.cast("long"), 32).bitwiseOR(n.cast("long"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -405,25 +413,29 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a document of
     smaller id, or earlier in the same one. Strings are judged on the input and never cross rows.
     A null text is empty. Ids are integers; a null id comes before all others. Rows that share an id
-    and a text are one document and get equal results; rows that share an id but not the text do not
-    precede each other at equal starts.
+    and a text are one document and get equal results; rows that share an id, or have none, but not
+    the text are documents of their own, none of which precedes another. ``length`` is at most 65,535.
     """
+    if not run <= length <= MOST:
+        raise ValueError(f"length must lie between run and {MOST}")
     spark, folder = docs.sparkSession, scratch_dir(docs.sparkSession, "suffixes")
     kind = dict(docs.dtypes)[id_col]
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
-                       F.col(id_col).alias("own_id"), F.col(text_col).alias("text"))
-    repeated(context_rows(docs.select("id", "text"), length, run)).write.parquet(folder)
-    by_doc = spark.read.parquet(folder).groupBy("id").agg(
+                       F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("name"), F.col(text_col).alias("text"))
+    key = ["id", "name"]
+    repeated(context_rows(docs.select(*key, "text"), length, run)).write.parquet(f"{folder}/contexts")
+    by_doc = spark.read.parquet(f"{folder}/contexts").groupBy(*key).agg(
         F.collect_list("packed").alias("packed"), F.collect_list("flag").alias("flags"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    # the texts are moved once: both uses of this frame read the same shuffle
-    texts = docs.repartition(parts, "id").join(by_doc, "id", "left")
-    found = sorted_repeats(open_contexts(texts.select("id", "text", "packed", "flags"), length, run), length)
-    least = F.min(F.struct("id", "start")).over(W.partitionBy("ca", "cb"))
-    gone = F.col("sure") | (F.struct("id", "start") > F.col("least"))
-    spans = (found.withColumn("least", least).filter(gone)
-             .groupBy("id").agg(F.collect_list(packed_of(F.col("start"), F.col("n"), F.col("check"))).alias("spans")))
-    return cut_texts(texts.join(spans, "id", "left"), kind, length)
+    # the texts are moved once: both uses of this join read the same shuffle, and a document in very
+    # many rows is split there
+    texts = docs.join(by_doc, key, "left")
+    rows = open_contexts(texts.select(*key, "text", "packed", "flags"), length, run)
+    among = sorted_repeats(rows, length, True)
+    least = among.groupBy("ca", "cb").agg(F.min("id").alias("least"))
+    later = among.join(least, ["ca", "cb"]).filter(F.col("id") > F.col("least"))
+    gone = sorted_repeats(rows, length, False).select(*key, "start", "n").unionByName(later.select(*key, "start", "n"))
+    spans = gone.groupBy(*key).agg(F.collect_list(span_of(F.col("start"), F.col("n"))).alias("spans"))
+    return cut_texts(texts.join(spans, key, "left"), kind, length)
 
 
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:

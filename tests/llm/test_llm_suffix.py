@@ -9,20 +9,21 @@ from millrace.llm import suffix_dedup
 
 
 def brute(rows, length=100):
-    first = {}
+    least, own = {}, {}
     texts = {(r[0], (r[1] or "").encode()) for r in rows}
     key = lambda i: (i is not None, i or 0)
     for i, b in texts:
         for s in range(len(b) - length + 1):
-            at = (key(i), s)
             w = b[s:s + length]
-            first[w] = min(first.get(w, at), at)
+            least[w] = min(least.get(w, key(i)), key(i))
+            own[i, b, w] = min(own.get((i, b, w), s), s)
     out = []
     for r in rows:
         b = (r[1] or "").encode()
         gone = np.zeros(len(b) + 1, dtype=bool)
         for s in range(len(b) - length + 1):
-            if first[b[s:s + length]] < (key(r[0]), s):
+            w = b[s:s + length]
+            if least[w] < key(r[0]) or own[r[0], b, w] < s:
                 gone[s:s + length] = True
         gone = gone[:-1]
         runs = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(b) else 0
@@ -62,6 +63,16 @@ def test_equals_brute_force_when_anchors_are_spread(spark, monkeypatch):
     assert answer(suffix_dedup.dedup(table(spark, rows))) == brute(rows)
 
 
+def test_many_rows_of_one_id_and_of_none(spark):
+    r, passages = random.Random(6), [prose(50 + i, 40) for i in range(6)]
+    texts = [" ".join([prose(1000 + i, 8), r.choice(passages), prose(2000 + i, 3), r.choice(passages)[:150]]) for i in range(500)]
+    texts[400:] = texts[:100]       # repeated rows
+    for ids in (lambda i: 7, lambda i: None, lambda i: None if i % 3 else i % 4):
+        rows = [(ids(i), t, "en", "s") for i, t in enumerate(texts)] + [(9, passages[0], "en", "s"), (5, passages[1], "en", "s")]
+        r.shuffle(rows)
+        assert answer(suffix_dedup.dedup(table(spark, rows))) == brute(rows)
+
+
 def test_empty_table(spark):
     assert suffix_dedup.dedup(table(spark, [])).count() == 0
 
