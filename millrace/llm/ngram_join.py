@@ -53,7 +53,7 @@ def signatures(rows: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, sa, sb) per document: the size and the signature of its set."""
+    """(id, name, n, sa, sb) per document: the size and the signature of its set."""
     kind = dict(docs.dtypes)["id"]
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,10 +61,10 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
             found = piece.words()
             size, sa, sb = signatures(*shingles(found, found.hashes(LOWER[piece.data]), words), piece.n)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("id"), pa.array(size), pa.array(signed(sa)), pa.array(signed(sb))],
-                ["id", "n", "sa", "sb"])
+                [piece.column("id"), piece.column("name"), pa.array(size), pa.array(signed(sa)), pa.array(signed(sb))],
+                ["id", "name", "n", "sa", "sb"])
 
-    return docs.mapInArrow(measure, f"id {kind}, n long, sa long, sb long")
+    return docs.mapInArrow(measure, f"id {kind}, name long, n long, sa long, sb long")
 
 
 def frequent_ngrams(docs: DataFrame, words: int, percent: int) -> np.ndarray:
@@ -197,27 +197,29 @@ def node(a: Column | str, b: Column | str) -> Column:
 
 
 def tile_rows(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(tile, single, node, n, grams): the sets of the classes (id, sa, sb, node, tiles, single) of
-    ``wanted``, read from one document each and dealt straight to their tiles."""
-    chosen = docs.join(wanted.withColumnRenamed("id", "w"), F.col("id").eqNullSafe(F.col("w"))).select(
-        "text", "sa", "sb", "node", "tiles", "single")
+    """(tile, single, node, n, grams): the sets of the classes (id, name, node, tiles, single) of ``wanted``,
+    read from one document each, known by id and text, and dealt straight to their tiles."""
+    chosen = docs.join(wanted.select(F.col("id").alias("w"), F.col("name").alias("w_name"), "node", "tiles", "single"),
+                       F.col("id").eqNullSafe(F.col("w")) & (F.col("name") == F.col("w_name"))).select(
+        "text", "node", "tiles", "single")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for piece in pieces(batches):
             found = piece.words()
             rows, hashes = shingles(found, found.hashes(LOWER[piece.data]), words)
-            size, sa, sb = signatures(rows, hashes, piece.n)
-            own = (signed(sa) == piece.column("sa").to_numpy()) & (signed(sb) == piece.column("sb").to_numpy())
-            first = np.concatenate([[0], np.cumsum(size)])
-            for r in np.flatnonzero(own):       # another text under the same id is left out
-                tiles = piece.column("tiles")[int(r)].as_py()
-                n, k = int(size[r]), len(tiles)
-                grams = pa.array(np.tile(signed(hashes[first[r]:first[r + 1]]), k))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tiles), pa.array([piece.column("single")[int(r)].as_py()] * k),
-                     pa.array([piece.column("node")[int(r)].as_py()] * k), pa.array([n] * k, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * n), grams)],
-                    ["tile", "single", "node", "n", "grams"])
+            first = np.searchsorted(rows, np.arange(piece.n + 1))
+            for r in range(piece.n):
+                node = piece.column("node")[r].as_py()
+                if node in seen:                # a repeated row
+                    continue
+                seen.add(node)
+                grams = pa.array(signed(hashes[first[r]:first[r + 1]]))
+                ends, single = pa.array([0, len(grams)], pa.int32()), piece.column("single").slice(r, 1)
+                for tile in piece.column("tiles")[r].as_py():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([tile]), single, pa.array([node]), pa.array([len(grams)], pa.int64()),
+                         pa.ListArray.from_arrays(ends, grams)], ["tile", "single", "node", "n", "grams"])
 
     return chosen.mapInArrow(cut, "tile string, single boolean, node string, n long, grams array<long>")
 
@@ -227,17 +229,17 @@ def overlap_counts(member: np.ndarray, grams: np.ndarray, m: int) -> np.ndarray:
     _, column, count = np.unique(grams, return_inverse=True, return_counts=True)
     shared = count[column] > 1
     if not shared.any():
-        return np.zeros((m, m), dtype=np.float32)
+        return np.zeros((m, m), dtype=np.int32)
     member, column = member[shared], column[shared]
     _, column = np.unique(column, return_inverse=True)
     order = np.argsort(column, kind="stable")
     member, column = member[order], column[order]
-    total = np.zeros((m, m), dtype=np.float32)
+    total = np.zeros((m, m), dtype=np.int32)
     for low in range(0, int(column[-1]) + 1, COLUMNS):
         at, to = np.searchsorted(column, [low, low + COLUMNS])
         block = np.zeros((m, min(COLUMNS, int(column[-1]) + 1 - low)), dtype=np.float32)
         block[member[at:to], column[at:to] - low] = 1
-        total += block @ block.T
+        total += (block @ block.T).astype(np.int32)     # whole numbers up to COLUMNS
     return total
 
 
@@ -254,7 +256,7 @@ def tile_links(tiles: DataFrame, percent: int) -> DataFrame:
                 names, m = part.column("node").to_pylist(), part.num_rows
                 size = numbers(part, "n").astype(np.int64)
                 grams = part.column("grams").chunk(0).flatten().to_numpy(zero_copy_only=False)
-                counts = overlap_counts(np.repeat(np.arange(m), size), grams, m).astype(np.int32)
+                counts = overlap_counts(np.repeat(np.arange(m), size), grams, m)
                 linked = counts >= needed(size[:, None], size[None], percent)
                 np.fill_diagonal(linked, True)
                 root = np.arange(m)
@@ -316,21 +318,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     only where there is no other.
     """
     spark, folder = docs.sparkSession, scratch_dir(docs.sparkSession, "jaccard")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("name"), F.col(text_col).alias("text"))
 
     def kept(table: DataFrame, name: str) -> DataFrame:
         table.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
     rows = kept(set_rows(docs, words), "sets")
-    classes = kept(rows.filter("n > 0").groupBy("sa", "sb", "n").agg(F.min("id").alias("id")), "classes")
+    classes = kept(rows.filter("n > 0").groupBy("sa", "sb", "n").agg(
+        F.min("id").alias("id"), F.min_by(F.struct("id", "name"), F.struct(F.col("id").isNull(), "id", "name")).alias("of")), "classes")
     posted = postings(docs, frequent_ngrams(docs, words, percent), words, percent)
     pairs = kept(surviving(first_block(posted, percent), percent).select(
         node("aa", "ab").alias("a"), node("ba", "bb").alias("b")), "pairs")
     groups = kept(components(pairs), "groups")
     named = classes.withColumn("node", node("sa", "sb"))
-    members = kept(named.join(groups, "node").select("node", "n", "root", "id", "sa", "sb"), "members")
-    wanted = kept(tiled(members, percent).join(members.select("node", "id", "sa", "sb"), "node"), "wanted")
+    members = kept(named.join(groups, "node").select("node", "n", "root", "of"), "members")
+    wanted = kept(tiled(members, percent).join(members.select("node", "of.id", "of.name"), "node"), "wanted")
     links = kept(tile_links(tile_rows(docs, wanted, words), percent), "links")
     # a group in a single tile is settled there; only links across tiles are left to connect
     roots = links.filter("single").select(F.col("a").alias("node"), F.col("b").alias("root"))

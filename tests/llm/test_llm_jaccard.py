@@ -67,6 +67,17 @@ def test_frequent_ngrams_change_no_result(spark, monkeypatch):
     assert answer(ngram_join.jaccard_join(table(spark, rows))) == brute(rows)
 
 
+def test_many_rows_of_one_id_and_of_none(spark):
+    texts = []
+    for f in range(10):
+        base = words(50 + f, 60)
+        texts += [edited(base, 900 * f + i, 0.01) for i in range(45)]
+    texts += texts[:50]
+    for ids in (lambda i: 7, lambda i: None, lambda i: None if i % 3 else i % 4):
+        rows = [(ids(i), x, "en", "s") for i, x in enumerate(texts)]
+        assert answer(ngram_join.jaccard_join(table(spark, rows))) == brute(rows)
+
+
 def test_empty_table_and_bounds(spark):
     assert ngram_join.jaccard_join(table(spark, [])).count() == 0
     assert ngram_join.prefix_size(100, 85) == 16 and ngram_join.needed(100, 100, 85) == 92
