@@ -38,6 +38,17 @@ def test_stages_keep_what_is_clean(spark, folder):
     assert bodies[7].text == prose(7, 67)
 
 
+def test_extra_columns_may_have_any_name(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs.select("*", *(F.lit(n).alias(n) for n in ("_gone", "_gone_", "_again", "_at", "_later", "_several", "_address", "_held")))
+    plain, wide = docs, odd
+    for _, stage in cp.STAGES[:-1]:
+        plain, wide = stage(spark, plain, folder), stage(spark, wide, folder)
+        assert wide.columns == odd.columns
+        assert sorted(map(str, wide.select(*docs.columns).collect())) == sorted(map(str, plain.collect()))
+    assert cp.mixed(spark, wide, folder).count() == cp.mixed(spark, plain, folder).count()
+
+
 def test_run_is_repeatable_and_complete(spark, folder):
     a, b = (sorted(map(str, cp.run(spark, folder).collect())) for _ in range(2))
     assert a == b
