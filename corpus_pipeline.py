@@ -35,38 +35,45 @@ def _spelled(address: Column) -> Column:
                     address["text_hash"].cast("string"))
 
 
-def _addressed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_address", _spelled(_address()))
+def _new(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    return name if name not in docs.columns else _new(docs, name + "_")
 
 
 def _without(docs: DataFrame, addresses: DataFrame) -> DataFrame:
     """The rows whose spelled address is not among ``addresses`` (one column)."""
-    gone = _written(addresses.toDF("_gone").distinct())
-    return docs.join(gone, _spelled(_address()) == F.col("_gone"), "left_anti")
+    name = _new(docs, "_gone")
+    gone = _written(addresses.toDF(name).distinct())
+    return docs.join(gone, _spelled(_address()) == F.col(name), "left_anti")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognisable language: no text, no letter, or an ambiguous code."""
-    found = language.identify(_addressed(docs), "_address")
-    return _without(docs, found.filter((F.col("lang_pred") == "und") | F.col("ambiguous")).select("_address"))
+    rows = docs.select(_spelled(_address()).alias("id"), "doc_id", "text", "lang")
+    found = language.identify(rows, "id")
+    return _without(docs, found.filter((F.col("lang_pred") == "und") | F.col("ambiguous")).select("id"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least id of every group connected by near-equal sets of five-word shingles
     (Jaccard similarity 0.8 or more; op2's own query has other values); of repeated rows, one."""
-    groups = ngram_join.jaccard_join(docs.withColumn("_address", _address()), "_address", words=5, percent=80)
-    later = groups.filter(F.col("id") != F.col("component_id")).select(_spelled(F.col("id")))
-    left = _without(docs, later)
-    again = _written(left.groupBy(_spelled(_address()).alias("_again")).count().filter("count > 1").select("_again"))
-    same = _spelled(_address()) == F.col("_again")
-    return left.join(again, same, "left_anti").unionByName(
-        left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    groups = ngram_join.jaccard_join(docs.select(_address().alias("id"), "text"), "id", words=5, percent=80)
+    at, later, several = (_new(docs, c) for c in ("_at", "_later", "_several"))
+    decided = _written(groups.groupBy(_spelled(F.col("id")).alias(at)).agg(
+        F.first(F.col("id") != F.col("component_id")).alias(later), (F.count("*") > 1).alias(several))
+        .filter(F.col(later) | F.col(several)))
+    # both decisions reach the texts in one join, planned alike at every size
+    marked = docs.join(decided.hint("shuffle_merge"), _spelled(_address()) == F.col(at), "left")
+    left = marked.filter(~F.coalesce(later, F.lit(False)))
+    repeated = F.coalesce(F.col(several), F.lit(False))
+    return left.filter(~repeated).unionByName(left.filter(repeated).dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that overlap with a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.overlaps(_addressed(docs), items, "_address").select("id"))
+    rows = docs.select(_spelled(_address()).alias("id"), "text")
+    return _without(docs, decontaminate.overlaps(rows, items, "id").select("id"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,10 +97,10 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks of text in shards, by the sources' target weights, in shuffled order by ``place``."""
-    rows = docs.withColumn("_address", _address())
-    sizes, aims = mixing.planned(rows, "_address")
+    rows = docs.select(_address().alias("id"), "text", "source")
+    sizes, aims = mixing.planned(rows, "id")
     blocks = mixing.mix(sizes, aims).drop("row")
-    return mixing.block_texts(blocks, rows, "_address").select(
+    return mixing.block_texts(blocks, rows, "id").select(
         F.col("id.doc_id").alias("doc_id"), *(c for c in [*blocks.columns, "text"] if c != "id"))
 
 
