@@ -2,8 +2,9 @@
 
 Spans that the base patterns find are seeds. The words around seeds induce lexical patterns, and
 identifier-like tokens in the same contexts are instances. Spark scores patterns by the reliability
-of their instances and instances by the reliability of their patterns, in turn, and instances that
-reliable patterns hold become spans of the seeds' kind. DataFrame functions only.
+of their instances and instances by that of their other contexts, in turn, so that instances found
+in one round support patterns that no seed stands in; instances that reliable patterns hold become
+spans of the seeds' kind. DataFrame functions only.
 
 Matches are located by putting marks around them and cutting the text there, which gives offsets in
 code points without leaving Spark's functions.
@@ -38,13 +39,13 @@ MAY_HOLD_CARD = r"[0-9](?:[ \-]?[0-9]){11}"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 TOKEN = rf"(?<!{NOT_SPACE})[^\x20\x09-\x0D0-9@]*+[0-9@]{NOT_SPACE}*+"
 IDENTIFIER = r"@|(?:[0-9][^0-9]*){6}"
-MAY_HOLD_IDENTIFIER = r"@|[0-9][^\x20\x09-\x0D]{0,40}[0-9]"
+MAY_HOLD_IDENTIFIER = r"@|[0-9][^\x20\x09-\x0D]*[0-9]"
 
-CONTEXT = 48                # code points of context on either side
+CONTEXT = 48                # code points that are context on either side; a longer word counts by what lies there
 CHUNK = 256                 # matches gathered at a time, so that appending stays cheap
 ROUNDS = 3
 LEAST_RELIABLE = 0.5        # patterns and instances below that find nothing new
-LEAST_SEEDS = 3             # different seeds a pattern needs
+LEAST_SEEDS = 3             # different seeds or found identifiers a pattern needs
 DOUBT = 2.0                 # unconfirmed instances that every pattern is charged with
 
 MATCH = "struct<start:int,stop:int,found:string,before:string,after:string>"
@@ -165,38 +166,53 @@ def occurrences(rows: DataFrame) -> DataFrame:
 def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, kind, reliability) of the patterns that may find new identifiers.
 
-    The graph has an edge for each pattern and instance that occur together, weighted equally
-    however often they do, so copies of a document add nothing. A seed counts fully for its kind.
-    A pattern's reliability for a kind is the mean reliability of its instances, DOUBT more of them
-    assumed unreliable; an unconfirmed instance's is the mean of its patterns'.
+    The graph ties every different identifier (by its text) to the contexts it stands in, each a set of
+    patterns, and counts a context once per identifier, so copies of a document add nothing. A seed
+    counts fully for its kind. In each round an unconfirmed identifier vouches for a pattern with the
+    mean reliability of its other contexts, those without the pattern, a context being as reliable
+    as its best pattern; so no pattern confirms itself. One that vouches with LEAST_RELIABLE or more
+    counts as found, like a seed. A pattern's reliability is what its identifiers add up to, divided by
+    their number and DOUBT more, once LEAST_SEEDS of them are seeds or found; so what earlier rounds have
+    found leads to patterns that no seed stands in.
     """
-    spark, folder = found.sparkSession, scratch_dir(found.sparkSession, "pii")
-    edges = found.select("name", "kind", F.explode("patterns").alias("pattern")).distinct()
-    edges = edges.groupBy("name", "pattern").agg(F.max("kind").alias("kind"))
-    edges.write.parquet(f"{folder}/edges")
-    edges = spark.read.parquet(f"{folder}/edges")
-    of_pattern = edges.groupBy("pattern").agg(F.count("*").alias("n"), *(
-        F.sum((F.col("kind") == i).cast("long")).alias(f"seeds{i}") for i in range(len(KINDS))))
-    kinds = range(len(KINDS))
-    trusted = [F.when(F.col(f"seeds{i}") >= LEAST_SEEDS, F.col(f"seeds{i}") / (F.col("n") + DOUBT))
-               .otherwise(0.0).alias(f"r{i}") for i in kinds]
-    # patterns with too few seeds never count, so the rest of the iteration leaves them out
-    patterns = of_pattern.filter(" or ".join(f"seeds{i} >= {LEAST_SEEDS}" for i in kinds)).select(
-        "pattern", "n", *(f"seeds{i}" for i in kinds), *trusted)
+    spark, folder, kinds = found.sparkSession, scratch_dir(found.sparkSession, "pii"), range(len(KINDS))
+    seen = found.groupBy("name", F.array_sort(F.array_distinct("patterns")).alias("patterns")).agg(F.max("kind").alias("kind"))
+    seen.withColumn("context", F.xxhash64("patterns")).write.parquet(f"{folder}/contexts")
+    contexts_ = spark.read.parquet(f"{folder}/contexts")
+    own = contexts_.select("name", "kind", "context", F.explode("patterns").alias("pattern"))
+    edges = own.groupBy("name", "pattern").agg(F.max("kind").alias("kind"))
+    (edges.groupBy("pattern").agg(F.count("*").alias("n"), *(
+        F.sum((F.col("kind") == i).cast("long")).alias(f"seeds{i}") for i in kinds))
+     .write.parquet(f"{folder}/counts"))
+    counts = spark.read.parquet(f"{folder}/counts")
+    # an identifier that is a seed anywhere is no unconfirmed one; patterns of seeds alone gain nothing
+    sure = contexts_.groupBy("name").agg(F.max("kind").alias("kind")).filter("kind >= 0")
+    unsure = own.join(sure.select("name"), "name", "left_anti").select("name", "context", "pattern")
+
+    def scored(patterns: DataFrame, gain: list[Column], support: list[Column]) -> DataFrame:
+        return patterns.select("pattern", *(F.when(
+            F.col(f"seeds{i}") + support[i] >= LEAST_SEEDS, (F.col(f"seeds{i}") + gain[i]) / (F.col("n") + DOUBT))
+            .otherwise(0.0).alias(f"r{i}") for i in kinds)).filter(" or ".join(f"r{i} > 0" for i in kinds))
+
+    none = [F.lit(0)] * len(KINDS)
+    patterns = scored(counts, none, none)
     for k in range(rounds):
         patterns.write.parquet(f"{folder}/patterns{k}")
         patterns = spark.read.parquet(f"{folder}/patterns{k}")
-        unsure = edges.filter("kind < 0").select("name", "pattern")
-        known = patterns.select("pattern", *(f"r{i}" for i in kinds))
-        linked = unsure.join(known, "pattern")
-        instances = linked.groupBy("name").agg(*(F.avg(f"r{i}").alias(f"i{i}") for i in kinds))
-        gains = (linked.select("name", "pattern").join(instances, "name").groupBy("pattern")
-                 .agg(*(F.sum(f"i{i}").alias(f"g{i}") for i in kinds)))
-        patterns = patterns.join(gains, "pattern", "left").select(
-            "pattern", "n", *(f"seeds{i}" for i in kinds),
-            *(F.when(F.col(f"seeds{i}") >= LEAST_SEEDS,
-                     (F.col(f"seeds{i}") + F.coalesce(F.col(f"g{i}"), F.lit(0.0))) / (F.col("n") + DOUBT))
-              .otherwise(0.0).alias(f"r{i}") for i in kinds))
+        held = unsure.join(patterns, "pattern")        # contexts without a scored pattern count as 0
+        of_context = held.groupBy("name", "context").agg(*(F.max(f"r{i}").alias(f"c{i}") for i in kinds))
+        all_ = (unsure.groupBy("name").agg(F.countDistinct("context").alias("contexts"))
+                .join(of_context.groupBy("name").agg(*(F.sum(f"c{i}").alias(f"t{i}") for i in kinds)), "name"))
+        with_it = (unsure.join(of_context, ["name", "context"], "left").groupBy("name", "pattern").agg(
+            F.count("*").alias("here"), *(F.coalesce(F.sum(f"c{i}"), F.lit(0.0)).alias(f"w{i}") for i in kinds)))
+        others = F.col("contexts") - F.col("here")
+        vouched = with_it.join(all_, "name").filter(others > 0).select("pattern", *(
+            ((F.col(f"t{i}") - F.col(f"w{i}")) / others).alias(f"m{i}") for i in kinds))
+        gains = vouched.groupBy("pattern").agg(
+            *(F.sum(F.when(F.col(f"m{i}") >= LEAST_RELIABLE, 1.0).otherwise(F.col(f"m{i}"))).alias(f"g{i}") for i in kinds),
+            *(F.sum((F.col(f"m{i}") >= LEAST_RELIABLE).cast("long")).alias(f"s{i}") for i in kinds))
+        filled = lambda c: [F.coalesce(F.col(f"{c}{i}"), F.lit(0)) for i in kinds]
+        patterns = scored(counts.join(gains, "pattern", "left"), filled("g"), filled("s"))
     best = F.greatest(*(F.col(f"r{i}") for i in kinds))
     kind = F.coalesce(*(F.when(F.col(f"r{i}") == best, F.lit(i)) for i in kinds))
     return patterns.select("pattern", kind.alias("kind"), best.alias("reliability")).filter(

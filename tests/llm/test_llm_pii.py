@@ -60,6 +60,46 @@ def test_context_finds_identifiers_that_no_pattern_fits(spark):
     assert got[101].spans == []
 
 
+def card(i):
+    digits = [int(c) for c in f"4{i:014d}"]
+    total = sum(d if k % 2 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits))
+    return "".join(map(str, digits)) + str(-total % 10)
+
+
+def test_hundreds_of_unseen_identifiers_and_no_decoy(spark):
+    fill = lambda n: prose(n, 6, "klmnoprs")
+    rows, unseen, decoys = [], {}, set()
+
+    def add(text, token=None, into=None):
+        rows.append((len(rows), text, "en", "s"))
+        if token is not None:
+            into[len(rows) - 1] = token
+
+    for i in range(400):        # seeds in one context, and as many unseen ones that no base pattern fits
+        add(f"{fill(i)} paid with card number: {card(i)} {fill(9000 + i)}")
+        if i < 250:
+            add(f"{fill(2000 + i)} paid with card number: X{i:03d}-44x{i * 7919 % 10**6:06d} {fill(3000 + i)}", f"X{i:03d}-44x{i * 7919 % 10**6:06d}", unseen)
+    for i in range(120):        # some of those again in a context without a seed, which holds others too
+        add(f"{fill(4000 + i)} member key {f'X{i:03d}-44x{i * 7919 % 10**6:06d}'} {fill(5000 + i)}", f"X{i:03d}-44x{i * 7919 % 10**6:06d}", unseen)
+    for i in range(80):
+        add(f"{fill(6000 + i)} member key Y{i:02d}-77y{i * 104729 % 10**6:06d} {fill(7000 + i)}", f"Y{i:02d}-77y{i * 104729 % 10**6:06d}", unseen)
+    for i in range(300):        # plain numbers in contexts of their own, some of which a few seeds share
+        decoys.add(len(rows))
+        add(f"{fill(8000 + i)} order total {10**9 + i * 7717} {fill(10000 + i)}")
+    for i in range(4):
+        add(f"{fill(11000 + i)} order total {card(5000 + i)} {fill(12000 + i)}")
+    got = {r.doc_id: [rows[r.doc_id][1][s.start:s.stop] for s in r.spans if s not in r.base] for r in base(spark, rows)}
+    assert sum(token in got[i] for i, token in unseen.items()) >= 0.9 * len(unseen) and len(unseen) == 450
+    assert not any(got[i] for i in decoys)
+
+
+def test_a_pattern_does_not_confirm_itself(spark):
+    rows = [(i, f"{prose(i, 5)} id code {card(i) if i < 3 else 10**8 + i * 31} {prose(100 + i, 5)}", "en", "s") for i in range(10)]
+    for rounds in (3, 12):
+        found = pii.find_pii(table(spark, rows), "doc_id", rounds=rounds).collect()
+        assert all(set(r.spans) == set(r.base) for r in found)
+
+
 def test_redaction(spark):
     spans = [(2, 0, 5), (4, 1, 8), (9, 3, 10)]
     rows = spark.createDataFrame([("abcdefghij", spans), ("x😀", []), (None, None)],
