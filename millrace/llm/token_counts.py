@@ -9,6 +9,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from millrace.session import scratch_dir
+
 # Fixed value: how the byte-level vocabularies cut text into pieces before merging (public pattern).
 PATTERN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -70,10 +72,12 @@ def length_histogram(docs: DataFrame, path: str = VOCABULARY, text_col: str = "t
     q times all documents. ``truncated_tokens``: tokens left when every document is cut to
     ``n_tokens``. No documents, no rows.
 
-    Sums run within blocks of lengths and then over block totals, so no task holds all lengths.
+    Sums run within blocks of lengths and then over block totals, so no task holds all lengths. Texts
+    are encoded once; the counts, a row per length, are written for both uses.
     """
-    counted = (encoded_lengths(docs, path, text_col)
-               .groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    folder = scratch_dir(docs.sparkSession, "lengths")
+    encoded_lengths(docs, path, text_col).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")).write.parquet(folder)
+    counted = (docs.sparkSession.read.parquet(folder)
                .withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
                .withColumn("block", F.floor(F.col("n_tokens") / BLOCK)))
     totals = counted.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))

@@ -46,11 +46,15 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def grams(rows: DataFrame, *keep: str) -> DataFrame:
-    """One row per character of ``shown``: the character after its ORDER preceding ones."""
-    padded = F.concat(F.lit(START * ORDER), F.col("shown"))
-    places = F.when(F.length("shown") > 0, F.sequence(F.lit(1), F.length("shown")))
-    return (rows.select(*keep, padded.alias("padded"), F.explode(places).alias("at"))
-            .select(*keep, F.substring(F.col("padded"), F.col("at"), F.lit(ORDER + 1)).alias("gram")))
+    """One row per character of ``shown``: the character after its ORDER preceding ones.
+
+    The text is cut into characters once, so the work is in proportion to its length.
+    """
+    characters = F.regexp_extract_all(F.concat(F.lit(START * ORDER), F.col("shown")), F.lit("(?s)."), F.lit(0))
+    places = lambda c: F.sequence(F.lit(1), F.size(c) - ORDER)
+    cut = F.transform(F.array(characters), lambda c: F.transform(
+        places(c), lambda at: F.array_join(F.slice(c, at, F.lit(ORDER + 1)), "")))[0]
+    return rows.select(*keep, F.explode(F.when(F.length("shown") > 0, cut)).alias("gram"))
 
 
 def log_ratios(counted: DataFrame) -> DataFrame:
@@ -117,14 +121,17 @@ def judge(pages: DataFrame, *keep: str, url_col: str = "url", rules=RULES) -> Da
     texts = rows.groupBy("url", "host", "path", "label").agg(F.count("*").alias("n")).withColumn(
         "shown", shown).withColumn("tried", F.crc32(F.col("url").cast("binary")) % 5 == 0)
     folder = scratch_dir(pages.sparkSession, "urls")
+    # a number stands for the URL beside its characters, so a long URL is carried once
+    texts.withColumn("number", F.monotonically_increasing_id()).write.parquet(f"{folder}/texts")
+    texts = pages.sparkSession.read.parquet(f"{folder}/texts")
     learn = ~F.col("tried") & F.col("label").isNotNull()
     counted = grams(texts.filter(F.length("shown") > 0), "label", "tried", "n").groupBy("gram").agg(
         F.sum(F.when(learn & (F.col("label") == "allow"), F.col("n")).otherwise(0)).alias("a"),
         F.sum(F.when(learn & (F.col("label") == "block"), F.col("n")).otherwise(0)).alias("b"))
     counted.write.parquet(f"{folder}/counts")
     model = log_ratios(pages.sparkSession.read.parquet(f"{folder}/counts"))
-    sums = (grams(texts, "url").join(model, "gram").groupBy("url")
-            .agg(F.avg("ratio").alias("score")))
+    sums = (grams(texts, "number").join(model, "gram").groupBy("number")
+            .agg(F.avg("ratio").alias("score")).join(texts.select("number", "url"), "number").select("url", "score"))
     sums.write.parquet(f"{folder}/scores")
     sums = pages.sparkSession.read.parquet(f"{folder}/scores")
     scored = rows.join(sums, "url", "left")

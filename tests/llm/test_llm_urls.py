@@ -43,6 +43,22 @@ def test_hosts_paths_and_rules(spark):
     assert all(got[i].verdict == "block" and got[i].score is None for i in range(4))
 
 
+def test_a_very_long_url_takes_time_in_proportion(spark):
+    import time
+
+    base = [f"https://reading{i % 9}.example.org/fr/{i}" for i in range(40)] + [f"http://w{i}.example.com/de/{i}" for i in range(40)]
+
+    def took(n):
+        urls = [*base, "http://long.example.net/" + "😀ab/c" * (n // 5)]
+        began = time.time()
+        rows = {r.page_id: r for r in url_filter.judge(pages(spark, urls), "page_id").collect()}
+        assert rows[len(base)].path == urls[-1][len("http://long.example.net"):] and rows[len(base)].score is not None
+        return time.time() - began
+
+    took(100)
+    assert took(100_000) < 4 * took(10_000) + 6
+
+
 def test_model_judges_how_urls_are_written(spark):
     good = [f"https://reading{i % 9}.example.org/fr/{i}" for i in range(150)]
     bad = [f"http://win-casino{i % 9}.example.com/de/{i}" for i in range(150)]
