@@ -11,6 +11,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 from millrace.codes import CART, CLICK, ORDER
 
 WORD = r"([\p{L}\p{N}]+)"
+MOST_DICTIONARY = 64 << 20      # bytes of a dictionary's words
 
 
 def words(text: Column | str) -> Column:
@@ -26,7 +27,11 @@ def dictionary_words(spark: SparkSession, dictionary: Iterable[str]):
     """
     import re
 
-    entries = spark.sparkContext.broadcast(frozenset(w.lower() for w in dictionary))
+    known_words = frozenset(w.lower() for w in dictionary)
+    size = sum(len(w.encode()) for w in known_words)
+    if size > MOST_DICTIONARY:
+        raise ValueError(f"the dictionary has {size} bytes; at most {MOST_DICTIONARY} are sent to every task")
+    entries = spark.sparkContext.broadcast(known_words)
     longest = max((len(w) for w in entries.value), default=1)
     han = "㐀-鿿"
     runs = re.compile(f"[{han}]+|[^\\W_{han}]+")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millrace import schemas
 from millrace.codes import SEARCH
 from millrace.functions import text
-from millrace.functions.times import tumble, watermarked, window_bounds
+from millrace.functions.times import day_key, day_number, tumble, watermarked, window_bounds
 from millrace.operators import facts
 from millrace.operators.joins import enrich_product
 
@@ -126,6 +126,24 @@ def product_stats(behaviours: DataFrame | Sequence[DataFrame], products: DataFra
                           ).select(*schemas.PRODUCT_STATS)
 
 
+def day_sums(sums: DataFrame, *measures: str) -> DataFrame:
+    """Measures per day and sku from window rows; far fewer rows to look attributes up for."""
+    return sums.groupBy(day_number("stt").alias("dt"), "sku_id").agg(*(F.sum(m).alias(m) for m in measures))
+
+
+def day_keywords(searches: DataFrame, sums: DataFrame, products: DataFrame, *, segment=text.words) -> DataFrame:
+    """(dt, keyword, ct, source) of searches, and of products by their behaviours' window rows.
+
+    Counts are added up by day before a name is cut into words.
+    """
+    asked = text.explode_words(searches.withColumn("dt", day_key("ts").cast("int")), "fullword", segment=segment).groupBy(
+        "dt", "keyword").agg(F.count("*").alias("ct")).withColumn("source", F.lit(SEARCH))
+    named = enrich_product(day_sums(sums, "click_ct", "cart_ct", "order_ct"), products).groupBy("dt", "spu_name").agg(
+        *(F.sum(c).alias(c) for c in ("click_ct", "cart_ct", "order_ct")))
+    counted = text.unpivot_counts(text.explode_words(named, "spu_name", segment=segment))
+    return asked.unionByName(counted.select("dt", "keyword", "ct", "source"))
+
+
 def province_stats(wide: DataFrame, *, time: str = "create_time", size: str = WINDOW,
                    delay: str | None = "3 seconds", now: Column | None = None) -> DataFrame:
     """Distinct orders and sales per province."""

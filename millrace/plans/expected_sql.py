@@ -486,6 +486,17 @@ _USER_LOG = """
 _CUT = "(select 2000000000 + max(c_custkey) // 2 from customer)"
 _LATE_ROUND = "least(2, (epoch_us(arrives) - epoch_us(f)) * 3 // (epoch_us(l) - epoch_us(f)))"
 QUERIES |= {
+    "distinct_orders_of_day": """
+        select cast(strftime(create_time,'%Y%m%d') as int) dt, count(distinct order_id) distinct_ct
+        from order_merge group by 1""",
+    "parse_time": f"""
+        select id, case when id%7<>0 then epoch_us(create_time)//1000 end ms,
+               case when id%7<>0 then strftime(create_time + interval 1 second,{SECOND}) end later from order_info""",
+    "json_topic": """
+        select event_id, mid, page_id, during_time from page_log
+        union all select null, concat('{"common":{"mid":"m', cast(user_id as varchar)), null, null
+        from events where event_id%50=3""",
+    "stream_keyword_product_stats": QUERIES["keyword_product_stats"],
     "sink_visitor_stats_closed": f"select * from ({QUERIES['visitor_stats']}) every_day where substring(stt,1,10) = (select strftime(min(ts),'%Y-%m-%d') from events)",
     "stream_visitor_chain": QUERIES["visitor_stats"],
     "stream_sql_keyword": QUERIES["keyword_search_stats"],

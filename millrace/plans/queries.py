@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from millrace.codes import code_labels
 from millrace.functions import text, times
 from millrace.functions.times import SECOND_FORMAT
-from millrace.operators import changes, facts, joins, logs, serving, stats, visits
+from millrace.operators import changes, distinct, facts, joins, logs, serving, stats, visits
 from millrace.plans import sql_jobs
 from millrace.plans.expected_sql import ASOF
 from millrace.session import scratch_dir, tune
@@ -17,7 +17,7 @@ from millrace.sinks import dims, outbox, tables, topics
 from millrace.sinks.keyed import KeyedTable
 from millrace.sources.changes import keyed_data, load_routes, normalize_change
 from millrace.sources.shop_tables import ShopTables, once
-from millrace.sources.topics import CORRUPT, to_json_rows
+from millrace.sources.topics import CORRUPT, read_json_topic, to_json_rows
 from millrace.streaming import changelog, first_days, handover, jobs, late, stateful, visited
 from millrace.streaming.replay import Feed, replay
 
@@ -106,24 +106,30 @@ def field_count() -> Column:
 # ---- dashboard -----------------------------------------------------------------------------
 
 
+def day_sales(t: ShopTables) -> DataFrame:
+    """Sales per day and product: rankings look at orders alone."""
+    sums = stats.product_sums([facts.product_orders(order_lines(t))])
+    return joins.enrich_product(stats.day_sums(sums, "order_amount", "order_ct"), t.products())
+
+
 @query
 def gmv_by_day(t):
-    return serving.gmv(products_sold(t), None)
+    return serving.gmv(stats.product_sums(behaviours(t)), None)
 
 
 @query
 def top_brands(t):
-    return serving.top_brands(products_sold(t), None)
+    return serving.top_brands(day_sales(t), None)
 
 
 @query
 def top_categories(t):
-    return serving.top_categories(products_sold(t), None)
+    return serving.top_categories(day_sales(t), None)
 
 
 @query
 def top_spus(t):
-    return serving.top_spus(products_sold(t), None)
+    return serving.top_spus(day_sales(t), None)
 
 
 @query
@@ -143,7 +149,9 @@ def visitors_by_hour(t):
 
 @query
 def hot_keywords(t):
-    return serving.hot_keywords(keywords(t), None)
+    sums = stats.product_sums([facts.product_clicks(t.page_views()), facts.product_carts(t.cart_info()),
+                               facts.product_orders(order_lines(t))])
+    return serving.hot_keywords(stats.day_keywords(t.search_log(), sums, t.products()), None)
 
 
 @query
@@ -531,6 +539,16 @@ def distinct_orders(t):
     return stats.distinct_ct(t.order_detail().select("sku_id", "order_id"), ["sku_id"], "order_id")
 
 
+@query
+def distinct_orders_of_day(t):
+    """A day's different orders from stored ten-second sets, written as two batches."""
+    path, lines = f"{scratch_dir(t.spark, 'order_sets')}/sets", order_lines(t)
+    for batch, part in enumerate((F.col("detail_id") % 2 == 0, F.col("detail_id") % 2 != 0)):
+        sets = distinct.id_sets(lines.filter(part), "order_id", times.tumble("create_time"))
+        tables.write_batch(sets.select(*times.window_bounds(), "bucket", "ids"), path, batch)
+    return distinct.set_sizes(serving.with_day(tables.read_table(t.spark, path)), "dt")
+
+
 @query
 def tumble_counts(t):
     return stats.tumble_counts(t.page_views(), "ts", "page_id")
@@ -662,6 +680,27 @@ def with_event_time(t):
     return timed.select("event_id", shown("rowtime"))
 
 
+@query
+def parse_time(t):
+    """Times as text, read back and as millis; a text that is none gives null."""
+    told = t.order_info(False).select("id", F.when(F.col("id") % 7 == 0, F.lit("2021-05-01T00:00:00")).otherwise(
+        F.date_format("create_time", SECOND_FORMAT)).alias("told"))
+    return told.select("id", F.unix_millis(times.parse_time("told")).alias("ms"),
+                       F.date_format(times.millis_time(F.unix_millis(times.parse_time("told")) + 1500), SECOND_FORMAT).alias("later"))
+
+
+@query
+def json_topic(t):
+    """A topic of JSON rows read with a declared schema; lines that were cut off are set aside."""
+    folder = scratch_dir(t.spark, "topic")
+    rows = t.page_log().select("event_id", "mid", "page_id", "during_time")
+    to_json_rows(rows).unionByName(t.broken_log()).write.text(folder)
+    good, bad = read_json_topic(t.spark, folder, "event_id bigint, mid string, page_id string, during_time bigint",
+                                fmt="text", stream=False)
+    return good.unionByName(bad.select(*(F.lit(None).alias(c) for c in ("event_id",)), F.col(CORRUPT).alias("mid"),
+                                       *(F.lit(None).alias(c) for c in ("page_id", "during_time"))))
+
+
 @query
 def payment_type_labels(t):
     labels = code_labels(t.spark).filter("code_group = 'payment_type'")
@@ -703,9 +742,9 @@ def _streamed_visits(t: ShopTables, arrives: Column) -> DataFrame:
 def stream_user_jumps(t):
     feed = Feed(t.page_log().select("event_id", "mid", "ts", "page_id", "last_page_id"), "ts",
                 {"mid": "~"})
-    out = replay(t.spark, "user_jumps", {"pages": feed},
-                 lambda s: stateful.user_jumps_stream(s["pages"], tie=TIE))
-    return _written(t, out).select("event_id", "mid", "page_id")
+    base = replay(t.spark, "user_jumps", {"pages": feed},
+                  job=lambda s, b: jobs.user_jumps(s["pages"], b, tie=TIE, once=True))
+    return _written(t, f"{base}/user_jump_detail").select("event_id", "mid", "page_id")
 
 
 @query
@@ -754,9 +793,9 @@ def stream_order_wide(t):
 def stream_payment_wide(t):
     feeds = {"pay": Feed(t.payment_info(), "callback_time"),
              "wide": Feed(wide(t), "create_time")}
-    out = replay(t.spark, "payment_wide", feeds,
-                 lambda s: jobs.merged_payments(s["pay"], s["wide"]))
-    return paid_shown(_written(t, out))
+    base = replay(t.spark, "payment_wide", feeds,
+                  job=lambda s, b: jobs.payment_wide(s["pay"], s["wide"], b, once=True))
+    return paid_shown(_written(t, f"{base}/payment_wide"))
 
 
 @query
@@ -794,8 +833,16 @@ def stream_province_stats(t):
 @query
 def stream_keyword_search_stats(t):
     feed = Feed(t.search_log().select("ts", "fullword"), "ts", {"fullword": "~"})
-    out = replay(t.spark, "keyword_search", {"rows": feed},
-                 lambda s: stats.keyword_search_stats(s["rows"]))
+    base = replay(t.spark, "keyword_search", {"rows": feed},
+                  job=lambda s, b: jobs.keyword_search_stats(s["rows"], b, once=True))
+    return tables.read_table(t.spark, f"{base}/keyword_search").drop("ts", "dt")
+
+
+@query
+def stream_keyword_product_stats(t):
+    """Keywords of the products in the stored statistics, as they come."""
+    rows = _written(t, stored(t, "product_stats")[0]).drop("dt", "batch").withColumn("at", F.to_timestamp("stt"))
+    out = replay(t.spark, "keyword_product", {"rows": Feed(rows, "at")}, lambda s: stats.keyword_product_stats(s["rows"]))
     return _written(t, out).drop("ts")
 
 

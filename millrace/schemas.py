@@ -45,8 +45,6 @@ PAYMENT_INFO = f"""
     payment_type STRING, create_time STRING, callback_time STRING
 """
 SKU_EVENT = "sku_id BIGINT, create_time STRING"
-REFUND_INFO = f"sku_id BIGINT, order_id BIGINT, refund_amount {MONEY}, create_time STRING"
-COMMENT_INFO = "sku_id BIGINT, appraise STRING, create_time STRING"
 
 # Columns of the stored result tables, in stored order.
 ORDER_WIDE = [

@@ -65,8 +65,8 @@ def unique_visits(pages: DataFrame, base: str, tie: tuple[str, ...] = (), **opti
                   each=visited.unique_visits_sink(f"{base}/unique_visit", tie=tie), **options)
 
 
-def user_jumps(pages: DataFrame, base: str, within: float = 10.0, **options) -> StreamingQuery:
-    return _start(stateful.user_jumps_stream(pages, within), base, "user_jump_detail",
+def user_jumps(pages: DataFrame, base: str, within: float = 10.0, tie: tuple[str, ...] = (), **options) -> StreamingQuery:
+    return _start(stateful.user_jumps_stream(pages, within, tie=tie), base, "user_jump_detail",
                   path=f"{base}/user_jump_detail", **options)
 
 

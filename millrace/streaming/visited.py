@@ -2,7 +2,9 @@
 
 No state and no watermark: a visit may come days late and still counts. A micro-batch keeps the
 earliest opening row of each device and day with the batch operator, so a busy device sends one row
-per day and task, and drops those whose device already has a stored visit on that day.
+per day and task, and drops those whose device already has a stored visit on that day. A stored visit
+stays: an earlier opening row of the same device and day that arrives in a later micro-batch is
+dropped, so which row stands for a visit follows arrival, while the number of visits does not.
 """
 
 from __future__ import annotations

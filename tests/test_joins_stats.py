@@ -237,3 +237,25 @@ def test_day_measures(spark):
     v = visitor(spark, ("2021-05-01 23:10:00", "1", 3, 7, 3, 1, 1), ("2021-05-01 23:20:00", "0", 2, 1, 0, 1, 5))
     assert serving.pv(v, 20210501).first()[0] == 8 and serving.uv(v, 20210501).first()[0] == 5
     assert serving.pv(v, 20210501, literal=True).first()[0] == 2
+
+
+def test_day_sums_and_stored_sets(spark):
+    from millrace.operators import distinct
+    rows_ = spark.createDataFrame([("a", 1), ("a", 1), ("a", 40_000), ("b", 7), ("b", None), ("b", -3), ("a", 2**40)], "k string, id bigint")
+    sets = distinct.id_sets(rows_, "id", "k")
+    assert rows(distinct.set_sizes(sets, "k"), "k", "distinct_ct") == [("a", 3), ("b", 2)]
+    both = sets.unionByName(distinct.id_sets(rows_.filter("k = 'a'"), "id", "k"))       # overlapping parts
+    assert rows(distinct.set_sizes(both, "k"), "k", "distinct_ct") == [("a", 3), ("b", 2)]
+    assert sets.filter("k = 'a'").count() == 3          # one bucket per 32,768 neighbouring ids
+    sums = spark.createDataFrame([("2021-05-01 00:00:00", 1, 2), ("2021-05-01 10:00:00", 1, 3), ("2021-05-02 00:00:00", 1, 5)],
+                                 "stt string, sku_id bigint, order_ct bigint")
+    assert rows(stats.day_sums(sums, "order_ct"), "dt", "order_ct") == [(20210501, 5), (20210502, 5)]
+
+
+def test_rankings_read_orders_alone(spark):
+    import os
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        return
+    from millrace.plans import queries
+    plan = queries.queries()["top_brands"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_type" not in plan and "l_orderkey" in plan
