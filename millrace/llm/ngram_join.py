@@ -29,6 +29,7 @@ REACH, MOST_FREQUENT = 2, 1 << 20
 LIST = 64               # an n-gram with more rows ties them to one of them, to meet in tiles
 TILE = 1000             # rows of a block; a tile is two blocks
 COLUMNS = 4096          # columns multiplied at a time
+DEALT = 1 << 18         # n-grams that go to tiles in one batch, about
 
 
 def prefix_size(n, percent: int):
@@ -205,21 +206,33 @@ def tile_rows(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
+        held, total = [], 0
+
+        def flush() -> pa.RecordBatch:
+            tiles, singles, nodes, grams = zip(*held, strict=True)
+            size = np.array([len(g) for g in grams])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(tiles), pa.array(singles), pa.array(nodes), pa.array(size),
+                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)),
+                                          pa.array(signed(np.concatenate(grams))))], ["tile", "single", "node", "n", "grams"])
+
         for piece in pieces(batches):
             found = piece.words()
             rows, hashes = shingles(found, found.hashes(LOWER[piece.data]), words)
             first = np.searchsorted(rows, np.arange(piece.n + 1))
+            names, singles, tiles = (piece.column(c).to_pylist() for c in ("node", "single", "tiles"))
             for r in range(piece.n):
-                node = piece.column("node")[r].as_py()
-                if node in seen:                # a repeated row
+                if names[r] in seen:            # a repeated row
                     continue
-                seen.add(node)
-                grams = pa.array(signed(hashes[first[r]:first[r + 1]]))
-                ends, single = pa.array([0, len(grams)], pa.int32()), piece.column("single").slice(r, 1)
-                for tile in piece.column("tiles")[r].as_py():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([tile]), single, pa.array([node]), pa.array([len(grams)], pa.int64()),
-                         pa.ListArray.from_arrays(ends, grams)], ["tile", "single", "node", "n", "grams"])
+                seen.add(names[r])
+                for tile in tiles[r]:
+                    held.append((tile, singles[r], names[r], hashes[first[r]:first[r + 1]]))
+                    total += int(first[r + 1] - first[r])
+                    if total >= DEALT:
+                        yield flush()
+                        held, total = [], 0
+        if held:
+            yield flush()
 
     return chosen.mapInArrow(cut, "tile string, single boolean, node string, n long, grams array<long>")
 
