@@ -67,7 +67,7 @@ def test_every_text_query_runs(spark):
     import __spark_entry__ as entry
 
     known = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in known} and "pipeline" in known
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in known} and "pipeline" in known
     for name in ("op1_quality_rules", "op6_url_filter"):
         assert known[name](spark, FOLDER).count() > 0
 
