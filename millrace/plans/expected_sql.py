@@ -451,6 +451,7 @@ VISIT_DAY = "(select cast(strftime(min(ts),'%Y%m%d') as int) from events)"
 for _name, _columns, _day in (("gmv_by_day", "order_amount", SALES_DAY), ("top_brands", "*", SALES_DAY),
                               ("top_categories", "*", SALES_DAY), ("top_spus", "*", SALES_DAY),
                               ("province_sales", "*", SALES_DAY), ("visitor_matrix", "* exclude (dt)", VISIT_DAY),
+                              ("pv_uv_by_day", "pv_ct, uv_ct", VISIT_DAY), ("pv_uv_rows_by_day", "pv_ct, uv_ct", VISIT_DAY),
                               ("visitors_by_hour", "* exclude (dt)", VISIT_DAY), ("hot_keywords", "*", VISIT_DAY)):
     QUERIES[f"{_name.removesuffix('_by_day')}_one_day"] = \
         f"select {_columns} from ({QUERIES[_name]}) every_day where dt = {_day}"

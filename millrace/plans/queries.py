@@ -288,6 +288,18 @@ def visitors_by_hour_one_day(t):
     return serving.visitors_by_hour(one_day(t, "visitor_stats", day), day)
 
 
+@query
+def pv_uv_one_day(t):
+    day = first_day(t, "events", "ts")
+    return serving.day_totals(one_day(t, "visitor_stats", day), day)
+
+
+@query
+def pv_uv_rows_one_day(t):
+    day = first_day(t, "events", "ts")
+    return serving.day_totals(one_day(t, "visitor_stats", day), day, literal=True)
+
+
 @query
 def hot_keywords_one_day(t):
     day = first_day(t, "events", "ts")
