@@ -43,7 +43,7 @@ MAY_HOLD_IDENTIFIER = r"@|[0-9][^\x20\x09-\x0D]*[0-9]"
 
 CONTEXT = 48                # code points that are context on either side; a longer word counts by what lies there
 CHUNK = 256                 # matches gathered at a time, so that appending stays cheap
-ROUNDS = 3
+ROUNDS = 2                  # a round finds identifiers and the patterns that these support
 LEAST_RELIABLE = 0.5        # patterns and instances below that find nothing new
 LEAST_SEEDS = 3             # different seeds or found identifiers a pattern needs
 DOUBT = 2.0                 # unconfirmed instances that every pattern is charged with
@@ -176,18 +176,23 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     found leads to patterns that no seed stands in.
     """
     spark, folder, kinds = found.sparkSession, scratch_dir(found.sparkSession, "pii"), range(len(KINDS))
+
+    def kept(table: DataFrame, name: str) -> DataFrame:
+        """Written, so that every plan stays small."""
+        table.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
     seen = found.groupBy("name", F.array_sort(F.array_distinct("patterns")).alias("patterns")).agg(F.max("kind").alias("kind"))
-    seen.withColumn("context", F.xxhash64("patterns")).write.parquet(f"{folder}/contexts")
-    contexts_ = spark.read.parquet(f"{folder}/contexts")
-    own = contexts_.select("name", "kind", "context", F.explode("patterns").alias("pattern"))
+    own = kept(seen.select("name", "kind", F.xxhash64("patterns").alias("context"), F.explode("patterns").alias("pattern")), "contexts")
     edges = own.groupBy("name", "pattern").agg(F.max("kind").alias("kind"))
-    (edges.groupBy("pattern").agg(F.count("*").alias("n"), *(
-        F.sum((F.col("kind") == i).cast("long")).alias(f"seeds{i}") for i in kinds))
-     .write.parquet(f"{folder}/counts"))
-    counts = spark.read.parquet(f"{folder}/counts")
-    # an identifier that is a seed anywhere is no unconfirmed one; patterns of seeds alone gain nothing
-    sure = contexts_.groupBy("name").agg(F.max("kind").alias("kind")).filter("kind >= 0")
-    unsure = own.join(sure.select("name"), "name", "left_anti").select("name", "context", "pattern")
+    counts = kept(edges.groupBy("pattern").agg(F.count("*").alias("n"), *(
+        F.sum((F.col("kind") == i).cast("long")).alias(f"seeds{i}") for i in kinds)), "counts")
+    # an identifier that is a seed anywhere is no unconfirmed one
+    seeds = own.filter("kind >= 0").select("name").distinct()
+    unsure = kept(own.join(seeds, "name", "left_anti").select("name", "context", "pattern"), "unsure")
+    vouching = kept(unsure.groupBy("name", "pattern").agg(F.count("*").alias("here")).join(
+        unsure.groupBy("name").agg(F.countDistinct("context").alias("contexts")), "name").select(
+        "name", "pattern", (F.col("contexts") - F.col("here")).alias("others")).filter("others > 0"), "vouching")
 
     def scored(patterns: DataFrame, gain: list[Column], support: list[Column]) -> DataFrame:
         return patterns.select("pattern", *(F.when(
@@ -195,24 +200,21 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             .otherwise(0.0).alias(f"r{i}") for i in kinds)).filter(" or ".join(f"r{i} > 0" for i in kinds))
 
     none = [F.lit(0)] * len(KINDS)
-    patterns = scored(counts, none, none)
+    patterns = kept(scored(counts, none, none), "patterns")
     for k in range(rounds):
-        patterns.write.parquet(f"{folder}/patterns{k}")
-        patterns = spark.read.parquet(f"{folder}/patterns{k}")
-        held = unsure.join(patterns, "pattern")        # contexts without a scored pattern count as 0
-        of_context = held.groupBy("name", "context").agg(*(F.max(f"r{i}").alias(f"c{i}") for i in kinds))
-        all_ = (unsure.groupBy("name").agg(F.countDistinct("context").alias("contexts"))
-                .join(of_context.groupBy("name").agg(*(F.sum(f"c{i}").alias(f"t{i}") for i in kinds)), "name"))
-        with_it = (unsure.join(of_context, ["name", "context"], "left").groupBy("name", "pattern").agg(
-            F.count("*").alias("here"), *(F.coalesce(F.sum(f"c{i}"), F.lit(0.0)).alias(f"w{i}") for i in kinds)))
-        others = F.col("contexts") - F.col("here")
-        vouched = with_it.join(all_, "name").filter(others > 0).select("pattern", *(
-            ((F.col(f"t{i}") - F.col(f"w{i}")) / others).alias(f"m{i}") for i in kinds))
-        gains = vouched.groupBy("pattern").agg(
+        # a context without a scored pattern counts as 0
+        reliable = kept(unsure.join(patterns, "pattern").groupBy("name", "context").agg(
+            *(F.max(f"r{i}").alias(f"c{i}") for i in kinds)), f"reliable{k}")
+        total = reliable.groupBy("name").agg(*(F.sum(f"c{i}").alias(f"t{i}") for i in kinds))
+        with_it = unsure.join(reliable, ["name", "context"]).groupBy("name", "pattern").agg(
+            *(F.sum(f"c{i}").alias(f"w{i}") for i in kinds))
+        vouched = vouching.join(total, "name").join(with_it, ["name", "pattern"], "left").select("pattern", *(
+            ((F.col(f"t{i}") - F.coalesce(f"w{i}", F.lit(0.0))) / F.col("others")).alias(f"m{i}") for i in kinds))
+        gains = kept(vouched.groupBy("pattern").agg(
             *(F.sum(F.when(F.col(f"m{i}") >= LEAST_RELIABLE, 1.0).otherwise(F.col(f"m{i}"))).alias(f"g{i}") for i in kinds),
-            *(F.sum((F.col(f"m{i}") >= LEAST_RELIABLE).cast("long")).alias(f"s{i}") for i in kinds))
+            *(F.sum((F.col(f"m{i}") >= LEAST_RELIABLE).cast("long")).alias(f"s{i}") for i in kinds)), f"gains{k}")
         filled = lambda c: [F.coalesce(F.col(f"{c}{i}"), F.lit(0)) for i in kinds]
-        patterns = scored(counts.join(gains, "pattern", "left"), filled("g"), filled("s"))
+        patterns = kept(scored(counts.join(gains, "pattern", "left"), filled("g"), filled("s")), f"patterns{k}")
     best = F.greatest(*(F.col(f"r{i}") for i in kinds))
     kind = F.coalesce(*(F.when(F.col(f"r{i}") == best, F.lit(i)) for i in kinds))
     return patterns.select("pattern", kind.alias("kind"), best.alias("reliability")).filter(
