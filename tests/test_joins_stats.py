@@ -259,3 +259,18 @@ def test_rankings_read_orders_alone(spark):
     from millrace.plans import queries
     plan = queries.queries()["top_brands"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "event_type" not in plan and "l_orderkey" in plan
+
+
+def test_partitions_grow_with_the_input(spark):
+    from millrace import session
+    before = spark.conf.get(session.INITIAL_PARTITIONS, None)
+    try:
+        session.tune(spark, 1000)
+        assert spark.conf.get(session.INITIAL_PARTITIONS, None) == before       # small inputs keep what was set
+        session.tune(spark, 30 * session.TASK_ROWS + 1)
+        assert spark.conf.get(session.INITIAL_PARTITIONS) == "31"
+        session.tune(spark, 10)                                                 # never fewer again
+        assert spark.conf.get(session.INITIAL_PARTITIONS) == "31"
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
+    finally:
+        spark.conf.unset(session.INITIAL_PARTITIONS) if before is None else spark.conf.set(session.INITIAL_PARTITIONS, before)
