@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from millrace.functions.times import watermarked
 from millrace.operators import changes, facts, joins, logs, stats
 from millrace.sinks import dims, tables, topics
-from millrace.streaming import first_days, stateful, visited
+from millrace.streaming import carried, first_days, stateful, visited
 from millrace.streaming.runner import start
 
 Loader = Callable[[], DataFrame]
@@ -79,15 +79,18 @@ def merged_orders(order_info: DataFrame, order_detail: DataFrame, delay: str = "
 
 def order_wide(order_info: DataFrame, order_detail: DataFrame, users: Loader, provinces: Loader,
                products: Loader, base: str, asof: Callable[[], Column] = F.current_date,
-               salts: int = SALTS, **options) -> StreamingQuery:
+               slack: float = 5.0, **options) -> StreamingQuery:
     """Order lines with attributes. Dimensions are asked for anew per micro-batch, so rows get the newest;
     a `dims.DimView` then reads only what has changed."""
-    def each(df: DataFrame, batch_id: int) -> None:
+    def write(df: DataFrame, batch_id: int) -> None:
         wide = joins.enrich_province(joins.enrich_user(df, users(), asof()), provinces())
         tables.write_batch(joins.enrich_product(wide, products()), f"{base}/order_wide", batch_id)
 
-    return _start(merged_orders(order_info, order_detail, salts=salts), base, "order_wide",
-                  each=each, **options)
+    def merge(orders: DataFrame, lines: DataFrame) -> DataFrame:
+        return joins.merge_order(orders, lines, slack=slack)
+
+    each = carried.joined_sink(f"{base}/order_wide_open", merge, ("create_time", "create_time"), -slack, slack, write)
+    return _start(carried.paired(order_info, order_detail), base, "order_wide", each=each, **options)
 
 
 def merged_payments(payment_info: DataFrame, wide: DataFrame, delay: str = "5 seconds",
@@ -96,10 +99,14 @@ def merged_payments(payment_info: DataFrame, wide: DataFrame, delay: str = "5 se
                                watermarked(wide, "create_time", delay), salts=salts)
 
 
-def payment_wide(payment_info: DataFrame, wide: DataFrame, base: str, salts: int = SALTS,
+def payment_wide(payment_info: DataFrame, wide: DataFrame, base: str, horizon: float = 1800.0,
                  **options) -> StreamingQuery:
-    return _start(merged_payments(payment_info, wide, salts=salts), base, "payment_wide",
-                  path=f"{base}/payment_wide", **options)
+    def merge(payments: DataFrame, lines: DataFrame) -> DataFrame:
+        return joins.merge_payment(payments, lines, horizon=horizon)
+
+    each = carried.joined_sink(f"{base}/payment_wide_open", merge, ("callback_time", "create_time"), -horizon, 0,
+                               lambda df, n: tables.write_batch(df, f"{base}/payment_wide", n), delay=5)
+    return _start(carried.paired(payment_info, wide), base, "payment_wide", each=each, **options)
 
 
 def visitor_measures(pages: DataFrame, within: float = 10.0, *, tie: tuple[str, ...] = (),
@@ -133,15 +140,17 @@ def product_stats(behaviours: DataFrame, products: Loader, base: str, **options)
     """Product statistics; attributes are looked up after the sums, from the newest dimension."""
     sink = tables.stats_sink(f"{base}/product_stats", "product_stats")
 
-    def each(df: DataFrame, batch_id: int) -> None:
+    def write(df: DataFrame, batch_id: int) -> None:
         sink(joins.enrich_product(df, products(), price=True), batch_id)
 
-    return _start(stats.product_sums(behaviours), base, "product_stats", each=each, **options)
+    each = carried.windows_sink(f"{base}/product_stats_open", "ts", stats.product_sums, write)
+    return _start(behaviours, base, "product_stats", each=each, **options)
 
 
 def province_stats(wide: DataFrame, base: str, **options) -> StreamingQuery:
-    return _start(stats.province_stats(wide), base, "province_stats",
-                  each=tables.stats_sink(f"{base}/province_stats", "province_stats"), **options)
+    each = carried.windows_sink(f"{base}/province_stats_open", "create_time", stats.province_stats,
+                                tables.stats_sink(f"{base}/province_stats", "province_stats"))
+    return _start(wide, base, "province_stats", each=each, **options)
 
 
 def keyword_search_stats(searches: DataFrame, base: str, **options) -> StreamingQuery:

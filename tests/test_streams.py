@@ -211,3 +211,54 @@ def test_snapshot_is_taken_once_and_nothing_comes_twice(spark, tmp_path):
     assert rows(got, "id", "name", "type", "seq") == [
         ("1", "x", "read", 3), ("2", "b", "read", 3), ("2", "y", "update", 4), ("3", "c", "insert", 5)]
     assert taken == [1]
+
+
+def test_windows_carry_only_open_rows(spark, tmp_path):
+    from millrace.streaming import carried
+    schema, out = "sku_id bigint, click_ct bigint, ts timestamp", str(tmp_path / "out")
+    sink = carried.windows_sink(str(tmp_path / "open"), "ts", stats.product_sums, lambda df, n: tables.write_batch(df, out, n))
+    batches = [[(1, 1, at(1)), (1, 1, at(12)), (2, 1, at(9)), (3, 1, None)], [(1, 1, at(8)), (1, 1, at(13)), (1, 1, at(41))],
+               [(1, 1, at(15))], [(9, 1, at(1000))]]
+    for n, data in enumerate(batches):
+        for _ in range(2):      # every batch is repeated
+            sink(spark.createDataFrame(data, schema), n)
+    # at(12) - 3 < 10: the first window stays open for at(8); at(15) comes behind its closed window
+    assert rows(tables.read_table(spark, out).select(F.right("stt", F.lit(8)).alias("t"), "sku_id", "click_ct")) == [
+        ("00:00:00", 1, 2), ("00:00:00", 2, 1), ("00:00:10", 1, 2), ("00:00:40", 1, 1)]
+    assert rows(spark.read.parquet(f"{tmp_path}/open/open/batch=1"), "ts") == [(at(41),)]
+
+
+def test_joins_carry_only_rows_that_can_still_meet(spark, tmp_path):
+    from test_joins_stats import DETAIL, ORDER, D, detail, order
+    from millrace.operators import joins
+    from millrace.streaming import carried
+    out, r = str(tmp_path / "out"), random.Random(3)
+    heads = [(i, 5, 100, at(r.randrange(400))) for i in range(120)]
+    lines = [(10 * i + k, i, 7, D(1), at((h[3] - at(0)).seconds + r.randrange(-7, 8))) for i, h in enumerate(heads) for k in range(3)]
+    sink = carried.joined_sink(str(tmp_path / "open"), joins.merge_order, ("create_time", "create_time"), -5, 5,
+                               lambda df, n: tables.write_batch(df, out, n))
+
+    def part(data, n):
+        return [d for d in data if at(100 * n) <= max(d[-1], at(0)) < at(100 * (n + 1))]
+
+    for n in range(5):
+        both = [spark.createDataFrame([], s) if not d else f(spark, *d) for s, f, d in (
+            (ORDER, order, part(heads, n)), (DETAIL, detail, part(lines, n)))]
+        for _ in range(2):
+            sink(carried.paired(*both), n)
+    want = joins.merge_order(order(spark, *heads), detail(spark, *lines))
+    assert rows(tables.read_table(spark, out), "detail_id", "order_id") == rows(want, "detail_id", "order_id")
+    assert spark.read.parquet(f"{tmp_path}/open/many/batch=2").count() < 40
+
+
+def test_order_job_keeps_no_row_state(spark, tmp_path):
+    from test_joins_stats import DETAIL, ORDER, D, detail, order
+    base = str(tmp_path / "shop")
+    order(spark, (1, 5, 100, at(0))).write.parquet(f"{base}/o")
+    detail(spark, (10, 1, 7, D(1), at(0))).write.parquet(f"{base}/d")
+    empty = {"u": "id bigint, birthday date, gender string", "p": "id bigint, name string, area_code string, iso_code string, iso_3166_2 string",
+             "s": "id bigint, sku_name string, spu_id bigint, spu_name string, tm_id bigint, tm_name string, category3_id bigint, category3_name string"}
+    query = jobs.order_wide(spark.readStream.schema(ORDER).parquet(f"{base}/o"), spark.readStream.schema(DETAIL).parquet(f"{base}/d"),
+                            *(lambda s=s: spark.createDataFrame([], s) for s in empty.values()), base, once=True)
+    query.awaitTermination()
+    assert not query.lastProgress["stateOperators"] and tables.read_table(spark, f"{base}/order_wide").count() == 1
