@@ -274,3 +274,23 @@ def test_partitions_grow_with_the_input(spark):
         assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
     finally:
         spark.conf.unset(session.INITIAL_PARTITIONS) if before is None else spark.conf.set(session.INITIAL_PARTITIONS, before)
+
+
+def test_product_rows_are_dealt_once(spark):
+    from millrace.operators import stats as operators
+    products = spark.range(50_000).selectExpr("id", "concat('s', id) as sku_name", "cast(1 as decimal(16,2)) as price", "id as spu_id",
+                                              "'spu' as spu_name", "id as tm_id", "'tm' as tm_name", "id as category3_id", "'c' as category3_name")
+    orders = spark.range(3000).selectExpr("id % 7 as sku_id", "1L as order_sku_num", "cast(2 as decimal(18,4)) as order_amount",
+                                          "id as order_id", "timestamp_seconds(id % 90) as ts")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = operators.product_stats([orders], products)
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        fact_side = [line for line in plan.splitlines() if "Exchange hashpartitioning(sku_id" in line or "Exchange hashpartitioning(window" in line]
+        assert len([line for line in fact_side if "order_id" not in line.split("(", 1)[1].split(")")[0]]) == 1, plan
+        assert got.filter("sku_name is null").count() == 0
+        assert got.agg(F.sum("order_ct"), F.sum("order_amount")).first()[:] == (3000, D(6000))
+        assert got.count() == got.select("stt", "sku_id").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
