@@ -48,8 +48,17 @@ def windows_sink(path: str, time: str, work: Work, write: Write, *, size: float
     A window is over when the latest time seen, less `delay` seconds, has passed its end. Rows of a window
     that an earlier batch has closed are dropped, as a stream's aggregation does.
     """
+    return closed_sink(path, time, lambda rows, _, n: write(work(rows), n), size=size, delay=delay)
+
+
+def closed_sink(path: str, time: str, done: Callable[[DataFrame, DataFrame, int], None], *, size: float = 10,
+                delay: float = 3, ahead: float = 0) -> Callable[[DataFrame, int], None]:
+    """Micro-batch writer that gives `done` the rows of windows that are over, the rows of windows that are
+    not, and the batch's number. A window waits for `ahead` seconds more, so that the open rows hold all
+    that follows its rows within that time. See `windows_sink`.
+    """
     at = F.unix_micros(time)
-    end = at - F.pmod(at, F.lit(int(size * MICROS))) + int(size * MICROS)
+    end = at - F.pmod(at, F.lit(int(size * MICROS))) + int((size + ahead) * MICROS)
 
     def each(df: DataFrame, batch_id: int) -> None:
         spark = _session(df)
@@ -60,7 +69,7 @@ def windows_sink(path: str, time: str, work: Work, write: Write, *, size: float
         new = df.filter(F.col(time).isNotNull())
         rows = _with_left(new if before is None else new.filter(end > before), _left(spark, f"{path}/open", batch_id))
         over = F.lit(False) if mark is None else end <= mark
-        write(work(rows.filter(over)), batch_id)
+        done(rows.filter(over), rows.filter(~over), batch_id)
         _keep(rows.filter(~over), f"{path}/open", batch_id)
         _keep(spark.range(1).select(F.lit(mark).cast("bigint").alias("mark")), f"{path}/mark", batch_id)
 

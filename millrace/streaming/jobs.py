@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from millrace.functions.times import watermarked
-from millrace.operators import changes, facts, joins, logs, stats
+from millrace.operators import changes, facts, joins, logs, stats, visits
 from millrace.sinks import dims, tables, topics
 from millrace.streaming import carried, first_days, stateful, visited
 from millrace.streaming.runner import start
@@ -123,10 +124,24 @@ def visitor_measures(pages: DataFrame, within: float = 10.0, *, tie: tuple[str,
 
 def visitor_chain(pages: DataFrame, base: str, within: float = 10.0, *, tie: tuple[str, ...] = (),
                   **options) -> StreamingQuery:
-    """Page log in, visitor statistics out, in one query and without a stored stage between."""
-    rows = visitor_measures(pages, within, tie=tie)
-    return _start(stats.visitor_stats(rows, delay=None), base, "visitor_chain",
-                  each=tables.stats_sink(f"{base}/visitor_stats", "visitor_stats"), **options)
+    """Page log in, visitor statistics out, in one query.
+
+    Windows are flagged and summed whole once the bounces of their rows are known; from batch to batch go
+    the rows of open windows and the stored visits. `visitor_measures` is the same with a state store.
+    """
+    sink, seen = tables.stats_sink(f"{base}/visitor_stats", "visitor_stats"), f"{base}/visitor_chain_visits"
+    store, kinds = visited.unique_visits_sink(seen, tie=tie), StructType([
+        *pages.schema.fields, StructField("dt", StringType()), StructField("batch", LongType())])
+
+    def done(over: DataFrame, still: DataFrame, batch_id: int) -> None:
+        store(over, batch_id)
+        first = over.sparkSession.read.schema(kinds).parquet(seen).filter(F.col("batch") == batch_id)
+        known = over.withColumn("_over", F.lit(True)).unionByName(still.withColumn("_over", F.lit(False)))
+        jumps = visits.user_jumps(known, within, tie=tie).filter("_over")
+        sink(stats.visitor_stats(facts.visitor_events(over, first, jumps)), batch_id)
+
+    each = carried.closed_sink(f"{base}/visitor_chain_open", "ts", done, ahead=within)
+    return _start(pages, base, "visitor_chain", each=each, **options)
 
 
 def visitor_stats(pages: DataFrame, uniques: DataFrame, jumps: DataFrame, base: str,

@@ -36,6 +36,14 @@ def test_visitor_chain_equals_the_batch_operators(spark):
     assert rows(got) == rows(want)
 
 
+def test_visitor_chain_keeps_no_state_store(spark, tmp_path):
+    pages = log(spark, visits_of(6, 50))
+    pages.write.parquet(f"{tmp_path}/in")
+    query = jobs.visitor_chain(spark.readStream.schema(pages.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", tie=("id",), once=True)
+    query.awaitTermination()
+    assert query.exception() is None and all(not p["stateOperators"] for p in query.recentProgress)
+
+
 def test_bounces_of_a_busy_device_without_python(spark):
     data = [("hot", at(0.5 * i), "home", None if i % 9 == 0 else "home") for i in range(900)] + visits_of(8, 100, 2, 400)
     pages = log(spark, data).select("id", "mid", "ts", "page_id", "last_page_id")
