@@ -23,6 +23,8 @@ WINDOW = "10 seconds"
 AMOUNT_SUM = "decimal(28,4)"
 DEALS = 4       # a product's windows lie in so many partitions while its attributes are looked up
 MONEY = {m for m, kind in facts.PRODUCT_MEASURES.items() if kind == facts.AMOUNT}
+# what keywords are counted by
+NAMED_COUNTS = ["spu_name", "click_ct", "cart_ct", "order_ct", "stt", "edt"]
 
 
 def _units(column: str) -> str:
@@ -195,7 +197,6 @@ def keyword_search_stats(searches: DataFrame, *, size: str = WINDOW,
 def keyword_product_stats(stats: DataFrame, *, segment=text.words, now: Column | None = None
                           ) -> DataFrame:
     """Clicks, cart additions and orders of a product, counted for each word of its name."""
-    narrow = stats.select("spu_name", "click_ct", "cart_ct", "order_ct", "stt", "edt")
-    rows = text.unpivot_counts(text.explode_words(narrow, "spu_name", segment=segment))
+    rows = text.unpivot_counts(text.explode_words(stats.select(*NAMED_COUNTS), "spu_name", segment=segment))
     return rows.select("keyword", "ct", "source", "stt", "edt",
                        (processing_millis() if now is None else now).alias("ts"))
