@@ -93,15 +93,20 @@ def enrich_product(df: DataFrame, products: DataFrame, *, price: bool = False, *
     return enrich(df, products, "sku_id", attrs | ({"sku_price": "price"} if price else {}), **options)
 
 
+BUYER_AND_PLACE = ["user_gender", "user_age", "province_name", "province_area_code", "province_iso_code",
+                   "province_3166_2_code"]
+
+
 def merge_order(order_info: DataFrame, order_detail: DataFrame, *, slack: float = 5.0,
                 salts: int = 1) -> DataFrame:
-    """Order lines with their order, both written within `slack` seconds of each other."""
+    """Order lines with their order, both written within `slack` seconds of each other. An order's buyer and
+    province, where they are looked up already, come along."""
     head = order_info.selectExpr(
         "id as order_id", "province_id", "order_status", "user_id", "total_amount",
         "activity_reduce_amount", "coupon_reduce_amount", "original_total_amount", "feight_fee",
         *[c for c in ("expire_time", "operate_time") if c in order_info.columns],
         "create_time", "date_format(create_time, 'yyyy-MM-dd') as create_date",
-        "date_format(create_time, 'HH') as create_hour")
+        "date_format(create_time, 'HH') as create_hour", *[c for c in BUYER_AND_PLACE if c in order_info.columns])
     line = order_detail.selectExpr(
         "id as detail_id", "order_id as _order", "sku_id", "order_price", "sku_num", "sku_name",
         "split_total_amount", "split_activity_amount", "split_coupon_amount",
@@ -111,13 +116,19 @@ def merge_order(order_info: DataFrame, order_detail: DataFrame, *, slack: float
                          ).drop("_order", "_line_time")
 
 
+def order_placed(order_info: DataFrame, order_detail: DataFrame, users: DataFrame, provinces: DataFrame,
+                 asof: Column, *, slack: float = 5.0, salts: int = 1) -> DataFrame:
+    """Order lines with order, buyer and province; these are looked up once per order, not per line."""
+    placed = enrich_province(enrich_user(order_info, users, asof), provinces)
+    lines = merge_order(placed, order_detail, slack=slack, salts=salts)
+    return lines.select(*[c for c in lines.columns if c not in BUYER_AND_PLACE], *BUYER_AND_PLACE)
+
+
 def order_wide(order_info: DataFrame, order_detail: DataFrame, users: DataFrame,
                provinces: DataFrame, products: DataFrame, asof: Column, *, slack: float = 5.0,
                salts: int = 1) -> DataFrame:
     """Order lines with order, buyer, province and product attributes."""
-    wide = merge_order(order_info, order_detail, slack=slack, salts=salts)
-    wide = enrich_province(enrich_user(wide, users, asof), provinces)
-    return enrich_product(wide, products)
+    return enrich_product(order_placed(order_info, order_detail, users, provinces, asof, slack=slack, salts=salts), products)
 
 
 def merge_payment(payment_info: DataFrame, wide: DataFrame, *, horizon: float = 1800.0,
